@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from evenkeel.llm import fingerprint, language_id, media, packing, sentencepiece_sampling, sharding, url_filter
+from evenkeel.llm import fingerprint, language_id, line_dedup, media, near_dedup, packing, sentencepiece_sampling, sharding, substring_dedup, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_sentencepiece_sampling": sentencepiece_sampling.op3_sentencepiece_sampling,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_language_id": language_id.op5_language_id,
     "op6_audio_features": media.op6_audio_features,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_fingerprint": fingerprint.op8_fingerprint,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 
 ORACLE_SQL = {"op9_url_filter": url_filter.OP9_SQL}
