@@ -2,5 +2,25 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from evenkeel.plans.fixtures import with_fixtures
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a function (spark, sf_dir) under its own name, with its SQL over tables and fixtures."""
+
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLE_SQL[key] = with_fixtures(sql)
+        return f
+
+    return add
