@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("conditions",)
+MODULES = ("conditions", "rules", "graph", "history", "inspection")
 
 
 def load_all() -> None:
