@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("conditions", "rules", "graph", "history", "inspection")
+MODULES = ("conditions", "rules", "graph", "history", "inspection", "streams", "reconcile")
 
 
 def load_all() -> None:
