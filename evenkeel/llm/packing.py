@@ -17,7 +17,9 @@ decreasing over all pieces.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,8 @@ from evenkeel.session import materialize
 
 CAPACITY = 2048
 END_ID = b"\0\0\0\0"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
+letters = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 _words: dict[str, WordIds] = {}
 
 
@@ -47,6 +50,8 @@ class WordIds(dict):
 
     The tokenizer drops white space and never joins what stands on its two sides, so a text's ids
     are its words' ids one after the other. A text with a special token's opening is tokenised whole.
+    Words of Latin letters go to the tokenizer's model at once, as there is nothing to normalise but
+    the case; a tail of punctuation is a word of its own to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -54,14 +59,22 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.byte_letters = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
     def encode(self, raw: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         stem = word.rstrip(b".,;:!?")
-        if stem != word and stem and stem.decode("utf-8", "replace").isalpha():
-            ids = self[stem] + self[word[len(stem) :]]
+        if letters.fullmatch(stem.decode("utf-8", "replace")):
+            if stem != word:
+                ids = self[stem] + self[word[len(stem) :]]
+            else:
+                lower = word.decode().lower().encode()
+                ids = array("I", [t.id for t in self.model.tokenize("".join(map(self.byte_letters.__getitem__, lower)))]).tobytes()
         else:
             ids = self.encode(word)
         if len(self) >= CACHED_WORDS:
@@ -173,7 +186,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             nth = rank - move[:, 1]
             yield pd.DataFrame({"sequence_id": move[:, 2] + nth // move[:, 4], "offset": move[:, 3] + nth % move[:, 4] * length})
 
-    ranked = with_slots(pieces, "length", "__rank", buckets=64).withColumn("__place", place("length", "__rank"))
+    ranked = with_slots(pieces, "length", "__rank", buckets=16).withColumn("__place", place("length", "__rank"))
     return ranked.select(*pieces.columns, "__place.sequence_id", "__place.offset")
 
 
