@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from evenkeel.llm.common import documents, prepared
-from evenkeel.llm.words import mix, spans
+from evenkeel.llm.words import Spans, mix, spans
 
 SPACE_MARK = "▁"
 FALLBACK = 1 << 24
@@ -65,15 +65,17 @@ class Vocabulary:
             pieces.append(text)
             ids.append(i)
             ranks.append(max(0.0, -sp.get_score(i)))
-        points = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4").astype(np.uint64)
-        ends = np.cumsum([len(p) for p in pieces])
+        prefixes = {p[:n]: -1 for p in pieces for n in range(1, len(p))} | {p: i for i, p in enumerate(pieces)}
+        points = np.frombuffer("".join(prefixes).encode("utf-32-le"), "<u4").astype(np.uint64)
+        ends = np.cumsum([len(p) for p in prefixes])
         self.longest = max(map(len, pieces))
         self.hash = spans(mix(points + np.uint64(1)), np.concatenate([[0], ends[:-1]]), ends)
-        self.ids = np.array(ids, np.int32)
-        self.weight = -np.log(np.array(ranks) + 2)
+        number = np.fromiter(prefixes.values(), np.int64, len(prefixes))
+        self.ids = np.where(number >= 0, np.array(ids)[number], -1)
+        self.weight = np.where(number >= 0, -np.log(np.array(ranks) + 2)[number], 0.0)
         self.byte_weight = -np.log(len(sp))
         self.tables = []
-        left = np.arange(len(pieces))
+        left = np.arange(len(prefixes))
         for shift in (64 - TABLE_BITS, 64 - 2 * TABLE_BITS, 4):
             table = np.full(1 << TABLE_BITS, -1, np.int32)
             slot = self.slot(self.hash[left], shift)
@@ -91,11 +93,17 @@ class Vocabulary:
         return ((h >> np.uint64(shift)) & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Number of the piece with this hash, or -1."""
-        out = np.full(len(h), -1, np.int32)
+        """Number of the beginning of a piece with this hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        rest = np.arange(len(h))
         for shift, table in self.tables:
-            n = table[self.slot(h, shift)]
-            out = np.where((n >= 0) & (self.hash[n] == h), n, out)
+            n = table[self.slot(h[rest], shift)]
+            rest, n = rest[n >= 0], n[n >= 0]
+            same = self.hash[n] == h[rest]
+            out[rest[same]] = n[same]
+            rest = rest[~same]  # its place is another's, so it may stand in the next table
+            if not len(rest):
+                break
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -123,23 +131,26 @@ class Lattices:
         end_of = np.repeat(self.first[1:], self.length)
         at = np.arange(len(points))
         utf8 = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        span = Spans(mixed)
         begin, size, piece, weight = [], [], [], []
         for n in range(1, v.longest + 1):
             at = at[at + n <= end_of[at]]
             if not len(at):
                 break
-            found = v.find(spans(mixed, at, at + n))
-            hit = found >= 0
+            found = v.find(span(at, at + n))
+            begun = np.flatnonzero(found >= 0)
+            hit = begun[v.ids[found[begun]] >= 0]
             begin.append(at[hit])
-            piece.append(v.ids[found[hit]].astype(np.int64))
+            piece.append(v.ids[found[hit]])
             weight.append(theta * v.weight[found[hit]])
-            size.append(np.full(len(begin[-1]), n, np.int64))
+            size.append(np.full(len(hit), n, np.int64))
             if n == 1:
-                bare = at[~hit]
+                bare = np.delete(at, hit)
                 begin.append(bare)
                 size.append(np.ones(len(bare), np.int64))
                 piece.append(FALLBACK + points[bare].astype(np.int64))
                 weight.append(theta * v.byte_weight * utf8[bare])
+            at = at[begun]
         begin, size, piece, weight = (np.concatenate(x) if x else np.zeros(0) for x in (begin, size, piece, weight))
         state = begin + size - 1  # state of the edge's end; its begin is the state before, unless a stretch starts there
         order = np.argsort(state, kind="stable")
@@ -149,7 +160,7 @@ class Lattices:
         place = state - start_of[state] if len(state) else state
         forward = np.full(len(points), -np.inf)
         log_in = np.zeros(len(state))
-        by_place = np.argsort(place, kind="stable")
+        by_place = np.argsort(place.astype(np.uint16) if len(place) and place.max() < 1 << 16 else place, kind="stable")
         cuts = np.searchsorted(place[by_place], np.arange(int(place.max()) + 2)) if len(place) else [0, 0]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             e = by_place[a:b]

@@ -44,12 +44,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Spans:
+    """Mixed polynomial hashes of any spans of an array of 64-bit values."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = powers(max(1, len(values)))
+        self.prefix = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=self.prefix[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.prefix[end] - self.prefix[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+
 def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Mixed polynomial hash of values[start:end] for each pair."""
-    up, down = powers(max(1, len(values)))
-    prefix = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=prefix[1:])
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+    """Hash of values[start:end] for each pair."""
+    return Spans(values)(start, end)
 
 
 def chunked(texts: list[bytes | None], most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
