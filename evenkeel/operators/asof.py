@@ -1,4 +1,9 @@
-"""As-of joins by union and window: one shuffle by key, no range join."""
+"""As-of joins by union and window, with no range join.
+
+Time is cut into chunks and each (key, chunk) is sorted on its own, so the rows of one busy key
+spread over many tasks. What a chunk hands on to the next ones is its last right row; those rows, one
+for each key and chunk, are filled along the chunks and joined back.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +12,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evenkeel.functions.times import micros
+
+CHUNK_US = 7 * 86_400 * 1_000_000
+
 
 def asof_join(
-    left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str, right_tie: str, match: str, direction: str = "backward", equal: bool = True
+    left: DataFrame,
+    right: DataFrame,
+    by: Sequence[str],
+    left_ts: str,
+    right_ts: str,
+    right_tie: str,
+    match: str,
+    direction: str = "backward",
+    equal: bool = True,
+    chunk: int = CHUNK_US,
 ) -> DataFrame:
     """``left`` with a struct ``match`` of the nearest right row at or before (backward) or after (forward) its time.
 
     equal: whether a right row of the same time counts. Of right rows of one time the greatest tie
-    counts backward and the least forward. Without a right row ``match`` is null.
+    counts backward and the least forward. Without a right row ``match`` is null. Times are both
+    timestamps (a chunk is in microseconds) or both whole numbers (a chunk is in their unit).
     """
     fields = F.struct(*[F.col(c) for c in right.columns if c not in by])
     l_struct = F.struct(*[F.col(c) for c in left.columns])
@@ -22,7 +41,19 @@ def asof_join(
     none_right = F.lit(None).cast(r.schema["__right"].dataType)
     l = left.select(*by, F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__tie"), none_right.alias("__right"), l_struct.alias("__left"))
     r = r.withColumn("__left", F.lit(None).cast(l.schema["__left"].dataType))
-    order = ["__ts", "__side", "__tie"] if direction == "backward" else [F.desc("__ts"), F.asc("__side"), F.desc("__tie")]
-    seen = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    both = l.unionByName(r).withColumn("__match", F.last("__right", ignorenulls=True).over(seen))
-    return both.where("__left is not null").select("__left.*", F.col("__match").alias(match))
+    number = F.col("__ts").cast("long") if dict(r.dtypes)["__ts"] in ("bigint", "int") else micros("__ts")
+    both = l.unionByName(r).withColumn("__chunk", F.floor(number / chunk))
+
+    backward = direction == "backward"
+    order = ["__ts", "__side", "__tie"] if backward else [F.desc("__ts"), F.asc("__side"), F.desc("__tie")]
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("__near", F.last("__right", ignorenulls=True).over(before(Window.partitionBy(*by, "__chunk").orderBy(*order))))
+
+    key = F.struct("__ts", "__tie")
+    held = r.withColumn("__chunk", F.floor(number / chunk)).groupBy(*by, "__chunk").agg((F.max_by if backward else F.min_by)("__right", key).alias("__held"))
+    chunks = both.where("__left is not null").select(*by, "__chunk").distinct().join(held, [*by, "__chunk"], "full")
+    along = before(Window.partitionBy(*by).orderBy("__chunk" if backward else F.desc("__chunk")))
+    filled = chunks.select(*by, "__chunk", F.last("__held", ignorenulls=True).over(along).alias("__far"))
+
+    found = near.where("__left is not null").join(filled, [*by, "__chunk"], "left")
+    return found.select("__left.*", F.coalesce("__near", "__far").alias(match))
