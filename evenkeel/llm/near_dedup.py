@@ -41,6 +41,7 @@ PERCENT = 75
 SHARED, LIKELY = 28, 28
 #: Members compared with each other in one go.
 BLOCK_ROWS = 512
+SALTS = 32
 
 
 def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
@@ -163,12 +164,16 @@ def near_links(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
 
     labels = component_labels(links, "a", "b")
     with_component = groups.join(labels.withColumnRenamed("node", "key"), "key", "left").select("pivot", "key", F.coalesce("component", "key").alias("component"))
-    hub = with_component.where("pivot = key").select("pivot", F.col("component").alias("hub"))
-    seen = with_component.join(hub, "pivot").select("pivot", "key", "component", (F.col("component") != F.col("hub")).alias("straggler"))
-    stragglers = seen.groupBy("pivot").agg(F.count_if("straggler").alias("out"), F.count(F.lit(1)).alias("size")).where("out > 0 and size > 2")
+    sizes = with_component.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("pivot") == F.col("key")).alias("is_hub"))
+    hubs = sizes.groupBy("pivot").agg(
+        F.sum("n").alias("size"), F.sum(F.when(~F.col("is_hub"), F.col("n")).otherwise(0)).alias("out"), F.max(F.when(F.col("is_hub"), F.col("component"))).alias("hub")
+    ).where("out > 0 and size > 2")
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS))  # a pivot may have any number of members
+    hubs = hubs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    seen = with_component.withColumn("salt", salt).join(hubs, ["pivot", "salt"]).withColumn("straggler", F.col("component") != F.col("hub"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
     hashed = F.xxhash64("key")
-    seen = seen.join(stragglers, "pivot").withColumns({"rows": blocks("out"), "columns": blocks("size")})
+    seen = seen.withColumns({"rows": blocks("out"), "columns": blocks("size")})
     as_row = seen.where("straggler").select("pivot", "key", "component", "straggler", F.pmod(hashed, "rows").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns").cast("long") - 1)).alias("c"))
     as_column = seen.select("pivot", "key", "component", F.lit(False).alias("straggler"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows").cast("long") - 1)).alias("r"), F.pmod(hashed, "columns").alias("c"))
     tiles = as_row.unionByName(as_column.select(*as_row.columns))
@@ -191,5 +196,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """Of each component the document with the least key, whole."""
-    kept = near_components(docs, "doc_id", "text").where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = near_components(docs, "doc_id", "text").where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].alias("key"))
+    return rows.join(gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")
