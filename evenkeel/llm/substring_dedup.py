@@ -1,21 +1,23 @@
 """Removal of passages that an earlier document already has, located by Aho-Corasick automata.
 
 A passage is any run of ``WINDOW`` consecutive words. Documents are dealt into blocks of a few
-megabytes by a hash, and every step works on (something, block) rows, of which even the most common
-passage has at most one for each block:
+megabytes by a hash of their key, and every step works on (something, block) rows, of which even the
+most common passage has at most one for each block:
 
 1. Each block lists the anchors of its documents, the least hash of the word 5-grams of each window.
    Equal windows have equal anchors, so a window can recur only if its anchor does.
 2. Blocks hash those windows whose anchor recurs. The least document of each window hash is where
    the passage comes from; the blocks that hold it later need that document's passages.
-3. Each block compiles the passages it needs into its own automaton over words, streams all its
-   documents through it, and marks each word of each occurrence that comes after its source.
+3. Each block compiles the anchor phrases of the passages it needs into its own automaton, streams
+   all its documents through it, and grows each occurrence word by word along the passage. Grown
+   stretches of WINDOW words and more are marked if the passage's document is earlier.
 
-Hashes only choose what to compile; the automaton compares the words themselves. The automata are
-sharded by block, so their size follows the block and not the corpus.
+Hashes only choose what to compile; the words themselves decide. The automata are sharded by block,
+so their size follows the block and not the corpus.
 
-A null text has no words. Rows with a null key count as later than all others. Rows with equal
-keys are never each other's source. A document with fewer than WINDOW words keeps them all.
+A null text has no words. Rows with a null key are nobody's source and count as later than all
+others. Rows with equal keys are never each other's source. A document with fewer than WINDOW words
+keeps them all.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.llm.common import documents, prepared
 from evenkeel.llm.words import Words, chunked
@@ -35,12 +38,13 @@ from evenkeel.llm.words import Words, chunked
 WINDOW, GRAM = 13, 5
 BLOCK_BYTES = 4 << 20
 BLOCKS_PER_PARTITION = 32
-LAST = 2**63 - 1
+#: Null keys are dealt as numbers from here on.
+NO_KEY = 2**63 - 1 - (1 << 20)
 _word = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _keys(table: pa.Table) -> np.ndarray:
-    return table.column("key").fill_null(LAST).to_numpy().astype(np.int64)
+    return table.column("key").to_numpy().astype(np.int64)
 
 
 def _texts(table: pa.Table) -> list[bytes | None]:
@@ -63,15 +67,15 @@ def _windows(table: pa.Table) -> Iterator[tuple[int, Words, np.ndarray, np.ndarr
         yield at, words, owner[start], least[start], start
 
 
-def _span_of_keys(values: list[np.ndarray], keys: list[np.ndarray], name: str, block: int) -> pa.Table:
-    """Distinct values with the least and the greatest key of each."""
+def _span_of_keys(values: list[np.ndarray], keys: list[np.ndarray], name: str) -> pa.Table:
+    """Distinct values with the least key of each, and the greatest where it is another."""
     value, key = np.concatenate(values or [np.zeros(0, np.uint64)]), np.concatenate(keys or [np.zeros(0, np.int64)])
     order = np.argsort(value, kind="stable")
     value, key = value[order], key[order]
     head = np.flatnonzero(np.diff(value, prepend=value[:1] ^ np.uint64(1))) if len(value) else np.zeros(0, np.int64)
     low = np.minimum.reduceat(key, head) if len(head) else key
     high = np.maximum.reduceat(key, head) if len(head) else key
-    return pa.table({name: value[head].view(np.int64), "block": np.full(len(head), block, np.int64), "low": low, "high": high})
+    return pa.table({name: value[head].view(np.int64), "low": low, "high": pa.array(high, mask=high == low)})
 
 
 def _changes(value: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -86,7 +90,7 @@ def _anchors(table: pa.Table) -> pa.Table:
         new = _changes(anchor, owner)
         values.append(anchor[new])
         keys.append(key[at + owner[new]])
-    return _span_of_keys(values, keys, "anchor", table.column("block")[0].as_py())
+    return _span_of_keys(values, keys, "anchor")
 
 
 def _recurring(table: pa.Table, anchors: pa.Table) -> Iterator[tuple[int, Words, np.ndarray, np.ndarray]]:
@@ -102,13 +106,12 @@ def _recurring(table: pa.Table, anchors: pa.Table) -> Iterator[tuple[int, Words,
 
 def _window_hashes(table: pa.Table, anchors: pa.Table) -> pa.Table:
     values, keys = [], []
-    block = table.column("block")[0].as_py() if table.num_rows else -1
     if table.num_rows:
         key = _keys(table)
         for at, words, owner, start in _recurring(table, anchors):
             values.append(words.windows(WINDOW)[0][start])
             keys.append(key[at + owner])
-    return _span_of_keys(values, keys, "hash", block)
+    return _span_of_keys(values, keys, "hash")
 
 
 def _passages(table: pa.Table, anchors: pa.Table) -> pa.Table:
@@ -125,45 +128,105 @@ def _passages(table: pa.Table, anchors: pa.Table) -> pa.Table:
     return pa.table({"source": pa.array(sources, pa.int64()), "passage": pa.array(out, pa.binary())})
 
 
+def _anchor_places(words: Words, wanted: np.ndarray) -> np.ndarray:
+    """Where the anchors of the wanted windows (by start) stand; of equal hashes the first counts."""
+    grams, _ = words.windows(GRAM)
+    places = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1)[wanted]
+    return wanted + places.argmin(axis=1)
+
+
 class Locator:
-    """An automaton over the words of passages; only windows that ``present`` holds are compiled."""
+    """An automaton over the anchor phrases of passages.
+
+    Only windows whose hash is in ``present`` (sorted) count, each from its least source. A word is
+    two letters, so that no node has many children.
+    """
+
+    UNKNOWN = "\u3fff\u3fff"
 
     def __init__(self, sources: list[int], passages: list[bytes], present: np.ndarray):
         import ahocorasick
 
-        self.sources = sorted(set(sources))
-        number = {s: n for n, s in enumerate(self.sources)}
-        self.vocabulary: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        by_source = sorted(range(len(sources)), key=lambda i: -sources[i])  # an earlier source replaces a later one
-        ordered = [passages[i] for i in by_source]
-        for at, run in chunked(ordered):
+        self.letters: dict[bytes, str] = {}
+        self.passages: list[tuple[int, np.ndarray]] = []
+        self.entries: list[list[tuple[int, int]]] = []
+        order = sorted(range(len(sources)), key=sources.__getitem__)
+        hashes, at_passage, at_start = [], [], []
+        runs = list(chunked([passages[i] for i in order]))
+        for n, (at, run) in enumerate(runs):
+            words = Words(run)
+            found, inside = words.windows(WINDOW)
+            if len(found) and len(present):
+                place = np.minimum(np.searchsorted(present, found), len(present) - 1)
+                wanted = np.flatnonzero(inside & (present[place] == found))
+                hashes.append(found[wanted])
+                at_passage.append(np.full(len(wanted), n))
+                at_start.append(wanted)
+        self.any = any(map(len, hashes))
+        if not self.any:
+            return
+        _, first = np.unique(np.concatenate(hashes), return_index=True)  # passages stand in the order of their sources
+        run_of, start = np.concatenate(at_passage)[first], np.concatenate(at_start)[first]
+        numbers: dict[str, int] = {}
+        for n in np.unique(run_of).tolist():
+            at, run = runs[n]
             words = Words(run)
-            hashes, inside = words.windows(WINDOW)
-            if not len(hashes):
-                continue
-            place = np.minimum(np.searchsorted(present, hashes), max(len(present) - 1, 0))
-            wanted = np.flatnonzero(inside & (present[place] == hashes)) if len(present) else []
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words.data.split()]
-            owner = np.repeat(np.arange(len(run)), np.diff(words.first))[wanted]
-            for i, o in zip(wanted.tolist() if len(wanted) else [], owner.tolist(), strict=True):
-                self.automaton.add_word(tuple(ids[i : i + WINDOW]), number[sources[by_source[at + o]]])
-        self.any = len(self.automaton) > 0
-        if self.any:
-            self.automaton.make_automaton()
+            wanted = np.sort(start[run_of == n])
+            places = np.unique(_anchor_places(words, wanted))
+            owner = np.searchsorted(words.first, places, side="right") - 1
+            for o in np.unique(owner).tolist():
+                text = self.spell(run[o].split(), grow=True)
+                number = len(self.passages)
+                self.passages.append((sources[order[at + o]], self.codes(text)))
+                for p in (places[owner == o] - words.first[o]).tolist():
+                    key = text[2 * p : 2 * (p + GRAM)]
+                    if key not in numbers:
+                        numbers[key] = len(self.entries)
+                        self.entries.append([])
+                    self.entries[numbers[key]].append((number, p))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for key, number in numbers.items():
+            self.automaton.add_word(key, number)
+        self.automaton.make_automaton()
+
+    def spell(self, words: list[bytes], grow: bool = False) -> str:
+        letters = self.letters
+        if grow:
+            for w in words:
+                if w not in letters:
+                    n = len(letters)
+                    letters[w] = chr(0x100 + n // 512) + chr(0x4000 + n % 512)
+            return "".join(map(letters.__getitem__, words))
+        return "".join([letters.get(w, self.UNKNOWN) for w in words])
+
+    @staticmethod
+    def codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-16-le"), "<u4")
 
     def removed(self, words: list[bytes], key: int) -> np.ndarray:
         """Which words lie in a passage whose source is before ``key``."""
         out = np.zeros(len(words), bool)
         if not self.any or len(words) < WINDOW:
             return out
-        get, source = self.vocabulary.get, self.sources
-        ends = [end for end, n in self.automaton.iter(tuple([get(w, 0) for w in words])) if source[n] < key]
-        if ends:
-            cover = np.zeros(len(words) + 1, np.int64)
-            np.add.at(cover, np.array(ends) - WINDOW + 1, 1)
-            np.add.at(cover, np.array(ends) + 1, -1)
-            out = np.cumsum(cover[:-1]) > 0
+        text = self.spell(words)
+        codes, grown = None, {}
+        for end, number in self.automaton.iter(text):
+            at = (end + 1) // 2 - GRAM
+            for n, p in self.entries[number]:
+                source, passage = self.passages[n]
+                if source >= key or source >= NO_KEY or grown.get((n, at - p), -1) >= at:
+                    continue
+                if codes is None:
+                    codes = self.codes(text)
+                back = min(at, p)
+                length = back + min(len(codes) - at, len(passage) - p)
+                differ = np.flatnonzero(codes[at - back : at - back + length] != passage[p - back : p - back + length])
+                split = np.searchsorted(differ, back)
+                low = differ[split - 1] + 1 if split else 0
+                high = differ[split] if split < len(differ) else length
+                grown[(n, at - p)] = at - back + high - 1
+                if high - low >= WINDOW:
+                    out[at - back + low : at - back + high] = True
         return out
 
 
@@ -206,26 +269,29 @@ def remove_repeats(docs: DataFrame, key: str, text: str, with_text: bool = True,
     n_blocks = max(1, -(-total // block_bytes))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_blocks // BLOCKS_PER_PARTITION))
     rest = [c for c in docs.columns if c != text]
-    dealt = docs.select(
-        F.pmod(F.xxhash64(key, text), F.lit(n_blocks)).alias("block"), docs[key].cast("long").alias("key"), docs[text].cast("binary").alias("text"), F.struct(*rest).alias("row")
-    ).repartition(parts, "block")
+    block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks))
+    number = F.coalesce(docs[key].cast("long"), F.lit(NO_KEY) + F.pmod(F.xxhash64(text), F.lit(1 << 20)))
+    dealt = docs.select(number.alias("key"), docs[text].cast("binary").alias("text"), F.struct(*rest).alias("row"))
+    dealt = dealt.select(block_of("key").alias("block"), "*").repartition(parts, "block")
 
-    anchors = dealt.groupBy("block").applyInArrow(_anchors, "anchor long, block long, low long, high long")
+    anchors = dealt.groupBy("block").applyInArrow(_anchors, "anchor long, low long, high long")
     by_anchor = Window.partitionBy("anchor")
+    last = F.max(F.coalesce("high", "low"))
     recurring = (
-        anchors.select("block", "anchor", F.min("low").over(by_anchor).alias("first"), F.max("high").over(by_anchor).alias("last"))
+        anchors.select("anchor", "low", F.min("low").over(by_anchor).alias("first"), last.over(by_anchor).alias("last"))
         .where("first < last")
-        .select("block", "anchor")
+        .select(block_of("low").alias("block"), "anchor")
     )
     both = lambda: dealt.groupBy("block").cogroup(recurring.groupBy("block"))
-    hashes = both().applyInArrow(_window_hashes, "hash long, block long, low long, high long")
+    hashes = both().applyInArrow(_window_hashes, "hash long, low long, high long")
     by_hash = Window.partitionBy("hash")
-    needs = hashes.select("block", F.min("low").over(by_hash).alias("source"), "high").where("source < high").select("source", "block").distinct()
+    needs = hashes.select("low", F.min("low").over(by_hash).alias("source"), F.coalesce("high", "low").alias("high")).where("source < high")
+    needs = needs.where(F.col("source") < NO_KEY).select("source", block_of("low").alias("block")).distinct()
     passages = both().applyInArrow(_passages, "source long, passage binary")
     wanted = needs.join(passages, "source").select("block", "source", "passage")
 
-    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
-    schema = f"row struct<{fields}>, n_words long, n_removed long, " + ("kept binary" if with_text else "kept_sha256 string")
+    last_field = T.StructField("kept", T.BinaryType()) if with_text else T.StructField("kept_sha256", T.StringType())
+    schema = T.StructType([dealt.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), last_field])
     return dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_locate(with_text), schema)
 
 
