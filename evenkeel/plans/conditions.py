@@ -226,6 +226,18 @@ def ready_condition_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.ready_count(table(spark, sf_dir, "eval_log"), "evaluation_id", "asset")
 
 
+def asset_rules(spark: SparkSession, sf_dir: str) -> tuple[dict[str, list[C.Condition]], dict[str, DataFrame]]:
+    """Conditions over three tables: five plain ones and two with a pass of their own."""
+    now = newest(spark, sf_dir)
+    tables = {n: table(spark, sf_dir, n) for n in ("events", "orders", "lineitem")}
+    rules = {
+        "events": [C.freshness("ts", 3600, now, "fresh"), C.not_null("user_id", "user"), C.accepted_values("event_type", ["view", "click", "signup", "purchase"], "type")],
+        "orders": [C.freshness("o_orderdate", 3600, now, "fresh"), C.not_null("o_custkey", "customer")],
+        "lineitem": [C.unique("l_orderkey", "l_linenumber", name="key"), C.relationships("l_orderkey", tables["orders"], "o_orderkey", "order")],
+    }
+    return rules, tables
+
+
 @query(f"""
 WITH n AS (SELECT max(ts) AS now FROM events), e AS (SELECT max(ts) AS newest, count(*) AS rows_, count(*) FILTER (WHERE user_id IS NULL) AS nulls, count(*) FILTER (WHERE event_type NOT IN ('view', 'click', 'signup', 'purchase')) AS others FROM events),
   o AS (SELECT max(o_orderdate) AS newest, count(*) FILTER (WHERE o_custkey IS NULL) AS nulls FROM orders),
@@ -239,14 +251,7 @@ UNION ALL SELECT 'orders', 'customer', 'NotNull', state, reason FROM ({_verdict_
 UNION ALL SELECT 'lineitem', 'key', 'Unique', state, reason FROM ({_verdict_sql("x", "n", "repeated keys")} FROM u) t
 UNION ALL SELECT 'lineitem', 'order', 'Relationships', state, reason FROM ({_verdict_sql("x", "n", "orphan rows")} FROM r) t""")
 def evaluate_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = newest(spark, sf_dir)
-    tables = {n: table(spark, sf_dir, n) for n in ("events", "orders", "lineitem")}
-    rules = {
-        "events": [C.freshness("ts", 3600, now, "fresh"), C.not_null("user_id", "user"), C.accepted_values("event_type", ["view", "click", "signup", "purchase"], "type")],
-        "orders": [C.freshness("o_orderdate", 3600, now, "fresh"), C.not_null("o_custkey", "customer")],
-        "lineitem": [C.unique("l_orderkey", "l_linenumber", name="key"), C.relationships("l_orderkey", tables["orders"], "o_orderkey", "order")],
-    }
-    return C.evaluate_assets(rules, tables)
+    return C.evaluate_assets(*asset_rules(spark, sf_dir))
 
 
 @query("SELECT evaluation_id, condition_name, asset, epoch_us(started_at) AS started_us, result, CASE WHEN result = 'Drifted' THEN 'value too high' ELSE '' END AS detail FROM eval_log")
