@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from evenkeel.session import ship_package
 
 #: Rows in one Arrow batch. Documents run to 100 kB and more, so a batch stays at some megabytes.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
-def prepared(spark: SparkSession) -> SparkSession:
+def prepared(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
     """Make a session ready for operators that run Python on the executors."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return spark
 
 

@@ -12,6 +12,9 @@
 Pieces and gaps have at most ``capacity`` sizes each, so the sweeps work on runs whose number
 follows the capacity and not the corpus; rows stay distributed. The result is that of best-fit
 decreasing over all pieces.
+
+A null text is an empty document: its one piece is the final id. Rows with equal keys, and rows with
+a null key, are documents of their own.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from evenkeel.session import materialize
 
 CAPACITY = 2048
 END_ID = b"\0\0\0\0"
-CACHED_WORDS = 800_000
+CACHED_WORDS = 500_000
 letters = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 _words: dict[str, WordIds] = {}
 

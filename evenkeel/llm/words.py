@@ -20,7 +20,7 @@ BYTE_FOLDED = BYTE.copy()
 BYTE_FOLDED[ord("A") : ord("Z") + 1] = BYTE[ord("a") : ord("z") + 1]
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 2**64)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
