@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,9 @@ from evenkeel.llm.words import Spans, mix, spans
 SPACE_MARK = "▁"
 FALLBACK = 1 << 24
 TABLE_BITS = 20
+COMMON_ROWS = 3000
 _loaded: dict[str, Vocabulary] = {}
+_common: dict[tuple[str, float], Common] = {}
 
 
 def default_model() -> str:
@@ -46,6 +49,7 @@ class Vocabulary:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.path = path
         self.byte_ids = np.zeros(256, np.int32)
         self.bytes: list[bytes] = []
         pieces, ids, ranks = [], [], []
@@ -119,19 +123,27 @@ def vocabulary(path: str) -> Vocabulary:
 class Lattices:
     """Backward edges of the lattices of distinct stretches, with cumulative chances by state.
 
-    State n of stretch w is first[w] + n - 1 for its place n from 1 to its length. Edges of a state
-    stand together; ``key`` is the state plus the cumulative chance of its edges.
+    Stretches are numbered by falling length, so those that reach place n are the first ones; the
+    state of stretch w at its place n (from 1 on) is base[n] + w. Edges of a state stand together;
+    ``key`` is the state times 2**32 plus the cumulative chance of its edges in 2**32nds.
     """
 
     def __init__(self, v: Vocabulary, stretches: list[str], theta: float):
-        self.length = np.fromiter(map(len, stretches), np.int64, len(stretches))
-        self.first = np.concatenate([[0], np.cumsum(self.length)])
-        points = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), "<u4")
-        mixed = mix(points.astype(np.uint64) + np.uint64(1))
-        end_of = np.repeat(self.first[1:], self.length)
+        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        ranked = np.argsort(-sizes, kind="stable")
+        self.rank = np.empty(len(ranked), np.int64)
+        self.rank[ranked] = np.arange(len(ranked))
+        self.length = sizes[ranked]
+        longest = int(self.length[0]) if len(ranked) else 0
+        reach = np.searchsorted(-self.length, -np.arange(1, longest + 1), side="right")  # stretches of at least 1, 2, ... letters
+        self.base = np.concatenate([[0, 0], np.cumsum(reach)])
+
+        points = np.frombuffer("".join([stretches[i] for i in ranked.tolist()]).encode("utf-32-le", "surrogatepass"), "<u4")
+        first = np.cumsum(self.length) - self.length
+        owner = np.repeat(np.arange(len(ranked)), self.length)
         at = np.arange(len(points))
-        utf8 = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
-        span = Spans(mixed)
+        end_of = (first + self.length)[owner]
+        span = Spans(mix(points.astype(np.uint64) + np.uint64(1)))
         begin, size, piece, weight = [], [], [], []
         for n in range(1, v.longest + 1):
             at = at[at + n <= end_of[at]]
@@ -143,54 +155,56 @@ class Lattices:
             begin.append(at[hit])
             piece.append(v.ids[found[hit]])
             weight.append(theta * v.weight[found[hit]])
-            size.append(np.full(len(hit), n, np.int64))
+            size.append(np.full(len(hit), n, np.int16))
             if n == 1:
                 bare = np.delete(at, hit)
                 begin.append(bare)
-                size.append(np.ones(len(bare), np.int64))
+                size.append(np.ones(len(bare), np.int16))
                 piece.append(FALLBACK + points[bare].astype(np.int64))
-                weight.append(theta * v.byte_weight * utf8[bare])
+                utf8 = 1 + (points[bare] >= 0x80) + (points[bare] >= 0x800) + (points[bare] >= 0x10000)
+                weight.append(theta * v.byte_weight * utf8)
             at = at[begun]
-        begin, size, piece, weight = (np.concatenate(x) if x else np.zeros(0) for x in (begin, size, piece, weight))
-        state = begin + size - 1  # state of the edge's end; its begin is the state before, unless a stretch starts there
+        begin, size, piece, weight = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (begin, size, piece, weight))
+        stretch = owner[begin]
+        place = begin - first[stretch] + size
+        state = self.base[place] + stretch
         order = np.argsort(state, kind="stable")
-        begin, size, piece, weight, state = begin[order], size[order], piece[order], weight[order], state[order]
-        # Forward pass, place by place over all stretches: edges that end at place n of any stretch.
-        start_of = np.repeat(self.first[:-1], self.length)
-        place = state - start_of[state] if len(state) else state
-        forward = np.full(len(points), -np.inf)
-        log_in = np.zeros(len(state))
-        by_place = np.argsort(place.astype(np.uint16) if len(place) and place.max() < 1 << 16 else place, kind="stable")
-        cuts = np.searchsorted(place[by_place], np.arange(int(place.max()) + 2)) if len(place) else [0, 0]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            e = by_place[a:b]
-            if not len(e):
+        state, stretch, place, self.size, self.piece, log_in = state[order], stretch[order], place[order], size[order], piece[order], weight[order]
+
+        forward = np.zeros(int(self.base[-1]))
+        before = self.base[place - self.size] + stretch if len(state) else state
+        inner = place > self.size
+        cuts = np.searchsorted(state, self.base[1:])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # all edges that end at place 1, 2, ...
+            if a == b:
                 continue
-            before = np.where(begin[e] > start_of[state[e]], forward[begin[e] - 1], 0.0)
-            log_in[e] = before + weight[e]
-            head = np.flatnonzero(np.diff(state[e], prepend=-1))
-            top = np.maximum.reduceat(log_in[e], head)
-            spread = np.repeat(top, np.diff(np.append(head, len(e))))
-            forward[state[e][head]] = top + np.log(np.add.reduceat(np.exp(log_in[e] - spread), head))
+            part = log_in[a:b]
+            np.add(part, forward[before[a:b]], out=part, where=inner[a:b])
+            head = np.flatnonzero(np.diff(state[a:b], prepend=-1))
+            top = np.maximum.reduceat(part, head)
+            spread = np.repeat(top, np.diff(np.append(head, b - a)))
+            forward[state[a:b][head]] = top + np.log(np.add.reduceat(np.exp(part - spread), head))
         chance = np.exp(log_in - forward[state]) if len(state) else log_in
+        # In whole numbers, so that the sums within a state don't depend on what else is in the batch.
         head = np.flatnonzero(np.diff(state, prepend=-1))
-        total = np.cumsum(chance)
-        base = np.repeat(total[head] - chance[head], np.diff(np.append(head, len(state)))) if len(state) else total
-        within = np.minimum(total - base, 1.0)
+        share = np.floor(chance * 2.0**32).astype(np.int64)
         if len(state):
-            within[np.append(head[1:], len(state)) - 1] = 1.0
-        self.key, self.size, self.piece = state + within, size, piece
+            total = np.cumsum(share)
+            share = total - np.repeat(total[head] - share[head], np.diff(np.append(head, len(state))))
+            share[np.append(head[1:], len(state)) - 1] = 1 << 32
+        self.key = (state << 32) + share
 
     def sample(self, stretch: np.ndarray, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each occurrence of a stretch, one after the other; and how many each has.
 
         stream: a number for each occurrence from which its random numbers follow.
         """
+        stretch = self.rank[stretch]
         live, left = np.arange(len(stretch)), self.length[stretch].copy()
         steps, step = [], 0
         while len(live):
-            draw = (mix(stream[live] + np.uint64(step * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> np.uint64(32)).astype(np.float64) * (1 - 1e-6) / 2**32
-            edge = np.searchsorted(self.key, self.first[stretch[live]] + left - 1 + draw, side="right")
+            draw = (mix(stream[live] + np.uint64(step * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> np.uint64(32)).astype(np.int64)
+            edge = np.searchsorted(self.key, (self.base[left] + stretch[live] << 32) + draw, side="right")
             steps.append((live, self.piece[edge]))
             left = left - self.size[edge]
             live, left, step = live[left > 0], left[left > 0], step + 1
@@ -222,17 +236,56 @@ def expand_bytes(v: Vocabulary, pieces: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, sizes
 
 
+class Common:
+    """Lattices of the stretches that came at least twice among a worker's first rows, kept for all later ones.
+
+    A stretch's samples are the same whichever lattices they come from.
+    """
+
+    def __init__(self) -> None:
+        self.counts: Counter[str] = Counter()
+        self.rows = 0
+        self.numbers: dict[str, int] = {}
+        self.lattices: Lattices | None = None
+
+    def learn(self, v: Vocabulary, theta: float, found: list[list[str]]) -> None:
+        if self.lattices is None:
+            for f in found:
+                self.counts.update(f)
+            self.rows += len(found)
+            if self.rows >= COMMON_ROWS:
+                self.numbers = {s: n for n, s in enumerate(s for s, k in self.counts.items() if k > 1)}
+                self.lattices = Lattices(v, list(self.numbers), theta)
+                self.counts.clear()
+
+
 def sample_pieces(v: Vocabulary, texts: list[str | None], keys: list[int | None], seed: int, theta: float) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and how many each has."""
-    numbers: dict[str, int] = {}
+    common = _common.setdefault((v.path, theta), Common())
     found = [v.stretch.findall(" " + t) if t is not None else [] for t in texts]
+    known, n_known, numbers = common.numbers, len(common.numbers), {}
     counts = np.fromiter(map(len, found), np.int64, len(found))
-    stretch = np.fromiter((numbers.setdefault(s, len(numbers)) for f in found for s in f), np.int64, int(counts.sum()))
+    number = lambda s: known[s] if s in known else n_known + numbers.setdefault(s, len(numbers))
+    stretch = np.fromiter((number(s) for f in found for s in f), np.int64, int(counts.sum()))
     key = mix(np.array([(k or 0) & (2**64 - 1) for k in keys], np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)))
     row = np.repeat(np.arange(len(texts)), counts)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
     stream = mix(key[row] + nth.astype(np.uint64))
-    pieces, per_stretch = Lattices(v, list(numbers), theta).sample(stretch, stream)
+
+    old = np.flatnonzero(stretch < n_known)
+    new = np.flatnonzero(stretch >= n_known)
+    parts = [(new, *Lattices(v, list(numbers), theta).sample(stretch[new] - n_known, stream[new]))]
+    if len(old):
+        parts.append((old, *common.lattices.sample(stretch[old], stream[old])))
+    per_stretch = np.zeros(len(stretch), np.int64)
+    for at, _, sizes in parts:
+        per_stretch[at] = sizes
+    start = np.cumsum(per_stretch) - per_stretch
+    pieces = np.zeros(int(per_stretch.sum()), np.int64)
+    for at, found_pieces, sizes in parts:
+        pieces[np.repeat(start[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(found_pieces))] = found_pieces
+    common.learn(v, theta, found)
+
     ids, per_edge = expand_bytes(v, pieces)
     edge_row = np.repeat(row, per_stretch)
     return ids, np.bincount(edge_row, weights=per_edge, minlength=len(texts)).astype(np.int64)
@@ -261,7 +314,7 @@ def sampled_encoding(df: DataFrame, key: str, text: str, model: str | None = Non
                     [batch.column(0), lists, pa.array(counts), pa.array(crc, pa.int64()), pa.array(same)], ["key", "ids", "n_pieces", "decoded_crc32", "lossless"]
                 )
 
-    prepared(df.sparkSession)
+    prepared(df.sparkSession, rows)
     out = df.select(df[key].cast("long").alias("key"), df[text].alias("text"))
     out = out.mapInArrow(run, "key long, ids array<int>, n_pieces long, decoded_crc32 long, lossless boolean")
     return out.withColumnRenamed("key", key)
