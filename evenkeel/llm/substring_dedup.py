@@ -68,14 +68,16 @@ def _windows(table: pa.Table) -> Iterator[tuple[int, Words, np.ndarray, np.ndarr
 
 
 def _span_of_keys(values: list[np.ndarray], keys: list[np.ndarray], name: str) -> pa.Table:
-    """Distinct values with the least key of each, and the greatest where it is another."""
+    """Distinct values, each with its least key and once more with its greatest if that is another."""
     value, key = np.concatenate(values or [np.zeros(0, np.uint64)]), np.concatenate(keys or [np.zeros(0, np.int64)])
     order = np.argsort(value, kind="stable")
     value, key = value[order], key[order]
     head = np.flatnonzero(np.diff(value, prepend=value[:1] ^ np.uint64(1))) if len(value) else np.zeros(0, np.int64)
     low = np.minimum.reduceat(key, head) if len(head) else key
     high = np.maximum.reduceat(key, head) if len(head) else key
-    return pa.table({name: value[head].view(np.int64), "low": low, "high": pa.array(high, mask=high == low)})
+    two = high != low
+    value = value[head].view(np.int64)
+    return pa.table({name: np.concatenate([value, value[two]]), "key": np.concatenate([low, high[two]])})
 
 
 def _changes(value: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -274,19 +276,17 @@ def remove_repeats(docs: DataFrame, key: str, text: str, with_text: bool = True,
     dealt = docs.select(number.alias("key"), docs[text].cast("binary").alias("text"), F.struct(*rest).alias("row"))
     dealt = dealt.select(block_of("key").alias("block"), "*").repartition(parts, "block")
 
-    anchors = dealt.groupBy("block").applyInArrow(_anchors, "anchor long, low long, high long")
+    anchors = dealt.groupBy("block").applyInArrow(_anchors, "anchor long, key long")
     by_anchor = Window.partitionBy("anchor")
-    last = F.max(F.coalesce("high", "low"))
     recurring = (
-        anchors.select("anchor", "low", F.min("low").over(by_anchor).alias("first"), last.over(by_anchor).alias("last"))
+        anchors.select("anchor", "key", F.min("key").over(by_anchor).alias("first"), F.max("key").over(by_anchor).alias("last"))
         .where("first < last")
-        .select(block_of("low").alias("block"), "anchor")
+        .select(block_of("key").alias("block"), "anchor")
     )
     both = lambda: dealt.groupBy("block").cogroup(recurring.groupBy("block"))
-    hashes = both().applyInArrow(_window_hashes, "hash long, low long, high long")
-    by_hash = Window.partitionBy("hash")
-    needs = hashes.select("low", F.min("low").over(by_hash).alias("source"), F.coalesce("high", "low").alias("high")).where("source < high")
-    needs = needs.where(F.col("source") < NO_KEY).select("source", block_of("low").alias("block")).distinct()
+    hashes = both().applyInArrow(_window_hashes, "hash long, key long")
+    needs = hashes.select("key", F.min("key").over(Window.partitionBy("hash")).alias("source")).where("source < key")
+    needs = needs.where(F.col("source") < NO_KEY).select("source", block_of("key").alias("block")).distinct()
     passages = both().applyInArrow(_passages, "source long, passage binary")
     wanted = needs.join(passages, "source").select("block", "source", "passage")
 
@@ -300,6 +300,19 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, "doc_id", "text", with_text=False).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13) t),
+source AS (SELECT s, min(doc_id) AS source FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM win JOIN source ON win.s = source.s CROSS JOIN (SELECT unnest(range(0, 13)) AS k) ks WHERE source < doc_id),
+kept AS (SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.p) AS text FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p WHERE gone.p IS NULL GROUP BY word.doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN removed ON d.doc_id = removed.doc_id
+"""
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut out of the text; documents of which nothing is left go."""
     cut = remove_repeats(docs, "doc_id", "text").where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
