@@ -16,7 +16,7 @@ Two documents at the threshold are missed only if their sketches share less than
 where 48 are expected (less than one in ten million); sets of up to 48 shingles can't be missed.
 
 Rows without words or with a null key are linked with nothing; a row with a null key has no
-component and is kept. Rows that share a key count as one document.
+component and is kept. Rows that share a key count as one document, which is linked by any of its texts.
 """
 
 from __future__ import annotations
@@ -140,13 +140,13 @@ def near_links(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     linkable = sets.where("key is not null and n > 0")
     classes = linkable.groupBy("one", "two").agg(F.min("key").alias("class"))
     members = sets.join(classes, ["one", "two"], "left").select("key", "n", F.when(F.col("key").isNotNull() & (F.col("n") > 0), F.col("class")).alias("class"))
-    sketches = linkable.join(classes, (linkable["one"] == classes["one"]) & (linkable["two"] == classes["two"]) & (F.col("key") == F.col("class")))
-    sketches = materialize(sketches.select("key", "n", "sketch").dropDuplicates(["key"]))
+    sketches = linkable.join(classes, ["one", "two"]).where(F.col("key") == F.col("class"))
+    sketches = materialize(sketches.select("key", "one", "n", "sketch").dropDuplicates(["key", "one"]))
 
-    listed = sketches.select("key", F.size("sketch").alias("k"), "n", F.explode("sketch").alias("value"))
-    common = listed.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    listed = sketches.select("key", "one", F.size("sketch").alias("k"), "n", F.explode("sketch").alias("value"))
+    common = materialize(listed.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     shared = listed.join(common, "value")
-    own = Window.partitionBy("key")
+    own = Window.partitionBy("key", "one")
     t = F.when(F.col("n") <= PERCENT * SKETCH // 100, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.floor(F.col("k") * SHARED / SKETCH))
     shared = shared.select(
         "key", "value", "df", F.row_number().over(own.orderBy("df", "value")).alias("place"), (F.count(F.lit(1)).over(own) - t + 1).alias("places"), F.sum("df").over(own).alias("width")
@@ -158,9 +158,9 @@ def near_links(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
 
     spokes = groups.where("pivot <> key").select(F.col("pivot").alias("a"), F.col("key").alias("b"))
     words = rows.where("key is not null")
-    likely = _estimated(spokes, sketches)
+    likely = _estimated(spokes, sketches).distinct()
     full = lambda c: words.select(F.col("key").alias(c), F.col("text").alias(f"t_{c}"))
-    links = materialize(likely.join(full("a"), "a").join(full("b"), "b").where(_confirmed("t_a", "t_b")).select("a", "b"))
+    links = materialize(likely.join(full("a"), "a").join(full("b"), "b").where(_confirmed("t_a", "t_b")).select("a", "b").distinct())
 
     labels = component_labels(links, "a", "b")
     with_component = groups.join(labels.withColumnRenamed("node", "key"), "key", "left").select("pivot", "key", F.coalesce("component", "key").alias("component"))
@@ -194,6 +194,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(documents(spark, sf_dir), "doc_id", "text")
 
 
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5) t
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN size x ON a = x.doc_id JOIN size y ON b = y.doc_id WHERE 100 * pair.n >= 75 * (x.n + y.n - pair.n)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+component AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN size ON d.doc_id = size.doc_id JOIN component ON d.doc_id = component.doc_id
+"""
+
+
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """Of each component the document with the least key, whole."""
     gone = near_components(docs, "doc_id", "text").where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()

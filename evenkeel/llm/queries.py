@@ -17,4 +17,8 @@ QUERIES = {
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 
-ORACLE_SQL = {"op9_url_filter": url_filter.OP9_SQL}
+ORACLE_SQL = {
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
+    "op9_url_filter": url_filter.OP9_SQL,
+    "op10_minhash_near_dedup": near_dedup.OP10_SQL,
+}

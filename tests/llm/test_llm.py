@@ -402,8 +402,9 @@ def test_next_documents(spark, buckets):
 # 9
 
 
-def test_op9(spark, sf):
-    assert rows_of_frame(queries.QUERIES["op9_url_filter"](spark, sf)) == rows_of_sql(duck(sf), queries.ORACLE_SQL["op9_url_filter"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_with_sql(spark, sf, name):
+    assert rows_of_frame(queries.QUERIES[name](spark, sf)) == rows_of_sql(duck(sf), queries.ORACLE_SQL[name])
 
 
 URLS = [
@@ -479,6 +480,14 @@ def test_near_dedup(spark, docs):
     assert found == brute_near(rows)
 
 
+def test_rows_that_share_a_key(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    df = spark.createDataFrame([(1, a), (2, b), (5, a + " x"), (5, b + " x"), (5, b + " x"), (7, a)], "doc_id long, text string")
+    found = ND.near_components(df, "doc_id", "text").collect()
+    assert len(found) == 6
+    assert {r.component_id for r in found} == {1}
+
+
 # all
 
 
