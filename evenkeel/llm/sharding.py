@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm.common import documents
+from evenkeel.session import materialize
 
 
 def rendezvous_shard(key: Column, weights: Sequence[float]) -> Column:
@@ -41,7 +42,7 @@ def with_slots(df: DataFrame, shard: str, slot: str, buckets: int = 1024) -> Dat
     """
     values = [c for c in df.columns if c != shard]
     counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
-    counted = counted.withColumn("__bucket", F.pmod(F.xxhash64(*values), F.lit(buckets)))
+    counted = materialize(counted.withColumn("__bucket", F.pmod(F.xxhash64(*values), F.lit(buckets))))  # read twice below
     starts = counted.groupBy(shard, "__bucket").agg(F.sum("__n").alias("__total"))
     before = Window.partitionBy(shard).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select(shard, "__bucket", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__start"))
