@@ -118,6 +118,27 @@ def test_line_dedup_of_a_large_group_of_copies(spark):
     assert all(found[i].text == f"own {i}" for i in range(1, LD.RARE * 3))
 
 
+def without_lines_of_all_earlier(texts):
+    """The texts left when each document is aligned with every earlier one."""
+    lines = [t.split("\n") for t in texts]
+    marks = [[hash(x.strip()) if x.strip() else LD.BLANK for x in rows] for rows in lines]
+    out = []
+    for i, rows in enumerate(lines):
+        gone = {x for j in range(i) for x in LD.common_blocks(marks[i], marks[j], [len(y.strip()) for y in rows])}
+        out.append("\n".join(y for x, y in enumerate(rows) if x not in gone))
+    return out
+
+
+def test_line_dedup_finds_common_blocks_beside_rarer_lines(spark):
+    rng = random.Random(2)
+    blocks = [f"begin {b}\nend {b}" if b % 2 else f"one line of common block {b} that is long enough" for b in range(6)]
+    texts = ["\n".join([f"own {i}", *(blocks[b] for b in sorted(rng.sample(range(6), 3))), f"rare {i // 2}", f"own end {i}"]) for i in range(LD.RARE * 3)]
+    holders = Counter(line for t in texts for line in t.split("\n"))
+    assert min(holders[b.split("\n")[0]] for b in blocks) > LD.RARE
+    found = {r.row.doc_id: r.text for r in LD.without_common_lines(frame(spark, texts), "doc_id", "text").collect()}
+    assert [found[i] for i in range(len(texts))] == without_lines_of_all_earlier(texts)
+
+
 def test_op2_removes_only_what_an_earlier_document_has(spark, sf, docs):
     texts, first = dict(docs), {}
     for i, t in docs:
