@@ -139,6 +139,15 @@ def test_line_dedup_finds_common_blocks_beside_rarer_lines(spark):
     assert [found[i] for i in range(len(texts))] == without_lines_of_all_earlier(texts)
 
 
+@pytest.mark.parametrize("between", ["\n", "\n\n \n"])
+def test_line_dedup_finds_pairs_of_lines_that_stand_alone_in_the_first_documents(spark, between):
+    pair = f"x{between}y"
+    texts = ["own a\nx\nend a", "own b\ny\nend b", f"own c\n{pair}\nend c", f"own d\n{pair}\nend d", "x", f"{pair}\nz"]
+    found = {r.row.doc_id: r.text for r in LD.without_common_lines(frame(spark, texts), "doc_id", "text").collect()}
+    assert [found[i] for i in range(len(texts))] == without_lines_of_all_earlier(texts)
+    assert (found[2], found[3], found[5]) == (texts[2], "own d\nend d", "z")
+
+
 def test_op2_removes_only_what_an_earlier_document_has(spark, sf, docs):
     texts, first = dict(docs), {}
     for i, t in docs:
