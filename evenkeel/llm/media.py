@@ -97,9 +97,9 @@ _mel, _window = mel_filters(), np.hanning(FRAME).astype(np.float32)
 
 
 def log_mel(y: np.ndarray) -> np.ndarray:
-    """Frames x MELS; a signal of less than a frame is padded to one."""
-    if len(y) < FRAME:
-        y = np.concatenate([y, np.zeros(FRAME - len(y), np.float32)])
+    """Frames x MELS; silence fills up the last frame, so that every sample is in one."""
+    n = 1 + max(0, -(-(len(y) - FRAME) // HOP))
+    y = np.concatenate([y, np.zeros(FRAME + (n - 1) * HOP - len(y), np.float32)])
     out = []
     frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
     for i in range(0, len(frames), 2048):
@@ -132,11 +132,16 @@ def features(samples: bytes, rate: int) -> tuple[np.ndarray, list[tuple[int, int
     return mel, segments(level, high, low)
 
 
-def tensors(mel: np.ndarray) -> Iterator[tuple[int, float, float, np.ndarray]]:
+def frames_end(after: int, duration: float) -> float:
+    """End in seconds of the frames before ``after``; silence after the clip doesn't count."""
+    return min(((after - 1) * HOP + FRAME) / RATE_OUT, duration)
+
+
+def tensors(mel: np.ndarray, duration: float) -> Iterator[tuple[int, float, float, np.ndarray]]:
     """Windows of TENSOR_FRAMES frames with start and end in seconds; the last is padded with silence."""
     for n, i in enumerate(range(0, len(mel), TENSOR_STEP)):
         part = mel[i : i + TENSOR_FRAMES]
-        end = ((i + len(part) - 1) * HOP + FRAME) / RATE_OUT
+        end = frames_end(i + len(part), duration)
         if len(part) < TENSOR_FRAMES:
             part = np.concatenate([part, np.full((TENSOR_FRAMES - len(part), MELS), np.log(1e-6), np.float32)])
         yield n, i * HOP / RATE_OUT, end, part
@@ -164,7 +169,7 @@ def mel_tensors(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True):
                 samples, rate = from_wav(to_wav(text_payload(text)[0]))
-                rows = [(doc_id, n, a, b, m.ravel().tolist()) for n, a, b, m in tensors(features(samples, rate)[0])]
+                rows = [(doc_id, n, a, b, m.ravel().tolist()) for n, a, b, m in tensors(features(samples, rate)[0], len(samples) / rate)]
                 types = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
@@ -184,7 +189,7 @@ def _clip(text: str | None) -> tuple:
     mel, loud = features(samples, rate)
     steps = np.concatenate([mel.mean(axis=0), mel.std(axis=0)])
     feature = np.clip(np.round(steps * 16), -(2**15), 2**15 - 1).astype("<i2").tobytes().hex()
-    spans = [{"start_s": a * HOP / RATE_OUT, "end_s": ((b - 1) * HOP + FRAME) / RATE_OUT} for a, b in loud]
+    spans = [{"start_s": a * HOP / RATE_OUT, "end_s": frames_end(b, len(samples) / rate)} for a, b in loud]
     return (
         n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(),
         feature, len(samples) / rate, len(mel), spans,

@@ -291,6 +291,26 @@ def test_hysteresis():
     assert M.segments(np.array([0.5, 0.5]), 2, 1) == []
 
 
+@pytest.mark.parametrize("size", [64, 448, 512, 576, 640, 704, 768, 832])
+def test_the_last_bytes_of_a_clip_are_in_the_last_frame(size):
+    payload = bytes(random.Random(size).choices(range(256), k=size))
+    other = payload[:-64] + bytes(255 - x for x in payload[-64:])
+    (a, _), (b, _) = (M.features(x, M.RATE_IN) for x in (payload, other))
+    assert len(a) == len(b) == 1 + max(0, -(-(size // 2 - M.FRAME) // M.HOP))
+    assert np.abs(a[-1] - b[-1]).max() > 1e-3
+    texts = ["a" * (size - 64) + x * 64 for x in ("b", "~")]
+    assert M._clip(texts[0])[6] != M._clip(texts[1])[6]
+
+
+def test_times_end_with_the_clip(spark):
+    df = frame(spark, ["x" * n for n in (64, 704, 20_032)])
+    ends = {r.doc_id: r.end_s for r in M.mel_tensors(df).groupBy("doc_id").agg(F.max("end_s").alias("end_s")).collect()}
+    assert [ends[i] for i in range(3)] == [n / M.RATE_IN for n in (64, 704, 20_032)]
+    for text in ("x" * 64, "x" * 320 + "".join(map(chr, range(32, 127))) * 5):
+        *_, duration, _, spans = M._clip(text)
+        assert all(s["start_s"] < s["end_s"] <= duration for s in spans)
+
+
 def test_op6(spark, sf, docs):
     found = {r.doc_id: r for r in queries.QUERIES["op6_audio_features"](spark, sf).collect()}
     for i, t in docs:
