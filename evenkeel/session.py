@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -26,24 +27,45 @@ def ship_package(spark: SparkSession) -> None:
     sc._evenkeel_shipped = True
 
 
+def shared_folder(configured: str | None, master: str) -> str | None:
+    """The folder for scratch tables: the configured one, or none of that only where everything runs in this process."""
+    if not configured and not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return configured or None
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name in the shared scratch folder that ``spark.checkpoint.dir`` names.
 
-    Only where that setting is absent (a local session, a test) is a folder of this machine used.
+    Without that setting a local session uses a temporary folder of this machine; a cluster is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = shared_folder(spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master)
     if not base:
         base = getattr(spark.sparkContext, "_evenkeel_scratch", None) or tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext._evenkeel_scratch = base
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: lineage ends at a durable table."""
+def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back: lineage ends at a durable table.
+
+    ``discard`` deletes the table. What an operator's lazy result still reads stays there.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._evenkeel_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing will read them any more."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, getattr(df, "_evenkeel_path", None)
+        if path:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
