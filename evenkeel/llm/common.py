@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evenkeel.session import ship_package
 
-#: Rows in one Arrow batch. Documents run to 100 kB and more, so a batch stays at some megabytes.
-BATCH_ROWS = 500
+#: Rows and bytes in one Arrow batch. Documents run to megabytes, so both are bounded.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
-def prepared(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
-    """Make a session ready for operators that run Python on the executors."""
+def prepared(spark: SparkSession) -> SparkSession:
+    """Make a session ready for operators that run Python on the executors.
+
+    Batch settings that the caller has not made are made for the session; those there are stay.
+    """
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, value in BATCH.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, str(value))
     return spark
 
 

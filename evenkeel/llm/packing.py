@@ -1,39 +1,41 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity.
 
 1. Tokenise and cut (Arrow batches): a row for each piece, without its ids.
-2. Range-sort: every piece gets its rank among the pieces of its length, so the sorted pieces are
-   known run by run: length, first rank, number. So are the gaps: room left, first sequence, number.
-3. Supersteps by falling length. All pieces of a length sweep the sorted gaps together: each takes
-   the successor, the least gap that holds it. Pieces of a length are alike, so are gaps of a size,
-   and who gets which is decided by rank. Gaps shrink, and the next superstep sees them so. Pieces
-   that no gap holds open new sequences.
-4. Each piece finds its place from its length and rank.
-
-Pieces and gaps have at most ``capacity`` sizes each, so the sweeps work on runs whose number
-follows the capacity and not the corpus; rows stay distributed. The result is that of best-fit
-decreasing over all pieces.
+2. Supersteps by classes of falling length. Pieces between capacity/(k+1) and capacity/k, of which a
+   sequence holds k at most, are a class for each k up to 15; below, a class ends at two thirds of its start.
+3. In a superstep the class's pieces and the gaps of the sequences so far are sorted by size. A gap
+   has as many slots as the class's longest piece surely fits in, at least one. All pieces sweep the
+   slots at once: each takes its successor, the least slot that holds it. Where several want the same
+   slot, rank decides: a slot adds one to the height of the sorted line and a piece takes one off,
+   and a piece's slot is the last before it on its own height. That is what longest-first best fit gives.
+4. Pieces that no slot is left for open new sequences, k neighbours each. Offsets follow within a
+   sequence, gaps shrink, and the next superstep sees them so, until no class is left.
+
+Pieces and gaps are tables; every step is a window over a bounded part of them: a size's rows are
+split into buckets of about ``BUCKET_ROWS`` by hash, a height has at most two rows for each size, a
+sequence at most ``capacity`` pieces. The number of supersteps follows the capacity, not the corpus.
+The driver sees one row for each class.
 
 A null text is an empty document: its one piece is the final id. Rows with equal keys, and rows with
-a null key, are documents of their own.
+a null key, are documents of their own; who of equally long pieces gets which place follows the order
+of the rows. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import bisect
+import json
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm.common import documents, prepared
-from evenkeel.llm.sharding import with_slots
-from evenkeel.session import materialize
+from evenkeel.session import discard, materialize
 
 CAPACITY = 2048
 END_ID = b"\0\0\0\0"
@@ -48,13 +50,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The parts of a tokenizer file that the short cuts of ``WordIds`` rest on (fixed values).
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
 class WordIds(dict):
     """Ids of a word between ASCII white space, as little-endian bytes; filled as words come.
 
-    The tokenizer drops white space and never joins what stands on its two sides, so a text's ids
+    Such a tokenizer drops white space and never joins what stands on its two sides, so a text's ids
     are its words' ids one after the other. A text with a special token's opening is tokenised whole.
     Words of Latin letters go to the tokenizer's model at once, as there is nothing to normalise but
-    the case; a tail of punctuation is a word of its own to the tokenizer.
+    the case; a tail of punctuation is a word of its own to the tokenizer. A file with another
+    normalizer or pre-tokenizer is used without these short cuts, a whole text at a time.
     """
 
     def __init__(self, path: str):
@@ -63,21 +74,27 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        parts = json.loads(self.tokenizer.to_str())
+        normalizer, pre = ((parts[x] or {}).get(y) for x, y in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        specials = all(t["content"].startswith("<|") for t in parts["added_tokens"])
+        self.by_word = normalizer == NORMALIZER and pre == PRE_TOKENIZERS and specials and parts["post_processor"] is None
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
-        self.byte_letters = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+        self.byte_letters = {b: b for b in shown} | {b: 256 + n for n, b in enumerate(hidden)}
 
     def encode(self, raw: bytes) -> bytes:
         return array("I", self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         stem = word.rstrip(b".,;:!?")
-        if letters.fullmatch(stem.decode("utf-8", "replace")):
-            if stem != word:
-                ids = self[stem] + self[word[len(stem) :]]
-            else:
-                lower = word.decode().lower().encode()
-                ids = array("I", [t.id for t in self.model.tokenize("".join(map(self.byte_letters.__getitem__, lower)))]).tobytes()
+        if stem != word:
+            ids = self[stem] + self[word[len(stem) :]] if is_word(stem) else self.encode(word)
+        elif word.isalpha():  # ASCII letters
+            lower = word.lower()
+            ids = array("I", [t.id for t in self.model.tokenize(lower.decode())]).tobytes() if lower == word else self[lower]
+        elif is_word(word):
+            spelled = word.decode().lower().encode().decode("latin-1").translate(self.byte_letters)
+            ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         else:
             ids = self.encode(word)
         if len(self) >= CACHED_WORDS:
@@ -86,7 +103,12 @@ class WordIds(dict):
         return ids
 
     def text(self, raw: bytes) -> bytes:
-        return self.encode(raw) if b"<|" in raw else b"".join(map(self.__getitem__, raw.split()))
+        return b"".join(map(self.__getitem__, raw.split())) if self.by_word and b"<|" not in raw else self.encode(raw)
+
+
+def is_word(stem: bytes) -> bool:
+    """Whether it is made of Latin letters only, precomposed and of one lower-case letter each."""
+    return stem.isalpha() or bool(letters.fullmatch(stem.decode("utf-8", "replace")))
 
 
 def word_ids(path: str) -> WordIds:
@@ -120,77 +142,87 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, PIECES)
 
 
-class Gaps:
-    """Sequences with room, as runs of (first sequence, number) by the room that is left."""
-
-    def __init__(self) -> None:
-        self.sizes: list[int] = []
-        self.runs: dict[int, list[tuple[int, int]]] = {}
-
-    def add(self, size: int, first: int, number: int) -> None:
-        if size and number:
-            if size not in self.runs:
-                bisect.insort(self.sizes, size)
-                self.runs[size] = []
-            self.runs[size].append((first, number))
-
-    def successor(self, size: int) -> tuple[int, int, int] | None:
-        """Take out a run of the least gaps of at least ``size``."""
-        at = bisect.bisect_left(self.sizes, size)
-        if at == len(self.sizes):
-            return None
-        room = self.sizes[at]
-        first, number = self.runs[room].pop()
-        if not self.runs[room]:
-            del self.runs[room], self.sizes[at]
-        return room, first, number
-
-
-def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Moves (length, first rank, first sequence, first offset, pieces for each sequence)."""
-    gaps, opened, moves = Gaps(), 0, []
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            found = gaps.successor(length)
-            if found is None:
-                number = -(-left // (capacity // length))
-                found = capacity, opened, number
-                opened += number
-            room, first, number = found
-            each = room // length
-            full = min(number, left // each)
-            moves.append((length, rank, first, capacity - room, each))
-            gaps.add(room - each * length, first, full)
-            taken, first, number = full * each, first + full, number - full
-            if number and left > taken:
-                part = left - taken
-                gaps.add(room - part * length, first, 1)
-                taken, first, number = left, first + 1, number - 1
-            gaps.add(room, first, number)
-            rank, left = rank + taken, left - taken
-    return moves
+HARMONIC, SHRINK = 15, 1.5
+BUCKET_ROWS = 200_000
+
+
+def classes(capacity: int) -> list[int]:
+    """Greatest length of each class, falling; a class ends above the next one's greatest length."""
+    tops = [capacity // k for k in range(1, min(HARMONIC, capacity) + 1)]
+    while (top := int(tops[-1] / SHRINK if len(tops) > HARMONIC else capacity // (HARMONIC + 1))) >= 1:
+        tops.append(top)
+    return sorted({*tops, 1}, reverse=True)
+
+
+def _heights(rows: DataFrame) -> DataFrame:
+    """``rows`` (size, is_piece, id, nth) with ``height``, the number of slots less that of pieces up to each.
+
+    The line runs by falling size, slots before pieces. For a piece it is the height before it, so
+    that a piece and the slot it takes have the same.
+    """
+    sizes = rows.groupBy("size", "is_piece").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("buckets"))
+    dealt = rows.join(F.broadcast(sizes), ["size", "is_piece"]).withColumn("bucket", F.pmod(F.xxhash64("id", "nth"), "buckets")).drop("buckets")
+    totals = dealt.groupBy("size", "is_piece", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    line = Window.orderBy(F.desc("size"), "is_piece", "bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    step = F.when(F.col("is_piece"), -F.col("n")).otherwise(F.col("n"))
+    starts = totals.select("size", "is_piece", "bucket", F.coalesce(F.sum(step).over(line), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("size", "is_piece", "bucket").orderBy("id", "nth"))
+    placed = dealt.withColumn("place", place).join(F.broadcast(starts), ["size", "is_piece", "bucket"])
+    return placed.withColumn("height", F.when(F.col("is_piece"), F.col("start") - F.col("place") + 1).otherwise(F.col("start") + F.col("place"))).drop("place", "start", "bucket")
+
+
+def superstep(pieces: DataFrame, gaps: DataFrame, top: int, low: int, capacity: int, number: int) -> DataFrame:
+    """The pieces (id, length, ...) of one class with sequence_id, offset, and room: that of its sequence before."""
+    slots = F.greatest(F.lit(1).cast("long"), F.floor(F.col("room") / top))
+    open_gaps = gaps.where(F.col("room") >= low).select(F.floor(F.col("room") / slots).cast("long").alias("size"), F.lit(False).alias("is_piece"), F.col("sequence_id").alias("id"), F.explode(F.sequence(F.lit(1).cast("long"), slots)).alias("nth"), "room")
+    rest = F.struct(*pieces.columns).alias("piece")
+    rows = pieces.select(F.col("length").alias("size"), F.lit(True).alias("is_piece"), "id", F.lit(0).cast("long").alias("nth"), F.lit(None).cast("long").alias("room"), rest)
+    line = _heights(open_gaps.withColumn("piece", F.lit(None).cast(rows.schema["piece"].dataType)).unionByName(rows))
+    same = Window.partitionBy("height").orderBy(F.desc("size"), "is_piece")
+    line = line.withColumn("slot", F.lag(F.when(~F.col("is_piece"), F.struct("id", "room"))).over(same)).where("is_piece")
+    first_new = F.col("slot").isNull()
+    group = F.when(first_new, F.floor(-F.col("height") / (capacity // top))).otherwise(F.col("slot.id"))
+    seated = line.select("piece.*", first_new.alias("new"), group.alias("group"), F.coalesce("slot.room", F.lit(capacity)).cast("long").alias("room"))
+    mates = Window.partitionBy("new", "group").orderBy("id")
+    before = F.coalesce(F.sum("length").over(mates.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sequence = F.when(F.col("new"), F.lit(number << 44) + F.col("group")).otherwise(F.col("group"))
+    return seated.select(*pieces.columns, sequence.alias("sequence_id"), (F.lit(capacity) - F.col("room") + before).alias("offset"), "new", before.alias("before"))
+
+
+def _gaps_after(gaps: DataFrame | None, placed: DataFrame, capacity: int) -> DataFrame:
+    """Rooms once the placed pieces are in; full sequences go."""
+    opened = F.when(F.col("new") & (F.col("before") == 0), F.lit(capacity)).otherwise(0)
+    change = placed.select("sequence_id", (opened - F.col("length")).cast("long").alias("room"))
+    change = change if gaps is None else gaps.unionByName(change)
+    return change.groupBy("sequence_id").agg(F.sum("room").alias("room")).where("room > 0")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
-    pieces = materialize(pieces)
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
-    moves = sorted(sweep(counts, capacity))
-    shared = pieces.sparkSession.sparkContext.broadcast(np.array(moves, np.int64).reshape(-1, 5))
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        table = shared.value
-        keys = (table[:, 0] << 48) + table[:, 1]
-        for length, rank in batches:
-            length, rank = length.to_numpy(np.int64), rank.to_numpy(np.int64)
-            move = table[np.searchsorted(keys, (length << 48) + rank, side="right") - 1]
-            nth = rank - move[:, 1]
-            yield pd.DataFrame({"sequence_id": move[:, 2] + nth // move[:, 4], "offset": move[:, 3] + nth % move[:, 4] * length})
-
-    ranked = with_slots(pieces, "length", "__rank", buckets=16).withColumn("__place", place("length", "__rank"))
-    return ranked.select(*pieces.columns, "__place.sequence_id", "__place.offset")
+    columns = pieces.columns
+    tops = classes(capacity)
+    number = F.size(F.filter(F.array(*map(F.lit, tops)), lambda x: x >= F.col("length")))
+    numbered = pieces.select("*", number.alias("class"), F.monotonically_increasing_id().alias("id"))
+    pieces = materialize(numbered.hint("rebalance", "class"), "class")
+    found = pieces.groupBy("class").agg(F.min("length").alias("low"), F.max("length").alias("top")).orderBy("class").collect()  # a row for each class
+    gaps, done = None, []
+    for r in found:
+        ours = pieces.where(F.col("class") == r["class"]).drop("class")
+        if 2 * r["low"] > capacity:  # each has a sequence of its own
+            step = ours.select("*", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+            gaps, old = materialize(step.select("sequence_id", (F.lit(capacity) - F.col("length")).cast("long").alias("room")).where("room > 0")), gaps
+            done.append(step.select(*columns, "sequence_id", "offset"))
+        else:
+            now = gaps if gaps is not None else pieces.sparkSession.createDataFrame([], "sequence_id long, room long")
+            placed = materialize(superstep(ours, now, r["top"], r["low"], capacity, (1 << 18) + r["class"]))
+            gaps, old = materialize(_gaps_after(gaps, placed, capacity)), gaps
+            done.append(placed.select(*columns, "sequence_id", "offset"))
+        if old is not None:
+            discard(old)
+    if gaps is None:
+        return pieces.select(*columns, F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    discard(gaps)
+    return reduce(DataFrame.unionByName, done)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

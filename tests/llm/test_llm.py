@@ -1,5 +1,6 @@
 """The corpus operators against brute force, exact round trips and odd input."""
 
+import bisect
 import hashlib
 import random
 import zlib
@@ -347,33 +348,63 @@ def test_word_ids_of_any_text(text):
     assert ids.text(text.encode()) == np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.dictionaries(st.integers(1, 60), st.integers(1, 30), max_size=20))
-def test_sweep_is_best_fit_decreasing(counts):
-    capacity = 60
-    bins = []
-    for length in sorted((n for n, k in counts.items() for _ in range(k)), reverse=True):
-        fit = [x for x in bins if x >= length]
-        if fit:
-            bins.remove(min(fit))
-            bins.append(min(fit) - length)
+def test_another_tokenizer_is_used_as_it_is(docs):
+    import public_tokenizers
+
+    ids = P.word_ids(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not ids.by_word
+    for _, text in docs[:5]:
+        assert ids.text(text.encode()) == np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def best_fit_decreasing(lengths, capacity):
+    gaps, opened = [], 0
+    for length in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, length)
+        if at == len(gaps):
+            opened, room = opened + 1, capacity
         else:
-            bins.append(capacity - length)
-    used, spans = defaultdict(list), Counter()
-    moves = P.sweep(counts, capacity)
-    for n, (length, rank, first, offset, each) in enumerate(moves):
-        same = [m[1] for m in moves[n + 1 :] if m[0] == length]
-        for k in range((same[0] if same else counts[length]) - rank):
-            used[first + k // each].append((offset + k % each * length, length))
-            spans[length] += 1
-    assert spans == counts
-    assert len(used) == len(bins)
+            room = gaps.pop(at)
+        if room > length:
+            bisect.insort(gaps, room - length)
+    return opened
+
+
+def sequences(rows, capacity):
+    """Number of sequences, all of them without gaps or overlaps."""
+    used = defaultdict(list)
+    for r in rows:
+        used[r.sequence_id].append((r.offset, r.length))
     for pieces in used.values():
         at = 0
         for offset, length in sorted(pieces):
             assert offset == at
             at += length
         assert at <= capacity
+    return len(used)
+
+
+@pytest.mark.parametrize("capacity, longest", [(60, 60), (40, 9), (7, 3), (1, 1)])
+def test_packing_is_as_good_as_best_fit_decreasing(spark, capacity, longest):
+    rng = random.Random(capacity)
+    lengths = [rng.randint(1, longest) for _ in range(400)] + [longest // 3 + 1] * 300  # a third and more of one length
+    df = spark.createDataFrame([(i % 50, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    found = P.pack(df, capacity).collect()
+    assert sorted((r.ids_crc32, r.length) for r in found) == list(enumerate(lengths))
+    assert sequences(found, capacity) <= best_fit_decreasing(lengths, capacity)
+
+
+def test_buckets_of_a_size_give_the_same_heights(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(rng.randint(1, 5), rng.random() < 0.5, i, 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "size long, is_piece boolean, id long, nth long")
+    want, height = [], 0
+    for size, is_piece, _, _ in sorted(rows, key=lambda r: (-r[0], r[1])):
+        want.append((size, is_piece, height if is_piece else height + 1))
+        height += -1 if is_piece else 1
+    for most in (10**6, 7):
+        monkeypatch.setattr(P, "BUCKET_ROWS", most)
+        assert sorted((r["size"], r.is_piece, r.height) for r in P._heights(df).collect()) == sorted(want)
 
 
 def test_op7(spark, sf, docs):
@@ -385,16 +416,7 @@ def test_op7(spark, sf, docs):
         for n, a in enumerate(range(0, len(ids), 2048)):
             want[i, n] = (a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes()))
     assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in found} == want
-    used = defaultdict(list)
-    for r in found:
-        used[r.sequence_id].append((r.offset, r.length))
-    for pieces in used.values():
-        at = 0
-        for offset, length in sorted(pieces):
-            assert offset == at
-            at += length
-        assert at <= 2048
-    assert len(used) <= 1.02 * sum(r.length for r in found) / 2048 + 1
+    assert sequences(found, 2048) == best_fit_decreasing([r.length for r in found], 2048)
 
 
 # 8
