@@ -24,13 +24,18 @@ def tags_to_labels(tags: Column, prefix: str = "dbt/") -> Column:
     return F.map_from_entries(labels)
 
 
-def selected_model(command: Column) -> Column:
-    """The model named after --select or -s in a job's command, without depth marks; null for x:y selectors."""
-    words = F.split(command, r"\s+")
-    at = F.coalesce(*[F.when(F.array_position(words, F.lit(flag)) > 0, F.array_position(words, F.lit(flag))) for flag in ("--select", "-s")])
-    token = F.try_element_at(words, (at + 1).cast("int"))
-    bare = F.regexp_replace(token, r"^[0-9]*\+|\+[0-9]*$", "")
-    return F.when(~F.contains(token, F.lit(":")), bare)
+def selected_models(command: Column) -> Column:
+    """Models named after each --select or -s in a job's command, without depth marks; x:y selectors are none."""
+    state = "struct<flag:boolean,found:array<string>>"
+    start = F.struct(F.lit(False).alias("flag"), F.array().cast("array<string>").alias("found")).cast(state)
+
+    def step(acc: Column, word: Column) -> Column:
+        found = F.when(acc["flag"], F.array_append(acc["found"], word)).otherwise(acc["found"])
+        return F.struct((~acc["flag"] & word.isin("--select", "-s")).alias("flag"), found.alias("found")).cast(state)
+
+    named = F.aggregate(F.split(command, r"\s+"), start, step)["found"]
+    bare = F.transform(named, lambda w: F.regexp_replace(w, r"^[0-9]*\+|\+[0-9]*$", ""))
+    return F.filter(bare, lambda w: (w != "") & ~F.contains(w, F.lit(":")))
 
 
 def json_cell(json: Column, path: str, compare: bool = False) -> Column:

@@ -2,7 +2,8 @@
 
 Every round hangs neighbours onto the least node they can see and costs two grouped minima and two
 joins; the number of rounds grows with the logarithm of a component's size. Rounds end in the shared
-scratch folder, so neither lineage nor a lost executor costs more than a round.
+scratch folder, so neither lineage nor a lost executor costs more than a round. The end is reached
+when a round leaves every edge as it was.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.session import materialize
+from evenkeel.session import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,11 +33,12 @@ def component_labels(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     one, two = F.col(a), F.col(b)
     star = edges.where(one.isNotNull() & two.isNotNull() & (one != two)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    star, seen = materialize(star), None
+    star = materialize(star)
     while True:
-        star = materialize(_small_star(_large_star(star)))
-        state = tuple(star.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.count_distinct("b")).head())
-        if state == seen:
+        star, old = materialize(_small_star(_large_star(star))), star
+        changed = star.join(old, ["a", "b"], "left_anti")
+        done = changed.isEmpty() and star.count() == old.count()
+        discard(old)
+        if done:
             break
-        seen = state
     return star.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(star.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,11 +1,13 @@
 """Lineage graphs: closures, selection, components, cycles, waves and gates.
 
-Edges are (src, dst). Iterations keep only a frontier: each round joins the frontier with the edges
-and drops what was seen; rounds are written to the shared scratch folder, so plans stay short.
+Edges are (src, dst). Iterations keep only a frontier: each round joins the newest nodes with the
+edges, which are written out once, so a fixture or view behind them is not computed again. Rounds are
+written to the shared scratch folder, so plans stay short; tables that no result reads are deleted.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.operators.components import component_labels
-from evenkeel.session import materialize
+from evenkeel.session import discard, materialize
 
 
 def build_edges(assets: DataFrame) -> DataFrame:
@@ -29,23 +31,34 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return down.join(up, "node", "full").select("node", F.coalesce("upstreams", none).alias("upstreams"), F.coalesce("downstreams", none).alias("downstreams"))
 
 
+#: Levels of a closure that are put into one table, so that a deep closure doesn't read ever more of them.
+FOLD = 8
+
+
 def closure(edges: DataFrame, roots: DataFrame, direction: str = "down", depth: int | None = None) -> DataFrame:
     """(node, level): roots and all nodes reachable from them, with the least number of steps.
 
-    direction is down (along edges) or up. Only the newest level is joined in each round.
+    direction is down (along edges) or up. Only the newest level is joined with the edges in each round;
+    what it finds is held against the nodes seen so far, in at most ``FOLD`` tables.
     """
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
-    steps = edges.select(F.col(a).alias("__from"), F.col(b).alias("node"))
+    steps = materialize(edges.select(F.col(a).alias("__from"), F.col(b).alias("node")))
     level = 0
-    frontier = materialize(roots.select(F.col(roots.columns[0]).alias("node")).distinct())
-    seen = [frontier.withColumn("level", F.lit(0).cast("long"))]
+    at_level = lambda n: F.lit(n).cast("long").alias("level")
+    seen = [materialize(roots.select(F.col(roots.columns[0]).alias("node")).distinct().select("node", at_level(0)))]
+    frontier = seen[0]
     while depth is None or level < depth:
-        found = frontier.select(F.col("node").alias("__from")).join(steps, "__from").select("node").distinct()
         level += 1
-        frontier = materialize(found.join(reduce(DataFrame.unionByName, [s.select("node") for s in seen]), "node", "left_anti"))
+        found = frontier.select(F.col("node").alias("__from")).join(steps, "__from").select("node").distinct()
+        frontier = materialize(found.join(reduce(DataFrame.unionByName, seen), "node", "left_anti").select("node", at_level(level)))
         if frontier.isEmpty():
             break
-        seen.append(frontier.withColumn("level", F.lit(level).cast("long")))
+        seen.append(frontier)
+        if len(seen) == FOLD:
+            folded = materialize(reduce(DataFrame.unionByName, seen))
+            discard(*seen[:-1])
+            seen = [folded]
+    discard(steps)
     return reduce(DataFrame.unionByName, seen)
 
 
@@ -62,6 +75,46 @@ def select_label(nodes: DataFrame, key: str, value: str | None = None) -> DataFr
     return found
 
 
+def parse_selector(text: str) -> tuple[int | None, list[str], int | None]:
+    """Levels up, the patterns to intersect, and levels down of ``N+pattern,pattern+M``.
+
+    Levels are 0 without a plus sign and None, that is all, for one without a number.
+    """
+    up, patterns, down = re.fullmatch(r"(?:([0-9]*)\+)?+(.*?)(?:\+([0-9]*))?", text, re.DOTALL).groups()
+    if not all(patterns.split(",")):
+        raise ValueError(f"the selector {text!r} has an empty part")
+    levels = lambda mark: 0 if mark is None else int(mark) if mark else None
+    return levels(up), patterns.split(","), levels(down)
+
+
+def select_one(nodes: DataFrame, edges: DataFrame, selector: str) -> DataFrame:
+    """Nodes of one selector: those of all its patterns (a name, ``label:key`` or ``label:key=value``), with their surroundings.
+
+    nodes: node, labels map. A pattern that nothing matches is an error.
+    """
+    up, patterns, down = parse_selector(selector)
+    found = []
+    for pattern in patterns:
+        if pattern.startswith("label:"):
+            key, given, value = pattern.removeprefix("label:").partition("=")
+            if not key:
+                raise ValueError("a label selector needs a key")
+            found.append(select_label(nodes, key, value if given else None))
+        else:
+            named = nodes.where(F.col("node") == pattern).select("node")
+            if named.isEmpty():
+                raise ValueError(f"no node has the name {pattern}")
+            found.append(named)
+    roots = reduce(DataFrame.intersect, found)
+    around = [closure(edges, roots, way, depth).select("node") for way, depth in (("up", up), ("down", down)) if depth != 0]
+    return reduce(DataFrame.unionByName, around, roots).distinct()
+
+
+def select(nodes: DataFrame, edges: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
+    """Nodes of any of the selectors, all nodes if there is none, without those of the excluding ones."""
+    return select_nodes(nodes, [[select_one(nodes, edges, s)] for s in include], [[select_one(nodes, edges, s)] for s in exclude])
+
+
 def select_nodes(nodes: DataFrame, include: Sequence[Sequence[DataFrame]], exclude: Sequence[Sequence[DataFrame]] = ()) -> DataFrame:
     """Set algebra over selections: inner lists intersect, outer lists unite, excluded nodes go; no list is all nodes."""
     intersect = lambda parts: reduce(DataFrame.intersect, [p.select("node") for p in parts])
@@ -85,35 +138,47 @@ def component_sizes(found: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     return assets.join(inside, "component", "left").crossJoin(F.broadcast(total)).select("component", "assets", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"), "too_many")
 
 
+def _peel(nodes: DataFrame, edges: DataFrame) -> list[DataFrame]:
+    """(node, wave) for each round in which nodes run out of incoming edges; nodes on and below cycles never do.
+
+    Every edge knows how many its target has. A round counts the edges from the newest nodes by
+    target and adds them to the counts of targets that wait, so each edge is joined once.
+    """
+    edges = edges.select("src", "dst").distinct()
+    needs = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("need"))
+    steps = materialize(edges.join(needs, "dst"))
+    free = nodes.select("node").distinct().join(steps.select(F.col("dst").alias("node")), "node", "left_anti")
+    rounds = [materialize(free.withColumn("wave", F.lit(0).cast("long")))]
+    waiting = None
+    while not rounds[-1].isEmpty():
+        met = rounds[-1].select(F.col("node").alias("src")).join(steps, "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("seen"), F.max("need").alias("need"))
+        if waiting is not None:
+            met = met.unionByName(waiting.where("seen < need")).groupBy("node").agg(F.sum("seen").alias("seen"), F.max("need").alias("need"))
+        met, old = materialize(met), waiting
+        rounds.append(materialize(met.where("seen = need").select("node", F.lit(len(rounds)).cast("long").alias("wave"))))
+        waiting = met
+        if old is not None:
+            discard(old)
+    discard(steps, *([waiting] if waiting is not None else []))
+    return rounds
+
+
 def cycle_residue(edges: DataFrame) -> DataFrame:
     """Nodes left when nodes without incoming edges are removed again and again: cycles and all below them."""
-    left = materialize(edges.select("src", "dst").distinct())
-    number = left.count()
-    while True:
-        targets = left.select(F.col("dst").alias("src")).distinct()
-        left = materialize(left.join(targets, "src", "left_semi"))
-        now = left.count()
-        if now == number:
-            break
-        number = now
-    return left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    return nodes.join(reduce(DataFrame.unionByName, _peel(nodes, edges)), "node", "left_anti")
 
 
 def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, wave): the longest path from a root, so every upstream has a smaller wave. Edges have no cycle."""
-    steps = materialize(edges.select("src", "dst").distinct())
-    wave = 0
-    frontier = materialize(steps.select(F.col("dst").alias("node")).distinct())
-    levels = [nodes.select("node").distinct().withColumn("wave", F.lit(0).cast("long"))]
-    most = None
-    while not frontier.isEmpty():
-        wave += 1
-        levels.append(frontier.withColumn("wave", F.lit(wave).cast("long")))
-        frontier = materialize(frontier.select(F.col("node").alias("src")).join(steps, "src").select(F.col("dst").alias("node")).distinct())
-        most = most or nodes.count()
-        if wave > most:
-            raise ValueError("the edges have a cycle")
-    return reduce(DataFrame.unionByName, levels).groupBy("node").agg(F.max("wave").alias("wave"))
+    """(node, wave): the longest path from a root, so every upstream has a smaller wave. Edges have no cycle.
+
+    Nodes that only an edge names are there too.
+    """
+    nodes = reduce(DataFrame.unionByName, [nodes.select("node"), *(edges.select(F.col(c).alias("node")) for c in ("src", "dst"))]).distinct()
+    found = reduce(DataFrame.unionByName, _peel(nodes, edges))
+    if found.count() < nodes.count():
+        raise ValueError("the edges have a cycle")
+    return found
 
 
 def gate(assets: DataFrame, edges: DataFrame, readiness: DataFrame) -> DataFrame:

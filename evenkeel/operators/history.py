@@ -190,11 +190,20 @@ def link_evaluations(syncs: DataFrame, evals: DataFrame) -> DataFrame:
     return both.select("execution_id", F.col("b.evaluation_id").alias("before_id"), F.col("a.evaluation_id").alias("after_id"))
 
 
-def proposals(assets: DataFrame, evals: DataFrame, stages: DataFrame) -> DataFrame:
-    """(asset, ready, stages): each asset's last evaluation and the stages a sync would run, joined by comma; absent parts are null."""
-    e = latest(evals, "asset", ["ts", "evaluation_id"], ["ready"])
-    s = stages.groupBy("asset").agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("pos", "stage"))), lambda x: x["stage"]), ",").alias("stages"))
-    return assets.select("asset").distinct().join(e, "asset", "left").join(s, "asset", "left").select("asset", "ready", "stages")
+def proposals(evals: DataFrame, results: DataFrame, entries: DataFrame, conditions: DataFrame, stages: DataFrame) -> DataFrame:
+    """(asset, ready, sync, stages): each asset's last evaluation and what a sync would run; absent parts are null.
+
+    The sync is that of the asset's first entry of which a condition isn't Ready in that evaluation.
+    results: evaluation_id, condition_name, result; entries: asset, position, conditions, sync;
+    conditions: conditions, condition_name; stages: sync, pos, stage (shown in order, joined by comma).
+    """
+    last = latest(evals, "asset", ["ts", "evaluation_id"], ["evaluation_id", "ready"])
+    drifted = results.where("result <> 'Ready'").select("evaluation_id", "condition_name").join(last.select("asset", "evaluation_id"), "evaluation_id").select("asset", "condition_name")
+    first = entries.join(conditions, "conditions").join(drifted, ["asset", "condition_name"]).groupBy("asset").agg(F.min_by("sync", "position").alias("sync"))
+    shown = F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("pos", "stage"))), lambda x: x["stage"]), ",")
+    plan = stages.groupBy("sync").agg(shown.alias("stages"))
+    found = entries.select("asset").distinct().join(last, "asset", "left").join(first, "asset", "left").join(plan, "sync", "left")
+    return found.select("asset", "ready", "sync", "stages")
 
 
 def halt(assets: DataFrame, suspended: DataFrame, reason: str, at: Column) -> DataFrame:

@@ -31,6 +31,11 @@ def has_changes(items: Column) -> Column:
     return F.exists(items, lambda i: ~i["before"].eqNullSafe(i["after"]))
 
 
+def changed_groups(items: DataFrame, key: str) -> DataFrame:
+    """(key, changed): whether any of a group's rows has before different from after, for groups of any size."""
+    return items.groupBy(key).agg(F.bool_or(~F.col("before").eqNullSafe(F.col("after"))).alias("changed"))
+
+
 def list_inspections(df: DataFrame, n: int, changed_only: bool = False) -> DataFrame:
     """The last n inspections of each asset with ``nth`` from the oldest of them, which is 1."""
     rows = df.where("changed") if changed_only else df

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.functions.text import expand_template, selected_model
+from evenkeel.functions.text import expand_template, selected_models
 
 
 def bind_rules(assets: DataFrame, conditions: DataFrame, syncs: DataFrame) -> DataFrame:
@@ -105,9 +105,9 @@ def resolve_upstreams(deps: DataFrame, sources: DataFrame, models: DataFrame) ->
 
 
 def job_mapping(jobs: DataFrame) -> DataFrame:
-    """(model, job_ids): jobs (job_id, commands array) by the model their commands select."""
-    picked = jobs.select("job_id", F.explode("commands").alias("command")).select("job_id", selected_model(F.col("command")).alias("model"))
-    return picked.where("model is not null").groupBy("model").agg(F.sort_array(F.collect_set("job_id")).alias("job_ids"))
+    """(model, job_ids): jobs (job_id, commands array) by the models their commands select."""
+    picked = jobs.select("job_id", F.explode("commands").alias("command")).select("job_id", F.explode(selected_models(F.col("command"))).alias("model"))
+    return picked.groupBy("model").agg(F.sort_array(F.collect_set("job_id")).alias("job_ids"))
 
 
 def running_conflicts(runs: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -131,8 +131,27 @@ def min_interval(rules: DataFrame, assets: DataFrame) -> DataFrame:
     return assets.select("asset").distinct().join(least, "asset", "left")
 
 
-def catalog(rules: DataFrame, kinds: Sequence[str] = ("connection", "sync", "conditions")) -> DataFrame:
-    """(kind, name, n_assets): what the rules (asset, connection, sync, conditions) refer to, by kind."""
-    entries = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("name")) for k in kinds]))
+KINDS = ("asset", "connection", "sync", "conditions")
+
+
+def asset_summaries(assets: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each asset (asset, labels, upstreams, auto_sync) with its ``entries``, structs of conditions and sync in order of position."""
+    placed = F.sort_array(F.collect_list(F.struct("position", "conditions", "sync")))
+    entries = rules.groupBy("asset").agg(F.transform(placed, lambda e: F.struct(e["conditions"].alias("conditions"), e["sync"].alias("sync"))).alias("entries"))
+    none = F.array().cast("array<struct<conditions:string,sync:string>>")
+    return assets.join(entries, "asset", "left").withColumn("entries", F.coalesce("entries", none))
+
+
+def catalog(rules: DataFrame, conditions: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
+    """(kind, name, n_assets, condition_names): what the rules refer to, by kind, in any case; condition groups with their sorted names.
+
+    rules: asset, connection, sync, conditions; conditions: conditions, condition_name.
+    """
+    wanted = [k.lower() for k in kinds]
+    if unknown := set(wanted) - set(KINDS):
+        raise ValueError(f"no such kind: {', '.join(sorted(unknown))}")
+    entries = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("name")) for k in wanted]))
     named = rules.select("asset", entries.alias("e")).select("asset", "e.kind", "e.name").where("name is not null")
-    return named.groupBy("kind", "name").agg(F.count_distinct("asset").alias("n_assets"))
+    counted = named.groupBy("kind", "name").agg(F.count_distinct("asset").alias("n_assets"))
+    groups = conditions.groupBy(F.col("conditions").alias("__group")).agg(F.sort_array(F.collect_set("condition_name")).alias("condition_names"))
+    return counted.join(groups, (F.col("kind") == "conditions") & (F.col("name") == F.col("__group")), "left").drop("__group")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from evenkeel.functions.times import date_key, parse_ts
 from evenkeel.operators import conditions as C
-from evenkeel.plans.fixtures import newest, table
+from evenkeel.plans.fixtures import newest, table, viewed
 from evenkeel.plans.registry import query
 from evenkeel.session import scratch_dir, ship_package
 from evenkeel.sources import assets as S
@@ -32,7 +33,7 @@ def scan_asset_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_rows_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as JSON, read back."""
     table(spark, sf_dir, "customer")
-    rows = S.query_rows(spark, "SELECT c_custkey, c_name, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS segment FROM customer;")
+    rows = S.query_rows(spark, viewed("SELECT c_custkey, c_name, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS segment FROM customer;"))
     return rows.select(F.from_json("row", "c_custkey long, c_name string, segment string").alias("r")).select("r.*")
 
 
@@ -113,10 +114,16 @@ def freshness_value_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", parse_ts(mixed).alias("epoch_s"))
 
 
-@query()
+@query("""
+SELECT 'at the limit' AS name, 'Ready' AS state, NULL AS reason FROM events HAVING count(*) > 0
+UNION ALL SELECT 'past it', 'Drifted', 'last updated 3600s ago, max age is 3599s' UNION ALL SELECT 'no row', 'Error', 'no timestamp'""")
 def freshness_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State by the files' modification times; only the driver's rows-only check applies."""
-    return C.freshness_files(spark.read.parquet(f"{sf_dir}/events.parquet"), 86400 * 36500, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    """State by the files' modification times, an hour after the newest."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    newest_file = events.agg((F.unix_micros(F.max("_metadata.file_modification_time")) + 3_600_000_000).alias("us")).head()[0]
+    now = F.timestamp_micros(F.lit(newest_file))
+    cases = (("at the limit", events, 3600), ("past it", events, 3599), ("no row", events.where("event_id < 0"), 3600))
+    return reduce(DataFrame.unionByName, [C.freshness_files(df, age, now).select(F.lit(name).alias("name"), "state", "reason") for name, df, age in cases])
 
 
 SQL_CONDITIONS = {
@@ -138,7 +145,7 @@ FROM (VALUES ('true', 'Ready', NULL), ('false', 'Drifted', 'query returned false
 def sql_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "orders")
     table(spark, sf_dir, "region")
-    parts = [C.sql_condition(spark, q).select(F.lit(name).alias("name"), "*") for name, q in SQL_CONDITIONS.items()]
+    parts = [C.sql_condition(spark, viewed(q)).select(F.lit(name).alias("name"), "*") for name, q in SQL_CONDITIONS.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

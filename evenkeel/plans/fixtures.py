@@ -31,13 +31,12 @@ UNION ALL SELECT concat('c', CAST(o_custkey AS VARCHAR(20))), concat('o', CAST(o
 UNION ALL SELECT DISTINCT concat('s', CAST(l_suppkey AS VARCHAR(20))), concat('o', CAST(l_orderkey AS VARCHAR(20))) FROM lineitem""",
     "lineage_nodes": """
 SELECT DISTINCT node FROM (SELECT src AS node FROM lineage_edges UNION ALL SELECT dst FROM lineage_edges) t""",
-    "sparse_edges": """
-SELECT DISTINCT concat('o', CAST(l_orderkey AS VARCHAR(20))) AS src, concat('p', CAST(l_partkey AS VARCHAR(20))) AS dst
-FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'""",
+    "part_edges": """
+SELECT DISTINCT concat('o', CAST(l_orderkey AS VARCHAR(20))) AS src, concat('p', CAST(l_partkey AS VARCHAR(20))) AS dst FROM lineitem""",
     "cyclic_edges": """
 SELECT DISTINCT user_id AS src, nxt AS dst
-FROM (SELECT user_id, value, event_type, lead(user_id) OVER (ORDER BY ts, event_id) AS nxt FROM events) t
-WHERE event_type = 'signup' AND value > 130 AND nxt IS NOT NULL AND nxt <> user_id""",
+FROM (SELECT user_id, event_type, lead(user_id) OVER (PARTITION BY substr(CAST(ts AS VARCHAR(32)), 1, 13) ORDER BY ts, event_id) AS nxt FROM events) t
+WHERE event_type = 'signup' AND nxt IS NOT NULL AND nxt <> user_id""",
     "relation_model": """
 SELECT lower(p_brand) AS db, lower(p_type) AS sch, lower(p_name) AS ident, 'even' AS origin, min(p_partkey) AS model_id
 FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2, 3""",
@@ -68,15 +67,24 @@ def needs(sql: str) -> list[str]:
     return [n for n in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", sql)) if n in FIXTURES or n in BASE]
 
 
+#: Before the names of temporary views, so that a session's own views stay.
+VIEW = "evenkeel_"
+
+
+def viewed(sql: str) -> str:
+    """``sql`` reading the views of tables and fixtures."""
+    return re.sub(r"\b(FROM|JOIN)\s+(\w+)", lambda m: f"{m[1]} {VIEW}{m[2]}" if m[2] in FIXTURES or m[2] in BASE else m[0], sql)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table or a fixture; what it is derived from is registered as temporary views."""
+    """A test table or a fixture; it and what it is derived from are registered as temporary views."""
     if name in BASE:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     else:
         for n in needs(FIXTURES[name]):
             table(spark, sf_dir, n)
-        df = spark.sql(FIXTURES[name])
-    df.createOrReplaceTempView(name)
+        df = spark.sql(viewed(FIXTURES[name]))
+    df.createOrReplaceTempView(VIEW + name)
     return df
 
 

@@ -72,21 +72,29 @@ def select_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'c' || c_custkey AS node FROM customer WHERE ((c_mktsegment = 'BUILDING' AND c_nationkey = 7) OR c_nationkey = 3) AND c_mktsegment <> 'MACHINERY'""")
+WITH RECURSIVE up(node) AS (SELECT 'o1' UNION SELECT e.src FROM up JOIN lineage_edges e ON e.dst = up.node),
+  picked AS (SELECT 'c' || c_custkey AS node FROM customer WHERE (c_mktsegment = 'BUILDING' AND c_nationkey = 7) OR c_nationkey = 3),
+  around AS (SELECT node FROM picked UNION SELECT dst FROM lineage_edges WHERE src IN (SELECT node FROM picked)),
+  chosen AS (SELECT node FROM around UNION SELECT node FROM up UNION SELECT 'n5' UNION SELECT dst FROM lineage_edges WHERE src = 'n5')
+SELECT node FROM chosen WHERE node NOT IN (SELECT 'c' || c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') AND node <> 'n5'""")
 def select_set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _labelled(spark, sf_dir)
-    pick = lambda k, v=None: G.select_label(nodes, k, v)
-    return G.select_nodes(nodes, [[pick("segment", "BUILDING"), pick("nation7")], [pick("nation3")]], [[pick("segment", "MACHINERY")]])
+    """Selector strings over the whole lineage; customers have labels."""
+    others = table(spark, sf_dir, "lineage_nodes").where("node not like 'c%'").withColumn("labels", F.create_map().cast("map<string,string>"))
+    nodes = _labelled(spark, sf_dir).unionByName(others)
+    include = ["label:segment=BUILDING,label:nation7+1", "label:nation3+1", "+o1", "n5+1"]
+    return G.select(nodes, table(spark, sf_dir, "lineage_edges"), include, ["label:segment=MACHINERY", "n5"])
 
 
 COMPONENTS_SQL = """
-sym AS (SELECT src AS a, dst AS b FROM sparse_edges UNION SELECT dst, src FROM sparse_edges),
-reach(a, b) AS (SELECT a, a FROM sym UNION SELECT r.a, e.b FROM reach r JOIN sym e ON r.b = e.a),
-label AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a)"""
+sym AS (SELECT src AS a, dst AS b FROM part_edges UNION SELECT dst, src FROM part_edges),
+label(node, component) USING KEY (node) AS (
+  SELECT DISTINCT a, a FROM sym
+  UNION SELECT e.b, min(l.component) FROM label l JOIN sym e ON e.a = l.node JOIN recurring.label r ON r.node = e.b WHERE l.component < r.component GROUP BY e.b)"""
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    edges = table(spark, sf_dir, "sparse_edges")
+def _ordered_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders and the parts they consist of, all of them."""
+    edges = table(spark, sf_dir, "part_edges")
     orders = edges.select(F.col("src").alias("node"), F.lit("Asset").alias("kind"))
     parts = edges.select(F.col("dst").alias("node"), F.lit("Connection").alias("kind"))
     return orders.unionByName(parts).distinct(), edges
@@ -94,15 +102,15 @@ def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH RECURSIVE {COMPONENTS_SQL} SELECT node, component FROM label WHERE node LIKE 'o%'")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.components(*_sparse(spark, sf_dir))
+    return G.components(*_ordered_parts(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {COMPONENTS_SQL},
 a AS (SELECT component, count(*) AS assets FROM label WHERE node LIKE 'o%' GROUP BY component),
-e AS (SELECT component, count(*) AS edges FROM sparse_edges JOIN label ON src = node GROUP BY component)
+e AS (SELECT component, count(*) AS edges FROM part_edges JOIN label ON src = node GROUP BY component)
 SELECT a.component, assets, coalesce(edges, 0) AS edges, (SELECT count(*) FROM a) > 100 AS too_many FROM a LEFT JOIN e ON a.component = e.component""")
 def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _sparse(spark, sf_dir)
+    nodes, edges = _ordered_parts(spark, sf_dir)
     return G.component_sizes(G.components(nodes, edges), edges, 100)
 
 

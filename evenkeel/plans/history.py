@@ -173,10 +173,17 @@ def link_sync_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT asset, max_by(ready, ts) AS ready FROM evals GROUP BY asset), s AS (SELECT asset, string_agg(stage, ',' ORDER BY pos) AS stages FROM (SELECT DISTINCT asset, stage, pos FROM sync_plan) t GROUP BY asset)
-SELECT u.asset, ready, stages FROM users u LEFT JOIN e ON u.asset = e.asset LEFT JOIN s ON u.asset = s.asset""")
+WITH last AS (SELECT asset, max_by(evaluation_id, ts) AS evaluation_id, max_by(ready, ts) AS ready FROM evals GROUP BY asset),
+  judged AS (SELECT u.asset, max(l.ready) AS ready, bool_or(g.result <> 'Ready' AND g.condition_name IN ('c2', 'c3')) AS slow, bool_or(g.result <> 'Ready') AS any_drift
+    FROM users u LEFT JOIN last l ON u.asset = l.asset LEFT JOIN eval_log g ON g.evaluation_id = l.evaluation_id GROUP BY u.asset)
+SELECT asset, ready, CASE WHEN slow THEN 'full' WHEN any_drift THEN 'light' END AS sync, CASE WHEN slow THEN 'pre,run,post' WHEN any_drift THEN 'run' END AS stages FROM judged""")
 def sync_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.proposals(table(spark, sf_dir, "users"), table(spark, sf_dir, "evals"), table(spark, sf_dir, "sync_plan"))
+    """Two entries for each user: conditions c2 and c3 with a full sync before c0 and c1 with a light one."""
+    rules = spark.createDataFrame([(0, "slow", "full"), (1, "quick", "light")], "position int, conditions string, sync string")
+    names = spark.createDataFrame([("slow", "c2"), ("slow", "c3"), ("quick", "c0"), ("quick", "c1")], "conditions string, condition_name string")
+    stages = spark.createDataFrame([("full", 0, "pre"), ("full", 1, "run"), ("full", 2, "post"), ("light", 1, "run")], "sync string, pos int, stage string")
+    entries = table(spark, sf_dir, "users").crossJoin(F.broadcast(rules))  # two rows
+    return H.proposals(table(spark, sf_dir, "evals"), table(spark, sf_dir, "eval_log"), entries, names, stages)
 
 
 @query(f"""WITH {STREAK_SQL},

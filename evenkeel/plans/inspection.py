@@ -33,8 +33,7 @@ def row_count_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {COUNTS_SQL} SELECT s_nationkey, max(CASE WHEN before IS DISTINCT FROM after THEN 1 ELSE 0 END) = 1 AS changed FROM counts JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey")
 def has_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _counts(spark, sf_dir).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    grouped = items.groupBy("s_nationkey").agg(F.collect_list(F.struct("before", "after")).alias("items"))
-    return grouped.select("s_nationkey", I.has_changes(F.col("items")).alias("changed"))
+    return I.changed_groups(items, "s_nationkey")
 
 
 def _inspections(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,9 +48,15 @@ def dry_run_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.plan_rules(_bound(spark, sf_dir))
 
 
-@query("SELECT asset, conditions FROM asset_rule WHERE conditions NOT IN (SELECT conditions FROM condition_catalog)")
+@query("""
+SELECT asset, 'Conditions' AS kind, conditions AS name FROM asset_rule WHERE conditions NOT IN (SELECT conditions FROM condition_catalog)
+UNION ALL SELECT asset, 'Sync', sync FROM asset_rule WHERE sync NOT IN ('s0', 's1', 's2', 's3')""")
 def unresolved_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.unresolved(table(spark, sf_dir, "asset_rule"), "conditions", table(spark, sf_dir, "condition_catalog"), "conditions").select("asset", "conditions")
+    """Unknown condition groups, and syncs that a catalogue without s4 doesn't have."""
+    rules, syncs = table(spark, sf_dir, "asset_rule"), _syncs(spark, sf_dir).where("sync <> 's4'")
+    row = lambda df, kind, c: df.select("asset", F.lit(kind).alias("kind"), F.col(c).alias("name"))
+    groups = R.unresolved(rules, "conditions", table(spark, sf_dir, "condition_catalog"), "conditions")
+    return row(groups, "Conditions", "conditions").unionByName(row(R.unresolved(rules, "sync", syncs, "sync"), "Sync", "sync"))
 
 
 @query("SELECT p_name AS name, p_brand AS kind, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(*) > 1")
@@ -144,13 +150,17 @@ def tags_to_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A job for each part that selects its name; every 7th by tag, every 11th without a selection."""
+    """A job for each part that selects its name; every 7th by tag, every 11th without a selection, every 5th selects more."""
     name, key = F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_partkey")
     command = F.when(key % 7 == 0, "dbt run --select tag:x").when(key % 11 == 0, "dbt run").when(key % 2 == 0, F.concat(F.lit("dbt run -s "), name)).otherwise(F.concat(F.lit("dbt run --select +"), name, F.lit("+2")))
+    more = F.concat(command, F.lit(" -s tag:y --select extra_"), (key % 3).cast("string"), F.lit("+ -s"))
+    command = F.when((key % 5 == 0) & (key % 7 != 0) & (key % 11 != 0), more).otherwise(command)
     return table(spark, sf_dir, "part").select(key.alias("job_id"), F.array(F.lit("dbt deps"), command).alias("commands"))
 
 
-MAPPING_SQL = "SELECT replace(p_name, ' ', '_') AS model, p_partkey AS job_id FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0"
+MAPPING_SQL = """
+SELECT replace(p_name, ' ', '_') AS model, p_partkey AS job_id FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0
+UNION SELECT concat('extra_', CAST(p_partkey % 3 AS VARCHAR)), p_partkey FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0"""
 
 
 @query(f"SELECT model, string_agg(CAST(job_id AS VARCHAR), ',' ORDER BY job_id) AS job_ids FROM ({MAPPING_SQL}) t GROUP BY model")
@@ -186,7 +196,22 @@ def min_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'connection' AS kind, connection AS name, count(DISTINCT asset) AS n_assets FROM asset_rule GROUP BY 2
-UNION ALL SELECT 'sync', sync, count(DISTINCT asset) FROM asset_rule GROUP BY 2 UNION ALL SELECT 'conditions', conditions, count(DISTINCT asset) FROM asset_rule GROUP BY 2""")
+WITH names AS (SELECT n_name, concat('g', CAST(n_nationkey AS VARCHAR)) AS conditions, concat('check ', n_name) AS condition_name FROM nation UNION ALL SELECT n_name, concat('g', CAST(n_nationkey AS VARCHAR)), 'fresh' FROM nation),
+  listed AS (SELECT conditions, string_agg(condition_name, ',' ORDER BY condition_name) AS condition_names FROM names GROUP BY conditions)
+SELECT 'connection' AS kind, connection AS name, count(DISTINCT asset) AS n_assets, NULL AS detail FROM asset_rule GROUP BY 2
+UNION ALL SELECT 'sync', sync, count(DISTINCT asset), NULL FROM (SELECT asset, sync FROM asset_rule UNION ALL SELECT asset, 's0' FROM asset_rule) t GROUP BY 2
+UNION ALL SELECT 'conditions', t.conditions, count(DISTINCT asset), max(condition_names) FROM (SELECT asset, conditions FROM asset_rule UNION ALL SELECT asset, 'g0' FROM asset_rule) t JOIN listed l ON t.conditions = l.conditions GROUP BY 2
+UNION ALL SELECT 'asset', c_name, 1, concat('segment=', c_mktsegment, ' n', CAST(c_nationkey AS VARCHAR), ' ', CASE WHEN c_acctbal > 0 THEN 'auto' ELSE 'manual' END, ' g', CAST(c_nationkey AS VARCHAR), ':s', CAST(c_nationkey % 5 AS VARCHAR), ',g0:s0') FROM customer""")
 def catalog_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.catalog(table(spark, sf_dir, "asset_rule"))
+    """All kinds with their details as text: names of a condition group; labels, upstreams, sync mode and entries of an asset."""
+    rows = _assets(spark, sf_dir).select("asset", "connection", F.posexplode("entries").alias("position", "entry")).select("asset", "connection", "position", "entry.*")
+    group = F.concat(F.lit("g"), F.col("n_nationkey").cast("string"))
+    names = table(spark, sf_dir, "nation").select(group.alias("conditions"), F.explode(F.array(F.concat(F.lit("check "), "n_name"), F.lit("fresh"))).alias("condition_name"))
+    found = R.catalog(rows, names, ["Connection", "Sync", "Conditions"]).select("kind", "name", "n_assets", F.array_join("condition_names", ",").alias("detail"))
+    nation = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    assets = table(spark, sf_dir, "customer").select(F.col("c_name").alias("asset"), F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("labels"), F.array(nation).alias("upstreams"), (F.col("c_acctbal") > 0).alias("auto_sync"))
+    labels = F.array_join(F.transform(F.map_entries("labels"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    entries = F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["conditions"], e["sync"])), ",")
+    detail = F.concat_ws(" ", labels, F.array_join("upstreams", ","), F.when(F.col("auto_sync"), "auto").otherwise("manual"), entries)
+    summaries = R.asset_summaries(assets, rows).select(F.lit("asset").alias("kind"), F.col("asset").alias("name"), F.lit(1).cast("long").alias("n_assets"), detail.alias("detail"))
+    return found.unionByName(summaries)

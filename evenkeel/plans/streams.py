@@ -14,11 +14,15 @@ from evenkeel.session import scratch_dir, ship_package
 from evenkeel.streaming import streams as S
 
 
+#: Bounds what a micro-batch reads.
+FILES_PER_TRIGGER = 16
+
+
 def _events(spark: SparkSession, folder: str, files: str = "events.parquet") -> DataFrame:
     """The event table as a stream; the schema is the table's."""
     ship_package(spark)
     schema = spark.read.parquet(f"{folder}/{files}").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", files.split("/")[-1]).parquet(folder)
+    source = spark.readStream.schema(schema).option("pathGlobFilter", files.split("/")[-1]).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(folder)
     return source.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -85,9 +89,9 @@ def stream_guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT evaluation_id, condition_name, asset, result FROM eval_log")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each log record twice."""
+    """Each log record twice, at the same event time."""
     twice = _log(_events(spark, sf_dir)).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
-    return _finish(spark, S.stream_dedup(twice, ["evaluation_id", "condition_name"])).select("evaluation_id", "condition_name", "asset", "result")
+    return _finish(spark, S.stream_dedup(twice, ["evaluation_id", "condition_name"], "ts", "1 hour")).select("evaluation_id", "condition_name", "asset", "result")
 
 
 @query("SELECT s.asset, s.execution_id, e.evaluation_id FROM syncs s JOIN evals e ON s.asset = e.asset AND e.ts > s.ts AND e.ts <= s.ts + INTERVAL 6 HOUR")
@@ -114,8 +118,8 @@ def stream_export_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log exported as a stream, then replayed from the start with a fresh checkpoint: nothing is added."""
     target = scratch_dir(spark)
     for _ in range(2):
-        log = _log(_events(spark, sf_dir)).drop("ts")
-        S.start_export(log, target, ["evaluation_id", "condition_name"], "result", scratch_dir(spark))
+        log = _log(_events(spark, sf_dir)).withColumn("date", F.date_format("ts", "yyyy-MM-dd")).drop("ts")
+        S.start_export(log, target, ["evaluation_id", "condition_name"], "result", scratch_dir(spark), "date")
     return spark.read.parquet(target).select("evaluation_id", "condition_name", "asset", "result")
 
 
@@ -128,6 +132,6 @@ def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
     for part in (events.where(F.col("ts") < middle), events.where(F.col("ts") >= middle)):
         part.write.mode("append").parquet(drops)
-        stream = spark.readStream.schema(events.schema).parquet(drops).withColumn("ts", F.col("ts").cast("timestamp"))
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(drops).withColumn("ts", F.col("ts").cast("timestamp"))
         S.run_to_end(S.stream_transitions(_evals(stream)), path, checkpoint)
     return S.read_result(spark, path)

@@ -45,10 +45,13 @@ def load_jsonl(spark: SparkSession, path: str, staging: str, schema: T.StructTyp
 
 
 def append_log(df: DataFrame, path: str, ts: str = "started_at") -> None:
-    """Append log rows in a folder for each date; a row whose time has no date key is refused."""
+    """Append log rows in a folder for each date; a row whose time has no date key is refused.
+
+    Rows are rebalanced by date: small dates share a task, a large one is split over several.
+    """
     text = F.col(ts).cast("string")
     keyed = df.withColumn("date", F.coalesce(date_key(text), F.raise_error(F.concat(F.lit("no date in "), text)).cast("string")))
-    keyed.repartition("date").write.partitionBy("date").mode("append").parquet(path)
+    keyed.hint("rebalance", "date").write.partitionBy("date").mode("append").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Streams are plain DataFrames from ``readStream``. Stateful rules that no built-in operator states
 run per key with ``applyInPandasWithState``; rows of a micro-batch are put in the order of (ts, id)
-first. Sinks are idempotent: a batch that is replayed after a failure adds nothing.
+first, so an asset's rows of one micro-batch are held in memory: give the source ``maxFilesPerTrigger``
+and files in the order of time. A row that comes in a later batch than younger rows is applied when it
+comes. Sinks are idempotent: a batch that is replayed after a failure adds nothing.
 """
 
 from __future__ import annotations
@@ -81,7 +83,7 @@ def stream_guardrail(events: DataFrame, limit: int = 3, initial_s: int = 30, cap
 
 
 def stream_dedup(df: DataFrame, keys: Sequence[str], ts: str | None = None, delay: str | None = None) -> DataFrame:
-    """The first record of each key; with a delay, keys are forgotten once that far behind."""
+    """The first record of each key; with a delay, keys are forgotten once that far behind, so the state stays bounded."""
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys)) if ts and delay else df.dropDuplicates(list(keys))
 
 
@@ -98,18 +100,20 @@ def stream_gate(requests: DataFrame, gates: DataFrame) -> DataFrame:
     return requests.join(gates.where(~F.col("open")).select("asset"), "asset", "left_anti")
 
 
-def start_export(df: DataFrame, target: str, keys: Sequence[str], order: str, checkpoint: str) -> None:
+def start_export(df: DataFrame, target: str, keys: Sequence[str], order: str, checkpoint: str, day: str) -> None:
     """Run a stream to its present end, appending each batch's new keys to the Parquet table ``target``.
 
-    The checkpoint takes the watermark's place. A replayed batch finds its keys in the target.
+    The checkpoint takes the watermark's place. A replayed batch finds its keys in the target. Rows of
+    one key have the same ``day``, by which the target is partitioned: a batch reads its own days only.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        present = spark.read.schema(batch.schema).parquet(target)
-        merge_new(present, batch, keys, order).write.mode("append").parquet(target)
+        days = [r[0] for r in batch.select(day).distinct().collect()]  # one for each day in the batch
+        present = spark.read.schema(batch.schema).parquet(target).where(F.col(day).isin(days))
+        merge_new(present, batch, keys, order).write.partitionBy(day).mode("append").parquet(target)
 
-    df.limit(0).sparkSession.createDataFrame([], df.schema).write.mode("ignore").parquet(target)
+    df.limit(0).sparkSession.createDataFrame([], df.schema).write.partitionBy(day).mode("ignore").parquet(target)
     df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 

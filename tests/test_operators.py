@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from evenkeel.functions.text import expand_template, json_cell, selected_model, tags_to_labels
+from evenkeel.functions.text import expand_template, json_cell, selected_models, tags_to_labels
 from evenkeel.functions.times import date_key, parse_ts
 from evenkeel.operators import conditions as C
 from evenkeel.operators import export as X
@@ -107,10 +107,68 @@ def test_templates_keep_unknown_variables(spark):
     assert one(filled) == [("t t 1 {{ sync.b }} {{ x }}", "t mod {{ sync.a }} {{ sync.b }} {{ x }}")]
 
 
-def test_selected_model(spark):
-    commands = ["dbt run --select +a+", "run -s 2+b+3", "run --select tag:x", "run", "run --select"]
-    df = spark.createDataFrame([(c,) for c in commands], "c string")
-    assert [r[0] for r in df.select(selected_model(F.col("c"))).collect()] == ["a", "b", None, None, None]
+def test_selected_models(spark):
+    cases = {
+        "dbt run --select +a+2": ["a"], "dbt run -s b": ["b"], "dbt run --select tag:x": [], "dbt run": [], "dbt run --select": [],
+        "dbt run --select a -s b": ["a", "b"], " x -s tag:x --select 2+c+ -s d": ["c", "d"], "--select -s a": ["-s"], "-s + -s a+b": ["a+b"],
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    assert {r.c: r.m for r in df.select("c", selected_models(F.col("c")).alias("m")).collect()} == cases
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("a", (0, ["a"], 0)), ("+a", (None, ["a"], 0)), ("a+", (0, ["a"], None)), ("2+a+3", (2, ["a"], 3)), ("+label:k=v,a+1", (None, ["label:k=v", "a"], 1)), ("a+b", (0, ["a+b"], 0)), ("a+b+", (0, ["a+b"], None)), ("0+a", (0, ["a"], 0))],
+)
+def test_selectors_are_taken_apart(text, want):
+    assert G.parse_selector(text) == want
+
+
+@pytest.mark.parametrize("text", ["", "+", "++", "2+", "a,,b", ",a", "+1+2"])
+def test_selectors_without_a_pattern_are_refused(text):
+    if text == "+1+2":
+        assert G.parse_selector(text) == (None, ["1"], 2)
+        return
+    with pytest.raises(ValueError, match="empty part"):
+        G.parse_selector(text)
+
+
+def test_selectors_over_a_graph(spark):
+    labels = {"a": {"team": "x"}, "b": {"team": "y", "daily": ""}, "c": {"team": "x", "daily": ""}, "d": {}, "e": {"ops": ""}}
+    n = spark.createDataFrame(list(labels.items()), "node string, labels map<string,string>")
+    e = edges(spark, *map(tuple, ("ab", "bc", "de", "be")))
+    pick = lambda *include, exclude=(): "".join(sorted(r.node for r in G.select(n, e, include, exclude).collect()))
+    assert pick() == "abcde"
+    assert pick("b") == "b"
+    assert pick("+c") == "abc"
+    assert pick("b+") == "bce"
+    assert pick("1+e") == "bde"
+    assert pick("label:team=x,label:daily") == "c"
+    assert pick("+label:team=y+1", "d") == "abcde"
+    assert pick("a+", exclude=["label:ops", "c"]) == "ab"
+    assert pick(exclude=["+e"]) == "c"
+    for wrong in ("z", "label:none", "label:team=z", "label:"):
+        with pytest.raises(ValueError, match="no node|needs a key"):
+            pick(wrong)
+
+
+def test_catalogue_kinds(spark):
+    rules = spark.createDataFrame([("a", "w", "s1", "g1"), ("b", "w", None, "g1"), ("b", "w", "s1", "g2")], "asset string, connection string, sync string, conditions string")
+    names = spark.createDataFrame([("g1", "y"), ("g1", "x"), ("g1", "x")], "conditions string, condition_name string")
+    found = {(r.kind, r.name, r.n_assets, tuple(r.condition_names or ())) for r in R.catalog(rules, names, ["Sync", "CONDITIONS"]).collect()}
+    assert found == {("sync", "s1", 2, ()), ("conditions", "g1", 2, ("x", "y")), ("conditions", "g2", 1, ())}
+    with pytest.raises(ValueError, match="no such kind: origin"):
+        R.catalog(rules, names, ["origin"])
+
+
+def test_proposals_take_the_first_drifted_entry(spark):
+    evals = spark.createDataFrame([("a", at(1), 1, False), ("a", at(2), 2, False), ("b", at(1), 3, True), ("c", at(1), 4, False)], "asset string, ts timestamp_ntz, evaluation_id int, ready boolean")
+    results = spark.createDataFrame([(1, "x", "Drifted"), (2, "x", "Ready"), (2, "y", "Drifted"), (2, "z", "Drifted"), (3, "x", "Ready"), (4, "x", "Error")], "evaluation_id int, condition_name string, result string")
+    entries = spark.createDataFrame([(a, *e) for a in "abcd" for e in ((0, "g1", "s1"), (1, "g2", "s2"), (2, "g3", "s3"))], "asset string, position int, conditions string, sync string")
+    names = spark.createDataFrame([("g1", "x"), ("g2", "y"), ("g3", "z")], "conditions string, condition_name string")
+    stages = spark.createDataFrame([("s1", 1, "run"), ("s2", 1, "run"), ("s2", 0, "pre")], "sync string, pos int, stage string")
+    found = set(one(H.proposals(evals, results, entries, names, stages)))
+    assert found == {("a", False, "s2", "pre,run"), ("b", True, None, None), ("c", False, "s1", "run"), ("d", None, None, None)}
 
 
 def test_json_cell(spark):
@@ -152,6 +210,22 @@ def test_waves_take_the_longest_path(spark):
     assert {(r.node, r.wave) for r in G.waves(nodes(spark, "abcd"), e).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 0)}
 
 
+def test_deep_closures_fold_their_levels(spark):
+    n = 2 * G.FOLD + 3
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(n)] + [("n5", "n1"), ("n9", "n9")], "src string, dst string")
+    roots = spark.createDataFrame([("n0",)], "node string")
+    assert {(r.node, r.level) for r in G.closure(e, roots).collect()} == {(f"n{i}", i) for i in range(n + 1)}
+
+
+def test_peeling_counts_repeated_edges_once(spark):
+    e = edges(spark, *map(tuple, ("ab", "ab", "bc", "ac", "xx", "xc")))
+    assert {r.node for r in G.cycle_residue(e).collect()} == {"x", "c"}
+    e = edges(spark, *map(tuple, ("ab", "ab", "bc", "ac")))
+    assert {(r.node, r.wave) for r in G.waves(nodes(spark, "az"), e).collect()} == {("a", 0), ("z", 0), ("b", 1), ("c", 2)}
+    assert G.waves(nodes(spark, "az"), e.limit(0)).count() == 2
+    assert G.cycle_residue(e.limit(0)).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     e = edges(spark, *[(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)], ("z1", "z2"))
     found = {r.node: r.component for r in G.components(nodes(spark, [f"n{i:03d}" for i in range(61)] + ["z2", "alone"]), e).collect()}
