@@ -1,22 +1,27 @@
 """Near-duplicate documents from bottom-k sketches of one hash function.
 
 1. A document's set of 5-word shingle hashes gives its size, a digest, and a sketch: its 64 least
-   hashes. Documents of equal sets are one class, represented by the least key.
-2. Inverted lists: each class enters the lists of its rarest sketch values, as many as are needed
+   hashes, or all of them in a set of up to 128. Documents of equal sets are one class, represented by
+   the least key.
+2. Inverted lists: each class enters the lists of its rarest retained values, as many as are needed
    for two classes at the threshold to meet (the prefix rule: of k values of which t are shared, the
-   first k - t + 1 in any common order meet). Values of common passages are thus hardly ever listed.
+   first k - t + 1 in any common order meet). Sets of up to 128 are listed whole, where t follows from
+   the threshold itself; sets of more than 96, whose partners may have more than 128, by their 64
+   least hashes. Values of common passages are thus hardly ever listed.
 3. Each list has a pivot, its class with the most widely shared sketch. Members are paired with the
-   pivot alone; the sketch of the union estimates the similarity and drops the hopeless pairs, and
-   exact Jaccard on the full sets decides. Components of these links come next.
+   pivot alone. Two whole sketches tell the similarity; else the sketch of the union estimates it and
+   drops the hopeless pairs, and exact Jaccard on the full sets decides. Components of these links
+   come next.
 4. Members that did not reach their pivot's component are compared with all members of the pivot's
    other components, set by set, in blocks of bounded size inside a task; only links come out. So no
    pair within a group is lost, and none is emitted but a link.
 
-Two documents at the threshold are missed only if their sketches share less than 28 of 64 values
-where 48 are expected (less than one in ten million); sets of up to 48 shingles can't be missed.
+Two documents at the threshold are missed only if one has more than 128 shingles and their sketches
+share less than 28 of 64 values where 48 are expected (less than one in ten million).
 
 Rows without words or with a null key are linked with nothing; a row with a null key has no
-component and is kept. Rows that share a key count as one document, which is linked by any of its texts.
+component and is kept. Rows that share a key count as one document, which is linked by any of its
+texts. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,15 +38,18 @@ from pyspark.sql import types as T
 from evenkeel.llm.common import documents, prepared
 from evenkeel.llm.words import Words, chunked, mix
 from evenkeel.operators.components import component_labels
-from evenkeel.session import materialize
+from evenkeel.session import discard, materialize
 
 SHINGLE, SKETCH = 5, 64
+#: Sets up to this size are kept whole; those of a size above PERCENT of it may have partners that are not.
+WHOLE = 128
 PERCENT = 75
 #: Least shared values of two full sketches at the threshold, and of the union's sketch.
 SHARED, LIKELY = 28, 28
 #: Members compared with each other in one go.
 BLOCK_ROWS = 512
-SALTS = 32
+#: Parts of a class of equal sets; members of a pivot in one part of the join that marks stragglers.
+SALTS, PART_ROWS = 256, 10_000
 
 
 def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
@@ -74,7 +82,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = mix(s ^ np.uint64(0x5DEECE66D))
             one.append(int(digest.sum(dtype=np.uint64).view(np.int64)))
             two.append(int(mix(digest).sum(dtype=np.uint64).view(np.int64)))
-            sketch.append(s[:SKETCH].view(np.int64))
+            sketch.append(s[: len(s) if len(s) <= WHOLE else SKETCH].view(np.int64))
         ends = np.concatenate([[0], np.cumsum([len(s) for s in sketch])])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sketch)))
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists], ["key", "n", "one", "two", "sketch"])
@@ -118,13 +126,14 @@ def _links_in_block(table: pa.Table) -> pa.Table:
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow the threshold and whose union sketch makes it possible."""
+    """Pairs whose sizes allow the threshold and whose sketches make it possible; ``certain`` if they are whole sets."""
     side = lambda c: sketches.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     known = pairs.join(side("a"), "a").join(side("b"), "b")
-    known = known.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    known = known.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")).withColumn("certain", F.greatest("n_a", "n_b") <= WHOLE)
+    both = F.array_intersect(_ordered("s_a"), _ordered("s_b"))
     union = F.slice(F.array_sort(F.array_union(_ordered("s_a"), _ordered("s_b"))), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(_ordered("s_a"), _ordered("s_b")), union))
-    return known.where(shared * SKETCH >= F.size(union) * LIKELY).select("a", "b")
+    exact = 100 * F.size(both) >= PERCENT * (F.col("n_a") + F.col("n_b") - F.size(both))
+    return known.where(F.when(F.col("certain"), exact).otherwise(F.size(F.array_intersect(both, union)) * SKETCH >= F.size(union) * LIKELY)).select("a", "b", "certain")
 
 
 def _ordered(c: str) -> Column:
@@ -132,35 +141,49 @@ def _ordered(c: str) -> Column:
     return F.transform(c, lambda x: x.bitwiseXOR(F.lit(-(2**63)).cast("long")))
 
 
+def _classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one, two, class): the least key of each set that has a row; and the same by part of the class, for all parts with rows.
+
+    A class of any number of rows is joined part by part.
+    """
+    parts = sets.groupBy("one", "two", "part").agg(F.min("key").alias("key"))
+    classes = parts.groupBy("one", "two").agg(F.min("key").alias("class"))
+    return classes, parts.drop("key").join(classes, ["one", "two"])
+
+
 def near_links(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Members (key, n, class: least key of the same set) and links between classes (a, b)."""
     prepared(docs.sparkSession)
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("binary").alias("text"))
-    sets = materialize(rows.mapInArrow(_sketches, SKETCHES))
+    sets = materialize(rows.mapInArrow(_sketches, SKETCHES)).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
     linkable = sets.where("key is not null and n > 0")
-    classes = linkable.groupBy("one", "two").agg(F.min("key").alias("class"))
-    members = sets.join(classes, ["one", "two"], "left").select("key", "n", F.when(F.col("key").isNotNull() & (F.col("n") > 0), F.col("class")).alias("class"))
-    sketches = linkable.join(classes, ["one", "two"]).where(F.col("key") == F.col("class"))
+    classes, by_part = _classes(linkable)
+    members = sets.join(by_part, ["one", "two", "part"], "left").select("key", "n", F.when(F.col("key").isNotNull() & (F.col("n") > 0), F.col("class")).alias("class"))
+    sketches = linkable.join(classes.withColumnRenamed("class", "key"), ["one", "two", "key"])
     sketches = materialize(sketches.select("key", "one", "n", "sketch").dropDuplicates(["key", "one"]))
 
-    listed = sketches.select("key", "one", F.size("sketch").alias("k"), "n", F.explode("sketch").alias("value"))
-    common = materialize(listed.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    shared = listed.join(common, "value")
-    own = Window.partitionBy("key", "one")
-    t = F.when(F.col("n") <= PERCENT * SKETCH // 100, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.floor(F.col("k") * SHARED / SKETCH))
+    entry = lambda whole, values: F.transform(values, lambda x: F.struct(F.lit(whole).alias("whole"), x.alias("value")))
+    none = F.array().cast("array<struct<whole:boolean,value:bigint>>")
+    entries = F.concat(F.when(F.col("n") <= WHOLE, entry(True, F.col("sketch"))).otherwise(none), F.when(F.col("n") > WHOLE * PERCENT // 100, entry(False, F.slice("sketch", 1, SKETCH))).otherwise(none))
+    listed = sketches.select("key", "one", "n", F.explode(entries).alias("entry")).select("key", "one", "n", "entry.whole", "entry.value")
+    common = materialize(listed.groupBy("whole", "value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    shared = listed.join(common, ["whole", "value"])
+    own = Window.partitionBy("key", "one", "whole")
+    t = F.when(F.col("whole"), F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(SHARED))
     shared = shared.select(
-        "key", "value", "df", F.row_number().over(own.orderBy("df", "value")).alias("place"), (F.count(F.lit(1)).over(own) - t + 1).alias("places"), F.sum("df").over(own).alias("width")
+        "key", "whole", "value", "df", F.row_number().over(own.orderBy("df", "value")).alias("place"), (F.count(F.lit(1)).over(own) - t + 1).alias("places"), F.sum("df").over(own).alias("width")
     )  # values that no other class has come first in the order of rarity: they use up places
-    lists = materialize(shared.where("place <= places").select("key", "value", "width"))
-    pivots = lists.groupBy("value").agg(F.max(F.struct("width", F.negative("key").alias("minus"))).alias("top"), F.count(F.lit(1)).alias("size"))
-    pivots = pivots.where("size > 1").select("value", F.negative("top.minus").alias("pivot"))
-    groups = materialize(lists.join(pivots, "value").select("pivot", "key").distinct())
+    lists = materialize(shared.where("place <= places").select("key", "whole", "value", "width"))
+    pivots = lists.groupBy("whole", "value").agg(F.max(F.struct("width", F.negative("key").alias("minus"))).alias("top"), F.count(F.lit(1)).alias("size"))
+    pivots = pivots.where("size > 1").select("whole", "value", F.negative("top.minus").alias("pivot"))
+    groups = materialize(lists.join(pivots, ["whole", "value"]).select("pivot", "key").distinct())
 
     spokes = groups.where("pivot <> key").select(F.col("pivot").alias("a"), F.col("key").alias("b"))
     words = rows.where("key is not null")
-    likely = _estimated(spokes, sketches).distinct()
+    likely = materialize(_estimated(spokes, sketches).distinct())
     full = lambda c: words.select(F.col("key").alias(c), F.col("text").alias(f"t_{c}"))
-    links = materialize(likely.join(full("a"), "a").join(full("b"), "b").where(_confirmed("t_a", "t_b")).select("a", "b").distinct())
+    confirmed = likely.where("not certain").join(full("a"), "a").join(full("b"), "b").where(_confirmed("t_a", "t_b")).select("a", "b").distinct()
+    links = materialize(confirmed.unionByName(likely.where("certain").select("a", "b")))
 
     labels = component_labels(links, "a", "b")
     with_component = groups.join(labels.withColumnRenamed("node", "key"), "key", "left").select("pivot", "key", F.coalesce("component", "key").alias("component"))
@@ -168,8 +191,10 @@ def near_links(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     hubs = sizes.groupBy("pivot").agg(
         F.sum("n").alias("size"), F.sum(F.when(~F.col("is_hub"), F.col("n")).otherwise(0)).alias("out"), F.max(F.when(F.col("is_hub"), F.col("component"))).alias("hub")
     ).where("out > 0 and size > 2")
-    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS))  # a pivot may have any number of members
-    hubs = hubs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    hubs = materialize(hubs)
+    salts = max(32, -(-(hubs.agg(F.max("size")).head()[0] or 0) // PART_ROWS))  # a pivot may have any number of members
+    salt = F.pmod(F.xxhash64("key"), F.lit(salts))
+    hubs = hubs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
     seen = with_component.withColumn("salt", salt).join(hubs, ["pivot", "salt"]).withColumn("straggler", F.col("component") != F.col("hub"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
     hashed = F.xxhash64("key")
@@ -179,7 +204,9 @@ def near_links(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     tiles = as_row.unionByName(as_column.select(*as_row.columns))
     tiles = tiles.join(words, "key").select("pivot", "r", "c", "key", "component", "straggler", "text")
     late = tiles.groupBy("pivot", "r", "c").applyInArrow(_links_in_block, "a long, b long")
-    return members, links.unionByName(materialize(late.distinct()))
+    all_links = links.unionByName(materialize(late.distinct()))
+    discard(common, lists, groups, likely, hubs, sketches)
+    return members, all_links
 
 
 def near_components(docs: DataFrame, key: str, text: str) -> DataFrame:
