@@ -1,31 +1,38 @@
 """Media columns: audio stored as 8-bit WAV, and features computed from the stored bytes.
 
-A clip's features are a log-mel spectrogram over overlapping frames of the resampled signal, cut
-into windows of a fixed number of frames (fixed-shape tensors with time spans), and the loud
-segments found by an energy detector with two thresholds.
+``audio_columns`` adds to each row its clip as a media column and what is computed from it: a log-mel
+spectrogram over overlapping frames of the resampled signal, cut into windows of a fixed number of
+frames, and the loud segments found by an energy detector with two thresholds. Tasks build the
+windows as an Arrow fixed-shape tensor array; Spark has no such type, so the column holds the
+tensors' storage (one list of TENSOR_FRAMES x MELS values each, row by row) with their time spans.
+
+A null text is an empty clip: 64 zero bytes. Clips of any length are one row; rows alike give results
+alike, and null or repeated keys are passed on. Columns of the operator's names are replaced, other
+columns go through. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 from math import gcd
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.llm.common import documents, prepared
 
-RATE_IN, RATE_OUT = 16_000, 8_000
+#: 3 / 8 of the rate, so that the resampling filter has three phases.
+RATE_IN, RATE_OUT = 16_000, 6_000
 FRAME, HOP, MELS = 256, 128, 16
 #: Frames in one tensor, and frames from one tensor's start to the next.
 TENSOR_FRAMES, TENSOR_STEP = 32, 32
 TAPS = 8
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
-TENSOR_SCHEMA = "doc_id long, clip_tensor int, start_s double, end_s double, mel array<float>"
 
 
 def to_wav(payload: bytes, rate: int = RATE_IN) -> bytes:
@@ -137,21 +144,22 @@ def frames_end(after: int, duration: float) -> float:
     return min(((after - 1) * HOP + FRAME) / RATE_OUT, duration)
 
 
-def tensors(mel: np.ndarray, duration: float) -> Iterator[tuple[int, float, float, np.ndarray]]:
-    """Windows of TENSOR_FRAMES frames with start and end in seconds; the last is padded with silence."""
-    for n, i in enumerate(range(0, len(mel), TENSOR_STEP)):
+def tensors(mel: np.ndarray, duration: float) -> tuple[list[float], list[float], np.ndarray]:
+    """Starts and ends in seconds of windows of TENSOR_FRAMES frames, and the windows; the last is padded with silence."""
+    first = range(0, len(mel), TENSOR_STEP)
+    starts = [i * HOP / RATE_OUT for i in first]
+    ends = [frames_end(min(i + TENSOR_FRAMES, len(mel)), duration) for i in first]
+    windows = np.full((len(first), TENSOR_FRAMES, MELS), np.log(1e-6), np.float32)
+    for n, i in enumerate(first):
         part = mel[i : i + TENSOR_FRAMES]
-        end = frames_end(i + len(part), duration)
-        if len(part) < TENSOR_FRAMES:
-            part = np.concatenate([part, np.full((TENSOR_FRAMES - len(part), MELS), np.log(1e-6), np.float32)])
-        yield n, i * HOP / RATE_OUT, end, part
+        windows[n, : len(part)] = part
+    return starts, ends, windows
 
 
-def as_fixed_shape(mel: pa.ListArray) -> pa.FixedShapeTensorArray:
-    """The column ``mel`` of ``mel_tensors`` as an Arrow fixed-shape tensor array."""
+def as_fixed_shape(values: pa.Array) -> pa.FixedShapeTensorArray:
+    """Storage of tensors (flattened, one after the other) as an Arrow fixed-shape tensor array."""
     kind = pa.fixed_shape_tensor(pa.float32(), (TENSOR_FRAMES, MELS), dim_names=("frame", "mel"))
-    size = TENSOR_FRAMES * MELS
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(mel.flatten(), size))
+    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(values, TENSOR_FRAMES * MELS))
 
 
 def text_payload(text: str | None) -> tuple[bytes, int]:
@@ -160,52 +168,84 @@ def text_payload(text: str | None) -> tuple[bytes, int]:
     return raw + b"\0" * ((-len(raw)) % 64 or 64 * (not raw)), len(raw)
 
 
-def mel_tensors(docs: DataFrame) -> DataFrame:
-    """One row for each tensor of each document's clip: doc_id, number, time span, flattened values."""
-    prepared(docs.sparkSession)
-    names = ["doc_id", "clip_tensor", "start_s", "end_s", "mel"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True):
-                samples, rate = from_wav(to_wav(text_payload(text)[0]))
-                rows = [(doc_id, n, a, b, m.ravel().tolist()) for n, a, b, m in tensors(features(samples, rate)[0], len(samples) / rate)]
-                types = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, TENSOR_SCHEMA)
-
-
-OP6_SCHEMA = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "feature string, duration_s double, n_frames int, loud_spans array<struct<start_s:double,end_s:double>>"
-)
+class Clip(NamedTuple):
+    n_bytes: int
+    media: bytes
+    duration_s: float
+    n_frames: int
+    feature: str
+    loud_spans: list[dict[str, float]]
+    tensors: tuple[list[float], list[float], np.ndarray]
 
 
-def _clip(text: str | None) -> tuple:
+def clip(text: str | None) -> Clip:
+    """A text's clip; everything but the media comes from the media's bytes."""
     payload, n_bytes = text_payload(text)
     media = to_wav(payload)
     samples, rate = from_wav(media)
+    duration = len(samples) / rate
     mel, loud = features(samples, rate)
     steps = np.concatenate([mel.mean(axis=0), mel.std(axis=0)])
     feature = np.clip(np.round(steps * 16), -(2**15), 2**15 - 1).astype("<i2").tobytes().hex()
-    spans = [{"start_s": a * HOP / RATE_OUT, "end_s": frames_end(b, len(samples) / rate)} for a, b in loud]
-    return (
-        n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(),
-        feature, len(samples) / rate, len(mel), spans,
-    )
+    spans = [{"start_s": a * HOP / RATE_OUT, "end_s": frames_end(b, duration)} for a, b in loud]
+    return Clip(n_bytes, media, duration, len(mel), feature, spans, tensors(mel, duration))
 
 
-def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's text as a stored clip, with sums of the stored form and a digest of its features."""
+SPAN = "start_s: double, end_s: double"
+AUDIO_SCHEMA = (
+    f"n_bytes long, media binary, duration_s double, n_frames int, feature string, loud_spans array<struct<{SPAN}>>, tensors array<struct<{SPAN}, mel: array<float>>>"
+)
+
+
+def _ends(lists: list) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), pa.int32())
+
+
+def _audio(clips: list[Clip]) -> list[pa.Array]:
+    """The columns of AUDIO_SCHEMA."""
     span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), span]
-    names = [x.split()[0] for x in OP6_SCHEMA.split(", ")]
+    n_bytes, media, duration, n_frames, feature, loud, windows = zip(*clips, strict=True)
+    values = np.concatenate([w for _, _, w in windows])
+    mel = as_fixed_shape(pa.array(values.ravel())).storage.cast(pa.list_(pa.float32()))
+    starts, ends = (pa.array([t for w in windows for t in w[k]], pa.float64()) for k in (0, 1))
+    cut = pa.ListArray.from_arrays(_ends([w[0] for w in windows]), pa.StructArray.from_arrays([starts, ends, mel], ["start_s", "end_s", "mel"]))
+    types = [pa.int64(), pa.binary(), pa.float64(), pa.int32(), pa.string(), span]
+    return [*(pa.array(c, t) for c, t in zip((n_bytes, media, duration, n_frames, feature, loud), types, strict=True)), cut]
+
+
+def audio_columns(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with the columns of AUDIO_SCHEMA for the column ``text``."""
+    added = T.StructType.fromDDL(AUDIO_SCHEMA)
+    kept = [c for c in df.columns if c not in added.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rows = zip(*map(_clip, batch.column("text").to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(rows, types, strict=True))], names)
+                clips = [clip(t) for t in batch.column("__text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *_audio(clips)], [*kept, *added.names])
+
+    prepared(df.sparkSession)
+    rows = df.select(*kept, df[text].alias("__text"))
+    return rows.mapInArrow(run, T.StructType([*df.select(*kept).schema.fields, *added.fields]))
+
 
-    return documents(prepared(spark), sf_dir).select("doc_id", "text").mapInArrow(run, OP6_SCHEMA)
+def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text as a stored clip: sums of the stored form, a digest of its features, and the tensors themselves.
+
+    ``tensors`` holds each tensor's time span and values, ``tensor_shape`` their shape.
+    """
+    found = audio_columns(documents(spark, sf_dir).select("doc_id", "text"), "text").drop("text")
+    payload = F.expr(f"substring(media, {HEADER.size + 1}, n_bytes + if(n_bytes = 0, 64, pmod(-n_bytes, 64)))")
+    found = found.withColumn("payload", payload)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature", "duration_s", "n_frames", "loud_spans",
+        F.array(F.lit(TENSOR_FRAMES), F.lit(MELS)).alias("tensor_shape"),
+        "tensors",
+    )
