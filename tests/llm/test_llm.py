@@ -2,7 +2,10 @@
 
 import bisect
 import hashlib
+import io
 import random
+import tracemalloc
+import wave
 import zlib
 from collections import Counter, defaultdict
 
@@ -27,6 +30,8 @@ from evenkeel.llm import substring_dedup as SD
 from evenkeel.llm import url_filter as UF
 from tests.oracle import duck, rows_of_frame, rows_of_sql
 
+#: Holders from which a line counts as common.
+RARE = 64
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i}" for i in range(30_000))
 ODD = [None, "", " ", "\n\n", "a", "…", "a b c d e f g h i j k l m", "x" * 50_000, LONG, "ÀÉ\u2003b\x1cc \U0001f600 ▁ <|endoftext|>", "1234 !!"]
@@ -113,10 +118,10 @@ def test_line_dedup_removes_blocks_from_the_later_document(spark):
 
 def test_line_dedup_of_a_large_group_of_copies(spark):
     text = "\n".join(f"line number {i} of the text that all have" for i in range(5))
-    df = frame(spark, [f"{text}\nown {i}" for i in range(LD.RARE * 3)])
+    df = frame(spark, [f"{text}\nown {i}" for i in range(RARE * 3)])
     found = {r.row.doc_id: r for r in LD.without_common_lines(df, "doc_id", "text").collect()}
     assert found[0].n_removed == 0
-    assert all(found[i].text == f"own {i}" for i in range(1, LD.RARE * 3))
+    assert all(found[i].text == f"own {i}" for i in range(1, RARE * 3))
 
 
 def without_lines_of_all_earlier(texts):
@@ -133,9 +138,9 @@ def without_lines_of_all_earlier(texts):
 def test_line_dedup_finds_common_blocks_beside_rarer_lines(spark):
     rng = random.Random(2)
     blocks = [f"begin {b}\nend {b}" if b % 2 else f"one line of common block {b} that is long enough" for b in range(6)]
-    texts = ["\n".join([f"own {i}", *(blocks[b] for b in sorted(rng.sample(range(6), 3))), f"rare {i // 2}", f"own end {i}"]) for i in range(LD.RARE * 3)]
+    texts = ["\n".join([f"own {i}", *(blocks[b] for b in sorted(rng.sample(range(6), 3))), f"rare {i // 2}", f"own end {i}"]) for i in range(RARE * 3)]
     holders = Counter(line for t in texts for line in t.split("\n"))
-    assert min(holders[b.split("\n")[0]] for b in blocks) > LD.RARE
+    assert min(holders[b.split("\n")[0]] for b in blocks) > RARE
     found = {r.row.doc_id: r.text for r in LD.without_common_lines(frame(spark, texts), "doc_id", "text").collect()}
     assert [found[i] for i in range(len(texts))] == without_lines_of_all_earlier(texts)
 
@@ -149,17 +154,38 @@ def test_line_dedup_finds_pairs_of_lines_that_stand_alone_in_the_first_documents
     assert (found[2], found[3], found[5]) == (texts[2], "own d\nend d", "z")
 
 
-def test_op2_removes_only_what_an_earlier_document_has(spark, sf, docs):
-    texts, first = dict(docs), {}
-    for i, t in docs:
-        for line in t.split("\n"):
-            first.setdefault(line.strip(), i)
-    found = queries.QUERIES["op2_line_dedup"](spark, sf).collect()
+def removed_places(texts, left):
+    """Number of lines gone from each text, by line."""
+    return [Counter(a.split("\n")) - Counter(b.split("\n")) for a, b in zip(texts, left, strict=True)]
+
+
+def test_op2_against_alignment_with_all_earlier_documents(spark, sf, docs):
+    found = {r.doc_id: r for r in queries.QUERIES["op2_line_dedup"](spark, sf).collect()}
     assert len(found) == len(docs)
-    for r in found:
-        gone = Counter(texts[r.doc_id].split("\n")) - Counter(r.text.split("\n") if r.n_removed < r.n_lines else [])
-        assert sum(gone.values()) == r.n_removed
-        assert all(not line.strip() or first[line.strip()] < r.doc_id for line in gone)
+    assert all(found[i].n_lines == len(t.split("\n")) and found[i].n_removed <= found[i].n_lines for i, t in docs)
+    texts = [t for _, t in docs]
+    mine, brute = removed_places(texts, [found[i].text for i, _ in docs]), removed_places(texts, without_lines_of_all_earlier(texts))
+    assert all(not a - b for a, b in zip(mine, brute, strict=True))
+    assert sum(x.total() for x in mine) >= 0.99 * sum(x.total() for x in brute)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_of_a_table_of_hot_lines(spark, seed):
+    """A line in every document, a clause in a third, rare lines, and blocks in any order."""
+    rng = random.Random(seed)
+    clause = [f"clause {i}" for i in range(10)]
+    texts = []
+    for i in range(240):
+        parts = [["the line that all documents have, without any exception"], [f"own {i}"], [f"rare {rng.randrange(200)}"]]
+        parts += [clause] * (rng.random() < 0.3) + [[f"x{rng.randrange(9)}", f"y{rng.randrange(9)}"]]
+        rng.shuffle(parts)
+        texts.append("\n".join(x for p in parts for x in p))
+    found = {r.row.doc_id: r.text for r in LD.without_common_lines(frame(spark, texts), "doc_id", "text").collect()}
+    want = without_lines_of_all_earlier(texts)
+    left = lambda rows: sum(len(t.split("\n")) for t in rows)
+    most, least = left(texts) - left(want), left(texts) - left(found[i] for i in range(len(texts)))
+    assert least >= 0.98 * most
+    assert all("clause 5" not in found[i] for i in range(len(texts)) if sum("clause 5" in t for t in texts[:i]))
 
 
 # 3
@@ -253,14 +279,79 @@ def test_language_id_on_held_out_documents(spark, sf):
 
 
 def test_language_id_without_letters_or_rows(spark):
-    df = frame(spark, [None, "", "12 !?", "le chat est la", "the cat is here and there"])
+    df = frame(spark, [None, "", "12 !?", "le chat est la", "the cat is here and there", "²½", "Ⅷ ①", "²½ été"])
     model = LI.train(df.select("doc_id", "text", "lang"), "doc_id")
     found = {r.doc_id: (r.lang_pred, r.score) for r in LI.with_language(df, "text", model).collect()}
-    assert [found[i] for i in range(3)] == [("und", 0.0)] * 3
+    assert [found[i] for i in (0, 1, 2, 5, 6)] == [("und", 0.0)] * 5
+    assert found[7][0] in ("en", "fr")
     none = LI.train(df.limit(0).select("doc_id", "text", "lang"), "doc_id")
     assert {r.lang_pred for r in LI.with_language(df, "text", none).collect()} == {"und"}
 
 
+def test_language_id_decoding_by_hand(spark):
+    """Counts, log-odds, margins and losses of one model computed with dictionaries."""
+    texts = ["el perro come", "the dog eats", "le chien mange", "der hund isst"]
+    languages = ["es", "en", "fr", "de"]
+    df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, languages, strict=True))] * 3, "doc_id long, text string, lang string")
+    model = LI.train(df, "doc_id")
+    assert model.languages == sorted(languages)
+
+    def counts(text):
+        raw = " " + " ".join(text.lower().split()) + " "
+        return Counter(tuple(raw[i : i + n]) for n in (2, 3, 4) for i in range(len(raw) - n + 1))
+
+    tables = [counts(t) for t in texts]
+    per = {x: t for x, t in zip(languages, tables, strict=True)}
+    share = {x: {g: (per[x][g] + 0.1) / (sum(per[x].values()) + 0.1 * LI.FEATURES) for t in tables for g in t} for x in languages}
+    rest = {x: 0.1 / (sum(per[x].values()) + 0.1 * LI.FEATURES) for x in languages}
+    for text in ["el hund", "the perro eats", "perro", "mange isst dog come"]:
+        features = {(g, x) for t in [*texts, text] for found, raw in [(np.concatenate(list(LI.grams(t))), " " + " ".join(t.split()) + " ")] for g, x in zip(found.tolist(), [raw[i : i + n] for n in (2, 3, 4) for i in range(len(raw) - n + 1)], strict=True)}
+        assert len(features) == len({g for g, _ in features})  # no two n-grams share a feature here
+        loss = dict.fromkeys(languages, 0.0)
+        for bit in range(model.codes.shape[1]):
+            up = [x for x, c in zip(model.languages, model.codes[:, bit], strict=True) if c > 0]
+            down = [x for x in languages if x not in up]
+            odds = lambda g: np.log(np.mean([share[x].get(g, rest[x]) for x in up])) - np.log(np.mean([share[x].get(g, rest[x]) for x in down]))  # noqa: B023, E731
+            found = counts(text)
+            n = sum(found.values())
+            margin = sum(k * odds(g) for g, k in found.items()) / n * min(n, 200) ** 0.5
+            for x in languages:
+                loss[x] += model.weights[bit] * np.log1p(np.exp(-margin if x in up else margin))
+        lang, score, _ = model.decide(text)
+        assert lang == min(sorted(languages), key=loss.get)
+        chances = {x: np.exp(-4 * v) for x, v in loss.items()}
+        assert abs(score - chances[lang] / sum(chances.values())) < 1e-4
+
+
+@pytest.mark.parametrize("stretch", [7, 64])
+def test_grams_of_stretches_are_those_of_the_whole(monkeypatch, stretch):
+    texts = ["", "a", "  the   cat\n\nsat…on  ", "x" * 200, "é à " * 40]
+    whole = [Counter(np.concatenate(list(LI.grams(t)) or [[]]).tolist()) for t in texts]
+    monkeypatch.setattr(LI, "STRETCH", stretch)
+    assert [Counter(np.concatenate(list(LI.grams(t)) or [[]]).tolist()) for t in texts] == whole
+
+
+def test_many_languages_and_repeated_keys(spark):
+    rows = [(None if i % 3 else 7, f"{chr(97 + i % 26)}{chr(97 + i // 26)}xq " * 8, f"l{i:03}") for i in range(600)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = LI.train(df, "doc_id")
+    assert len(model.languages) == 600
+    assert sum(model.decide(t)[0] == x for _, t, x in rows[:600]) > 550
+    assert LI.train(df.withColumn("lang", F.when(F.col("lang") < "l002", F.col("lang"))), "doc_id").languages == ["l000", "l001"]
+    dirty = df.limit(3).withColumn("text", F.lit("12 ½")).withColumn("lang", F.lit("none"))
+    assert "none" not in LI.train(df.unionByName(dirty), "doc_id").languages
+
+
+def test_a_long_text_takes_bounded_memory():
+    model = LI.Model(["a", "b"], iter([np.ones(LI.FEATURES), np.arange(LI.FEATURES) + 1.0]))
+    text = "quite a long text of words " * 400_000
+    tracemalloc.start()
+    model.decide(text)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 200e6
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 8, 40])
 def test_codewords_differ(n):
     codes = LI.codewords(n)
@@ -297,38 +388,75 @@ def test_the_last_bytes_of_a_clip_are_in_the_last_frame(size):
     payload = bytes(random.Random(size).choices(range(256), k=size))
     other = payload[:-64] + bytes(255 - x for x in payload[-64:])
     (a, _), (b, _) = (M.features(x, M.RATE_IN) for x in (payload, other))
-    assert len(a) == len(b) == 1 + max(0, -(-(size // 2 - M.FRAME) // M.HOP))
+    assert len(a) == len(b) == 1 + max(0, -(-(-(-size * 3 // 8) - M.FRAME) // M.HOP))
     assert np.abs(a[-1] - b[-1]).max() > 1e-3
     texts = ["a" * (size - 64) + x * 64 for x in ("b", "~")]
-    assert M._clip(texts[0])[6] != M._clip(texts[1])[6]
-
-
-def test_times_end_with_the_clip(spark):
-    df = frame(spark, ["x" * n for n in (64, 704, 20_032)])
-    ends = {r.doc_id: r.end_s for r in M.mel_tensors(df).groupBy("doc_id").agg(F.max("end_s").alias("end_s")).collect()}
-    assert [ends[i] for i in range(3)] == [n / M.RATE_IN for n in (64, 704, 20_032)]
-    for text in ("x" * 64, "x" * 320 + "".join(map(chr, range(32, 127))) * 5):
-        *_, duration, _, spans = M._clip(text)
-        assert all(s["start_s"] < s["end_s"] <= duration for s in spans)
+    assert M.clip(texts[0]).feature != M.clip(texts[1]).feature
+
+
+def plain_mel(samples, rate):
+    """Log-mel frames by the definitions: zero-stuffing, convolution, and a discrete Fourier transform term by term."""
+    up, down = 3, 8
+    assert (M.RATE_OUT / rate, M.RATE_OUT) == (up / down, 6_000)
+    x = (np.frombuffer(samples, np.uint8) - 128.0) / 128
+    stuffed = np.zeros(len(x) * up)
+    stuffed[::up] = x
+    t = np.arange(-M.TAPS * down, M.TAPS * down + 1)
+    h = np.sinc(t / down) * (0.54 + 0.46 * np.cos(np.pi * t / (M.TAPS * down)))
+    y = np.convolve(stuffed, h / h.sum() * up)[M.TAPS * down :][: len(stuffed)][::down]
+    n = 1 + max(0, -(-(len(y) - 256) // 128))
+    y = np.concatenate([y, np.zeros(256 + (n - 1) * 128 - len(y))])
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 255)
+    terms = np.exp(-2j * np.pi * np.outer(np.arange(256), np.arange(129)) / 256)
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, 2595 * np.log10(1 + 3000 / 700), 18)]
+    out = []
+    for i in range(n):
+        power = np.abs((y[i * 128 : i * 128 + 256] * w) @ terms) ** 2
+        f = np.arange(129) * 6000 / 256
+        out.append([np.log((power * np.clip(np.minimum((f - a) / (b - a), (c - f) / (c - b)), 0, None)).sum() + 1e-6) for a, b, c in zip(edges, edges[1:], edges[2:], strict=False)])
+    return np.array(out)
 
 
 def test_op6(spark, sf, docs):
     found = {r.doc_id: r for r in queries.QUERIES["op6_audio_features"](spark, sf).collect()}
-    for i, t in docs:
+    assert len(found) == len(docs)
+    for n, (i, t) in enumerate(docs):
         raw = t.encode()
         padded = raw + b"\0" * (-len(raw) % 64 or 64 * (not raw))
         r = found[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        with io.BytesIO() as file:
+            with wave.open(file, "wb") as w:
+                w.setparams((1, 1, 16_000, len(padded), "NONE", ""))
+                w.writeframes(padded)
+            media = file.getvalue()
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        duration = len(padded) / 16_000
+        spans = [(x.start_s, x.end_s) for x in r.tensors]
+        assert r.tensor_shape == [32, 16] and {len(x.mel) for x in r.tensors} == {512}
+        assert r.duration_s == duration and all(a < b <= duration for a, b in spans) and spans[-1][1] == duration
+        assert all(x.start_s < x.end_s <= duration for x in r.loud_spans)
+        if n < 40:
+            mel = plain_mel(padded, 16_000)
+            assert r.n_frames == len(mel) and len(spans) == -(-len(mel) // 32)
+            stored = np.concatenate([np.array(x.mel).reshape(32, 16) for x in r.tensors])
+            assert np.abs(stored[: len(mel)] - mel).max() < 0.02
+            assert np.allclose(stored[len(mel) :], np.log(1e-6), atol=1e-4)
+            steps = np.concatenate([mel.mean(axis=0), mel.std(axis=0)]) * 16
+            assert np.abs(np.frombuffer(bytes.fromhex(r.feature), "<i2") - steps).max() < 1
     assert M.text_payload(None) == (b"\0" * 64, 0)
 
 
 def test_tensors_have_a_fixed_shape(spark, docs):
-    df = frame(spark, [docs[0][1], "", None, "x" * 20_000])
-    rows = M.mel_tensors(df).toArrow()
-    array = M.as_fixed_shape(rows["mel"].combine_chunks())
+    df = frame(spark, [docs[0][1], "", None, "x" * 20_000, ""])
+    rows = M.audio_columns(df.withColumn("media", F.lit(1)), "text").toArrow()
+    assert rows.num_rows == 5
+    array = M.as_fixed_shape(pa.array([x for r in rows["tensors"].to_pylist() for t in r for x in t["mel"]], pa.float32()))
     assert isinstance(array, pa.FixedShapeTensorArray)
-    assert array.to_numpy_ndarray().shape == (rows.num_rows, M.TENSOR_FRAMES, M.MELS)
-    assert all(a < b for a, b in zip(rows["start_s"].to_pylist(), rows["end_s"].to_pylist(), strict=True))
+    assert array.to_numpy_ndarray().shape == (sum(map(len, rows["tensors"].to_pylist())), M.TENSOR_FRAMES, M.MELS)
+    by_id = {r["doc_id"]: r for r in rows.to_pylist()}
+    assert {k: v for k, v in by_id[1].items() if k not in ("doc_id", "lang")} == {k: v for k, v in by_id[4].items() if k not in ("doc_id", "lang")}
+    assert by_id[2]["media"] == by_id[1]["media"] and len(by_id[1]["media"]) == 64 + M.HEADER.size
 
 
 # 7
