@@ -1,5 +1,7 @@
 """Analytics over the logs of evaluations and syncs: windows per asset, ordered by time and id.
 
+Running values are computed by chunks of time (see ``asof``), so a busy asset's history spreads over tasks.
+
 Evaluations: evaluation_id, asset, ts, and ready or ready_count. Syncs: execution_id, asset, ts,
 exit_code (null for stages that did not run, which count as neither success nor failure).
 """
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.times import micros
-from evenkeel.operators.asof import asof_join
+from evenkeel.operators.asof import CHUNK_US, asof_join, carry
 
 
 def latest_sync(sync_log: DataFrame) -> DataFrame:
@@ -44,8 +46,8 @@ def execution_counts(evals: DataFrame, syncs: DataFrame) -> DataFrame:
 
 def sync_order(sync_log: DataFrame) -> DataFrame:
     """(asset, execution_id, nth): each asset's executions in the order of their run stage."""
-    order = Window.partitionBy("asset").orderBy("started_at", "execution_id")
-    return sync_log.where("stage = 'run'").select("asset", "execution_id", F.row_number().over(order).cast("long").alias("nth"))
+    runs = sync_log.where("stage = 'run'").select("asset", "execution_id", "started_at")
+    return carry(runs, ["asset"], "started_at", ["started_at", "execution_id"], {"nth": ("sum", F.lit(1))}, current=True).select("asset", "execution_id", F.col("nth").cast("long").alias("nth"))
 
 
 def stage_rows(plan: DataFrame, stages: list[str] | None = None) -> DataFrame:
@@ -65,27 +67,34 @@ def outcome(sync_log: DataFrame) -> DataFrame:
 
 def transitions(evals: DataFrame) -> DataFrame:
     """Evaluations at which an asset goes from Not Ready to Ready; before the first it is Not Ready."""
-    order = Window.partitionBy("asset").orderBy("ts", "evaluation_id")
     ready = F.coalesce("ready", F.lit(False))
-    return evals.withColumn("__before", F.lag(ready, 1, False).over(order)).where(ready & ~F.col("__before")).drop("__before")
+    found = carry(evals, ["asset"], "ts", ["ts", "evaluation_id"], {"__before": ("last", ready)})
+    return found.where(ready & ~F.coalesce("__before", F.lit(False))).select(*evals.columns)
 
 
 def failure_streak(syncs: DataFrame) -> DataFrame:
     """Syncs that ran, with ``streak``: failures in a row up to this one; a success has 0."""
-    order = Window.partitionBy("asset").orderBy("ts", "execution_id").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("asset", "__chunk").orderBy("ts", "execution_id").rowsBetween(Window.unboundedPreceding, 0)
     failed = (F.col("exit_code") != 0).cast("int")
-    failures = F.sum(failed).over(order)
-    at_success = F.max(F.when(failed == 0, F.col("__failures"))).over(order)
-    counted = syncs.where("exit_code is not null").withColumn("__failures", failures)
-    return counted.withColumn("streak", F.col("__failures") - F.coalesce(at_success, F.lit(0))).drop("__failures")
+    ran = syncs.where("exit_code is not null").withColumn("__chunk", F.floor(micros("ts") / CHUNK_US))
+    counted = ran.withColumn("__failures", F.sum(failed).over(order)).withColumn("__success", F.max(F.when(failed == 0, F.col("__failures"))).over(order))
+
+    # Of each chunk: its failures, and those up to its last success; from them the streak with which the next one begins.
+    chunks = counted.groupBy("asset", "__chunk").agg(F.max("__failures").alias("all"), F.max("__success").alias("until"))
+    along = Window.partitionBy("asset").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("before", F.coalesce(F.sum("all").over(along), F.lit(0)))
+    begins = chunks.select("asset", "__chunk", (F.col("before") - F.coalesce(F.max(F.col("before") + F.col("until")).over(along), F.lit(0))).alias("__begin"))
+    joined = counted.join(begins, ["asset", "__chunk"])
+    streak = F.when(F.col("__success").isNotNull(), F.col("__failures") - F.col("__success")).otherwise(F.col("__failures") + F.col("__begin"))
+    return joined.select(*syncs.columns, streak.alias("streak"))
 
 
 def cooldown(streaks: DataFrame, initial_s: int = 30, cap_s: int = 1800) -> DataFrame:
     """Failures with wait_s, until_us (not before this time) and cleared_us (the next success, or null)."""
-    later = Window.partitionBy("asset").orderBy(F.desc("ts"), F.desc("execution_id")).rowsBetween(Window.unboundedPreceding, -1)
-    cleared = F.last(F.when(F.col("exit_code") == 0, micros("ts")), ignorenulls=True).over(later)
+    success = F.when(F.col("exit_code") == 0, micros("ts"))
+    seen = carry(streaks, ["asset"], "ts", ["ts", "execution_id"], {"cleared_us": ("last", success)}, descending=True)
     wait = F.least(F.lit(initial_s) * F.pow(F.lit(2), F.least(F.col("streak") - 1, F.lit(40))), F.lit(cap_s)).cast("long")
-    found = streaks.withColumns({"cleared_us": cleared, "wait_s": wait}).where("streak > 0")
+    found = seen.withColumn("wait_s", wait).where("streak > 0")
     return found.withColumn("until_us", micros("ts") + F.col("wait_s") * 1_000_000)
 
 
@@ -98,10 +107,9 @@ def degradation(evals: DataFrame, syncs: DataFrame) -> DataFrame:
     """First evaluations after one or more syncs with fewer Ready conditions than the last before: evaluation_id, asset, before, after."""
     e = evals.select("asset", "ts", F.lit(1).alias("kind"), F.col("evaluation_id").alias("id"), "ready_count")
     s = syncs.select("asset", "ts", F.lit(0).alias("kind"), F.col("execution_id").alias("id"), F.lit(None).cast("long").alias("ready_count"))
-    line = Window.partitionBy("asset").orderBy("ts", "kind", "id")
-    timeline = e.unionByName(s).withColumn("syncs", F.sum((F.col("kind") == 0).cast("long")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    marked = timeline.where("kind = 1").withColumns({"before": F.lag("ready_count").over(line), "synced": F.col("syncs") > F.lag("syncs").over(line)})
-    return marked.where("synced and ready_count < before").select(F.col("id").alias("evaluation_id"), "asset", "before", F.col("ready_count").alias("after"))
+    values = {"before": ("last", F.col("ready_count")), "last_kind": ("last", F.col("kind"))}  # a sync right before is one since the last evaluation
+    marked = carry(e.unionByName(s), ["asset"], "ts", ["ts", "kind", "id"], values).where("kind = 1")
+    return marked.where("last_kind = 0 and ready_count < before").select(F.col("id").alias("evaluation_id"), "asset", "before", F.col("ready_count").alias("after"))
 
 
 def suspension_intervals(points: DataFrame, evals: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from evenkeel.operators import graph as G
 from evenkeel.operators import history as H
 from evenkeel.operators import inspection as I
 from evenkeel.operators import rules as R
-from evenkeel.operators.asof import asof_join
+from evenkeel.operators.asof import asof_join, carry
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -343,3 +343,18 @@ def test_scenarios_converge_in_waves(spark, name):
     for w in range(max(wave.values()) + 1):
         ready = spark.createDataFrame([(n, wave[n] < w) for n in names], "asset string, ready boolean")
         assert {r.asset for r in G.initial_set(assets, e, ready).collect()} == {n for n in names if wave[n] == w}
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("current", [False, True])
+def test_running_values_do_not_depend_on_the_chunks(spark, current, descending):
+    rows = [(i % 3, at(i * 7 % 50), i, None if i % 4 else i) for i in range(60)]
+    df = spark.createDataFrame(rows, "asset int, ts timestamp_ntz, id int, v int")
+    values = {"total": ("sum", F.col("id")), "near": ("last", F.col("v"))}
+    found = [{tuple(r) for r in carry(df, ["asset"], "ts", ["ts", "id"], values, current, descending, chunk).collect()} for chunk in (60_000_000, 600_000_000, 10**12)]
+    want = set()
+    for asset, ts, i, v in rows:
+        inside = lambda r: r[0] == asset and ((r[1], r[2]) > (ts, i) if descending else (r[1], r[2]) < (ts, i)) or (current and r[2] == i)  # noqa: B023, E731
+        seen = sorted(filter(inside, rows), key=lambda r: (r[1], r[2]), reverse=descending)
+        want.add((asset, ts, i, v, sum(r[2] for r in seen), next((r[3] for r in reversed(seen) if r[3] is not None), None)))
+    assert found == [want] * 3
