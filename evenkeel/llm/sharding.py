@@ -4,7 +4,9 @@ Every (key, shard) pair has a pseudo-random score that depends on nothing else,
 added takes rows only into itself and a shard that is removed gives up only its own. All of it is
 DataFrame functions; the rows' other columns never move.
 
-Null keys are one key like any other. Equal keys share a shard, however many rows they have.
+Null keys are one key like any other. Equal keys share a shard, however many rows they have; rows
+alike get slots of their own. A null or empty text has size 1 and the checksum of no bytes. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,15 +58,20 @@ def with_slots(df: DataFrame, shard: str, slot: str, buckets: int = 1024) -> Dat
     )
 
 
-def op1_sharding(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFrame:
-    """All documents into equally weighted shards, and where each would go with one shard more."""
-    text = F.coalesce("text", F.lit(""))
-    keyed = documents(spark, sf_dir).select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
+def shard_texts(docs: DataFrame, key: str, text: str, shards: int) -> DataFrame:
+    """``key``, size, text_crc32, law, shard, slot and grown_shard (with one shard more) in equally weighted shards."""
+    whole = F.coalesce(docs[text], F.lit(""))
+    keyed = docs.select(
+        key,
+        (F.octet_length(whole) + 1).cast("long").alias("size"),
+        F.crc32(whole.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        rendezvous_shard(F.col("doc_id"), [1.0] * shards).alias("shard"),
-        rendezvous_shard(F.col("doc_id"), [1.0] * (shards + 1)).alias("grown_shard"),
+        rendezvous_shard(docs[key], [1.0] * shards).alias("shard"),
+        rendezvous_shard(docs[key], [1.0] * (shards + 1)).alias("grown_shard"),
     )
-    return with_slots(keyed, "shard", "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return with_slots(keyed, "shard", "slot").select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents into 16 shards, and where each would go with one shard more."""
+    return shard_texts(documents(spark, sf_dir), "doc_id", "text", 16)
