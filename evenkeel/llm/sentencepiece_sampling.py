@@ -11,7 +11,10 @@ No piece has a space after another character, so the lattice falls apart at the
 of spaces, and the stretches in between are sampled on their own: the forward sums are computed
 once for each distinct stretch of a batch, and all rows' draws are made together.
 
-A null text gives null; an empty one the pieces of the leading space alone.
+A null text gives null; an empty one the pieces of the leading space alone. A null key is a key of its
+own (that of 0), and rows that share key and text share their sample. Lattices are made for stretches
+of up to about ``CHARS`` characters at a time, so long texts take no more memory than short ones; only
+a single stretch without a space is taken whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ SPACE_MARK = "▁"
 FALLBACK = 1 << 24
 TABLE_BITS = 20
 COMMON_ROWS = 3000
+CHARS = 1_000_000
 _loaded: dict[str, Vocabulary] = {}
 _common: dict[tuple[str, float], Common] = {}
 
@@ -263,14 +267,41 @@ def sample_pieces(v: Vocabulary, texts: list[str | None], keys: list[int | None]
     """Ids of all texts one after the other, and how many each has."""
     common = _common.setdefault((v.path, theta), Common())
     found = [v.stretch.findall(" " + t) if t is not None else [] for t in texts]
+    key = mix(np.array([(k or 0) & (2**64 - 1) for k in keys], np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+    ids, totals = [], np.zeros(len(texts), np.int64)
+    for part in _parts(found):
+        some, counts = _sample_stretches(v, theta, common, key, part)
+        ids.append(some)
+        np.add.at(totals, [row for row, _, _ in part], counts)
+    common.learn(v, theta, found)
+    return np.concatenate(ids) if ids else np.zeros(0, np.int32), totals
+
+
+def _parts(found: list[list[str]]) -> Iterator[list[tuple[int, int, list[str]]]]:
+    """Runs of (row, number of the first stretch, stretches) of about CHARS characters."""
+    part, size = [], 0
+    for row, stretches in enumerate(found):
+        at = 0
+        for i, s in enumerate(stretches):
+            if size + len(s) > CHARS and size:
+                part.append((row, at, stretches[at:i]))
+                yield part
+                part, size, at = [], 0, i
+            size += len(s)
+        part.append((row, at, stretches[at:]))
+    if part:
+        yield part
+
+
+def _sample_stretches(v: Vocabulary, theta: float, common: Common, key: np.ndarray, part: list[tuple[int, int, list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the stretches one after the other, and how many each entry of ``part`` has."""
     known, n_known, numbers = common.numbers, len(common.numbers), {}
-    counts = np.fromiter(map(len, found), np.int64, len(found))
+    counts = np.fromiter((len(s) for _, _, s in part), np.int64, len(part))
     number = lambda s: known[s] if s in known else n_known + numbers.setdefault(s, len(numbers))
-    stretch = np.fromiter((number(s) for f in found for s in f), np.int64, int(counts.sum()))
-    key = mix(np.array([(k or 0) & (2**64 - 1) for k in keys], np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-    row = np.repeat(np.arange(len(texts)), counts)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    stream = mix(key[row] + nth.astype(np.uint64))
+    stretch = np.fromiter((number(x) for _, _, s in part for x in s), np.int64, int(counts.sum()))
+    entry = np.repeat(np.arange(len(part)), counts)
+    nth = np.arange(len(entry)) - np.repeat(np.cumsum(counts) - counts, counts) + np.array([at for _, at, _ in part], np.int64)[entry]
+    stream = mix(key[np.array([r for r, _, _ in part], np.int64)[entry]] + nth.astype(np.uint64))
 
     old = np.flatnonzero(stretch < n_known)
     new = np.flatnonzero(stretch >= n_known)
@@ -284,11 +315,9 @@ def sample_pieces(v: Vocabulary, texts: list[str | None], keys: list[int | None]
     pieces = np.zeros(int(per_stretch.sum()), np.int64)
     for at, found_pieces, sizes in parts:
         pieces[np.repeat(start[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(found_pieces))] = found_pieces
-    common.learn(v, theta, found)
-
     ids, per_edge = expand_bytes(v, pieces)
-    edge_row = np.repeat(row, per_stretch)
-    return ids, np.bincount(edge_row, weights=per_edge, minlength=len(texts)).astype(np.int64)
+    edge_entry = np.repeat(entry, per_stretch)
+    return ids, np.bincount(edge_entry, weights=per_edge, minlength=len(part)).astype(np.int64)
 
 
 def sampled_encoding(df: DataFrame, key: str, text: str, model: str | None = None, seed: int = 1, theta: float = 2.0, rows: int = 1000) -> DataFrame:
