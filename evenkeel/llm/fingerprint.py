@@ -4,6 +4,10 @@ A text's code points give prefix arrays modulo two primes. From them any two spa
 in constant time, the longest common extension of two places is found by binary search, and the
 hashes of all windows come at once; the least window hashes of each of 64 bins form a sketch. The
 fingerprint is the hash of the whole text followed by the sketch, as text.
+
+A null text is an empty one. Null keys come after all others, and rows of one key in the order of
+their texts' hashes; such rows share a range, keys are meant to be unique. An empty table gives no rows;
+a single row is its own next.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from evenkeel.llm.words import mix
 PRIMES = (2**31 - 1, 2**31 - 19)
 BASES = (911_382_323, 972_663_749)
 WINDOW, BINS, EMPTY = 12, 64, 0xFFFF
+#: Rows in a range of keys, at most about.
+RANGE_ROWS = 50_000
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
@@ -120,7 +126,7 @@ def with_next(df: DataFrame, key: str, text: str, buckets: int | None = None) ->
     come after all others; rows of equal key are ordered by the hash of their text.
     """
     spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
     rows = df.select(df[key].cast("long").alias("key"), F.coalesce(df[text], F.lit("")).alias("text"))
     cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000)).head()[0]
     bounds = np.unique(np.array(cuts or [], np.int64))[::-1]
