@@ -77,8 +77,27 @@ def test_slots_are_gapless_with_repeated_rows(spark):
     assert SH.with_slots(df.limit(0), "shard", "slot").count() == 0
 
 
+def test_shards_of_odd_rows(spark):
+    df = odd(spark)
+    found = SH.shard_texts(df, "doc_id", "text", 16).collect()
+    assert len(found) == df.count()
+    slots = defaultdict(list)
+    for r in found:
+        slots[r.shard].append(r.slot)
+        assert r.grown_shard in (r.shard, 16)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    texts = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in df.collect())
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in found) == texts
+    assert len({r.shard for r in found if r.doc_id is None}) == 1
+    assert SH.shard_texts(df.limit(0), "doc_id", "text", 16).count() == 0
+
+
 def test_op1(spark, sf, docs):
-    found = {r.doc_id: r for r in queries.QUERIES["op1_sharding"](spark, sf).collect()}
+    rows = queries.QUERIES["op1_sharding"](spark, sf).collect()
+    for shard in range(16):
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    found = {r.doc_id: r for r in rows}
     assert len(found) == len(docs)
     assert all(found[i].size == len(t.encode()) + 1 and found[i].text_crc32 == zlib.crc32(t.encode()) and found[i].grown_shard in (found[i].shard, 16) for i, t in docs)
 
@@ -203,6 +222,16 @@ def test_sampled_pieces_decode_and_repeat(spark, docs):
     assert SP.sampled_encoding(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_samples_do_not_depend_on_the_parts(docs, monkeypatch):
+    v = SP.vocabulary(SP.default_model())
+    texts, keys = [None, "", "a b", *(t for _, t in docs[:20]), LONG], list(range(24))
+    whole, counts = SP.sample_pieces(v, texts, keys, 1, 2.0)
+    for chars in (1, 100, 5000):
+        monkeypatch.setattr(SP, "CHARS", chars)
+        ids, sizes = SP.sample_pieces(v, texts, keys, 1, 2.0)
+        assert np.array_equal(ids, whole) and np.array_equal(sizes, counts)
+
+
 def test_samples_follow_the_lattice():
     """Frequencies of the segmentations of one stretch against their weights, all enumerated."""
     v = SP.vocabulary(SP.default_model())
@@ -290,7 +319,7 @@ def test_language_id_without_letters_or_rows(spark):
 
 def test_language_id_decoding_by_hand(spark):
     """Counts, log-odds, margins and losses of one model computed with dictionaries."""
-    texts = ["el perro come", "the dog eats", "le chien mange", "der hund isst"]
+    texts = ["el perro come", "a dog sleeps", "le chien mange", "der hund isst"]
     languages = ["es", "en", "fr", "de"]
     df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, languages, strict=True))] * 3, "doc_id long, text string, lang string")
     model = LI.train(df, "doc_id")
@@ -304,7 +333,7 @@ def test_language_id_decoding_by_hand(spark):
     per = {x: t for x, t in zip(languages, tables, strict=True)}
     share = {x: {g: (per[x][g] + 0.1) / (sum(per[x].values()) + 0.1 * LI.FEATURES) for t in tables for g in t} for x in languages}
     rest = {x: 0.1 / (sum(per[x].values()) + 0.1 * LI.FEATURES) for x in languages}
-    for text in ["el hund", "the perro eats", "perro", "mange isst dog come"]:
+    for text in ["el hund", "perro", "the chien", "mange isst dog come"]:
         features = {(g, x) for t in [*texts, text] for found, raw in [(np.concatenate(list(LI.grams(t))), " " + " ".join(t.split()) + " ")] for g, x in zip(found.tolist(), [raw[i : i + n] for n in (2, 3, 4) for i in range(len(raw) - n + 1)], strict=True)}
         assert len(features) == len({g for g, _ in features})  # no two n-grams share a feature here
         loss = dict.fromkeys(languages, 0.0)
