@@ -4,9 +4,10 @@ An entry is a host with an optional path that begins with ``/``. It fits its hos
 subdomains if the URL's path starts with the entry's path; the last segment of an entry may be a
 part of a segment. Of all entries that fit, the longest (host and path together) decides; between
 equally long ones block wins. The trie is broadcast: an entry list is configuration, and one of
-more than ``MAX_ENTRIES`` is refused.
+more than ``MAX_ENTRIES`` is refused there; ``judge_by_join`` takes entry tables of any size.
 
-A null URL, and one without ``://``, has an empty host and path and gets the default verdict.
+A null URL, and one without ``://``, has an empty host and path and gets the default verdict. Rows
+alike get verdicts alike, keys are not read, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -100,6 +101,38 @@ def judge_urls(df: DataFrame, url: str, entries: list[tuple[str, str, str]], def
     return judged.withColumns({"rule": F.col("__judged.rule"), "verdict": F.col("__judged.verdict")}).drop("__judged")
 
 
+#: Characters of an entry's last segment that are part of its join key.
+HEAD = 2
+
+
+def judge_by_join(df: DataFrame, url: str, entries: DataFrame, default: str = "allow") -> DataFrame:
+    """What ``judge_urls`` does, for a table of entries (host, path, verdict) too large to broadcast.
+
+    An entry is known by its host, its whole segments and the first letters of its last one. Each
+    distinct host and path looks up all its beginnings, as many as labels times segments, and keeps
+    the longest of those that fit.
+    """
+    host, path = F.lower("host"), F.coalesce("path", F.lit(""))
+    cut = F.length(path) - F.length(F.substring_index(path, "/", -1))
+    listed = entries.select(host.alias("e_host"), path.alias("e_path"), F.substring(path, F.lit(1), cut).alias("e_whole"), F.substring_index(path, "/", -1).alias("e_last"), "verdict")
+    listed = listed.withColumns({"e_head": F.substring("e_last", 1, HEAD), "rank": F.struct(F.length(F.concat("e_host", "e_path")).alias("length"), (F.col("verdict") == "block").alias("block"), F.concat("e_host", "e_path").alias("rule"), "verdict")})
+
+    judged = df.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
+    places = judged.where("host <> ''").select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    slashes = F.filter(F.transform(F.split("path", ""), lambda c, i: F.when(c == "/", i + 1)), lambda i: i.isNotNull())
+    ends = F.array_union(F.array(F.lit(0)), slashes)
+    found = places.select("host", "path", F.explode(tails).alias("e_host"), ends.alias("ends")).select("host", "path", "e_host", F.explode("ends").alias("end"))
+    heads = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(HEAD)), lambda n: F.substring("path", F.col("end") + 1, n)))
+    found = found.select("host", "path", "e_host", F.substring("path", F.lit(1), F.col("end")).alias("e_whole"), F.explode(heads).alias("e_head"))
+    fits = found.join(listed, ["e_host", "e_whole", "e_head"]).where(F.startswith("path", F.col("e_path")))
+    best = fits.groupBy("host", "path").agg(F.max("rank").alias("__best"))
+    out = judged.join(best, ["host", "path"], "left")
+    out = out.withColumns({"rule": F.col("__best.rule"), "verdict": F.coalesce("__best.verdict", F.lit(default))})
+    return out.select(*[c for c in df.columns if c not in ("host", "path", "rule", "verdict")], "host", "path", "rule", "verdict")
+
+
 RULES = [
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),

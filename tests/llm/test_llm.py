@@ -661,6 +661,17 @@ def test_urls(spark):
     assert UF.judge_urls(df.limit(0), "url", UF.RULES).count() == 0
 
 
+def test_urls_by_join(spark):
+    rules = [*UF.RULES, ("a.org", "", "allow"), ("a.org", "/x", "block"), ("org", "/xyz/", "block"), ("b.org", "", "block"), ("b.org", "", "allow"), ("example.org", "/en/1/2", "allow"), ("x.com", "/fr/abc", "block")]
+    urls = [*URLS, "http://a.org", "http://q.a.org/xyz/1", "http://a.org/xy", "http://b.org/", "http://example.org/en/1/23/4", "http://x.com/fr/abcd", "http://x.com/fr/ab", "http://x.com/fr/abcd"]
+    df = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, rule int")
+    want = {tuple(r) for r in UF.judge_urls(df, "url", rules).select("page_id", "host", "path", "rule", "verdict").collect()}
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    assert {tuple(r) for r in UF.judge_by_join(df, "url", table).select("page_id", "host", "path", "rule", "verdict").collect()} == want
+    assert UF.judge_by_join(df.limit(0), "url", table).count() == 0
+    assert {r.verdict for r in UF.judge_by_join(df, "url", table.limit(0), "block").collect()} == {"block"}
+
+
 def test_url_rules_without_path_and_ties():
     trie = UF.build_trie([("a.org", "", "allow"), ("a.org", "/x", "allow"), ("org", "/xyz/", "block"), ("b.org", "", "block"), ("b.org", "", "allow")])
     assert UF.longest_match(trie, "q.a.org", "") == ("a.org", "allow")
