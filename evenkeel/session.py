@@ -7,11 +7,15 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 PACKAGE = Path(__file__).resolve().parent
+_scopes: list[list[DataFrame]] = []
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -54,7 +58,15 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark)
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = scratch_table(spark, path, df.schema)
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
+
+
+def scratch_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """A table in the scratch folder, which ``discard`` can delete."""
+    out = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
     out._evenkeel_path = path
     return out
 
@@ -68,6 +80,16 @@ def discard(*tables: DataFrame) -> None:
             target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Delete on leaving all tables that ``materialize`` wrote inside; only results written elsewhere outlast it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        discard(*_scopes.pop())
+
+
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
     """A local session with the settings that tests and the benchmark use."""
     settings = {

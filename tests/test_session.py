@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from evenkeel.session import discard, materialize, shared_folder
+from evenkeel.session import discard, materialize, scratch_scope, shared_folder
 
 
 def test_a_cluster_needs_a_shared_folder():
@@ -24,3 +24,16 @@ def test_discarded_tables_are_gone(spark):
     discard(df)
     assert not os.path.exists(path)
     discard(df, spark.range(1))
+
+
+def test_scopes_delete_what_was_written_inside(spark):
+    outer = materialize(spark.range(3))
+    with scratch_scope():
+        one = materialize(spark.range(3))
+        with pytest.raises(ZeroDivisionError), scratch_scope():
+            two = materialize(one)
+            raise ZeroDivisionError
+        assert not os.path.exists(two._evenkeel_path) and os.path.isdir(one._evenkeel_path)
+    assert not os.path.exists(one._evenkeel_path)
+    assert outer.count() == 3
+    discard(outer)
