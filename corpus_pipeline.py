@@ -11,7 +11,7 @@ from evenkeel.llm.line_dedup import without_repeated_lines
 from evenkeel.llm.near_dedup import without_near_copies
 from evenkeel.llm.packing import pack, token_pieces
 from evenkeel.llm.substring_dedup import without_repeats
-from evenkeel.session import materialize
+from evenkeel.session import discard, scratch_dir, scratch_scope, scratch_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again by the next."""
+    """All stages over ``documents``; each stage's rows are written and read again by the next.
+
+    A stage's scratch tables go once its rows are written, and its rows once the next stage's are.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n + 1 < len(STAGES):
-            docs = materialize(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        path = scratch_dir(spark)
+        with scratch_scope():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        discard(docs)
+        docs = scratch_table(spark, path)
+    return STAGES[-1][1](spark, docs, sf_dir)
