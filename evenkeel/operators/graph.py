@@ -138,34 +138,38 @@ def component_sizes(found: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     return assets.join(inside, "component", "left").crossJoin(F.broadcast(total)).select("component", "assets", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"), "too_many")
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("src", "dst")).alias("node"))
+
+
 def _peel(nodes: DataFrame, edges: DataFrame) -> list[DataFrame]:
     """(node, wave) for each round in which nodes run out of incoming edges; nodes on and below cycles never do.
 
-    Every edge knows how many its target has. A round counts the edges from the newest nodes by
-    target and adds them to the counts of targets that wait, so each edge is joined once.
+    Edges are distinct. Every edge knows how many its target has. A round counts the edges from the
+    newest nodes by target and adds them to the counts of targets that wait, so each edge is joined once.
     """
-    edges = edges.select("src", "dst").distinct()
     needs = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("need"))
     steps = materialize(edges.join(needs, "dst"))
-    free = nodes.select("node").distinct().join(steps.select(F.col("dst").alias("node")), "node", "left_anti")
-    rounds = [materialize(free.withColumn("wave", F.lit(0).cast("long")))]
+    targets = needs.select(F.col("dst").alias("node"))
+    at_wave = lambda df, n: df.select("node", F.lit(n).cast("long").alias("wave"))
+    rounds = [materialize(at_wave(nodes.select("node").distinct().join(targets, "node", "left_anti"), 0))]
     waiting = None
     while not rounds[-1].isEmpty():
-        met = rounds[-1].select(F.col("node").alias("src")).join(steps, "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("seen"), F.max("need").alias("need"))
+        newest = rounds[-1].select(F.col("node").alias("src"))
+        met = newest.join(steps, "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("seen"), F.max("need").alias("need"))
         if waiting is not None:
-            met = met.unionByName(waiting.where("seen < need")).groupBy("node").agg(F.sum("seen").alias("seen"), F.max("need").alias("need"))
-        met, old = materialize(met), waiting
-        rounds.append(materialize(met.where("seen = need").select("node", F.lit(len(rounds)).cast("long").alias("wave"))))
-        waiting = met
-        if old is not None:
-            discard(old)
-    discard(steps, *([waiting] if waiting is not None else []))
+            met = met.unionByName(waiting).groupBy("node").agg(F.sum("seen").alias("seen"), F.max("need").alias("need"))
+        met = materialize(met)
+        rounds.append(at_wave(met.where("seen = need"), len(rounds)))
+        waiting = met.where("seen < need")
+    discard(steps)
     return rounds
 
 
 def cycle_residue(edges: DataFrame) -> DataFrame:
     """Nodes left when nodes without incoming edges are removed again and again: cycles and all below them."""
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    edges = materialize(edges.select("src", "dst").distinct())
+    nodes = _ends(edges).distinct()
     return nodes.join(reduce(DataFrame.unionByName, _peel(nodes, edges)), "node", "left_anti")
 
 
@@ -174,9 +178,12 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Nodes that only an edge names are there too.
     """
-    nodes = reduce(DataFrame.unionByName, [nodes.select("node"), *(edges.select(F.col(c).alias("node")) for c in ("src", "dst"))]).distinct()
+    edges = materialize(edges.select("src", "dst").distinct())
+    nodes = materialize(nodes.select("node").unionByName(_ends(edges)).distinct())
     found = reduce(DataFrame.unionByName, _peel(nodes, edges))
-    if found.count() < nodes.count():
+    complete = found.count() == nodes.count()
+    discard(nodes, edges)
+    if not complete:
         raise ValueError("the edges have a cycle")
     return found
 
