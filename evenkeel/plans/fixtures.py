@@ -32,10 +32,11 @@ UNION ALL SELECT DISTINCT concat('s', CAST(l_suppkey AS VARCHAR(20))), concat('o
     "lineage_nodes": """
 SELECT DISTINCT node FROM (SELECT src AS node FROM lineage_edges UNION ALL SELECT dst FROM lineage_edges) t""",
     "part_edges": """
-SELECT DISTINCT concat('o', CAST(l_orderkey AS VARCHAR(20))) AS src, concat('p', CAST(l_partkey AS VARCHAR(20))) AS dst FROM lineitem""",
+SELECT DISTINCT concat('o', CAST(l_orderkey AS VARCHAR(20))) AS src, concat('p', CAST(l_partkey AS VARCHAR(20)), 'm', substr(CAST(l_shipdate AS VARCHAR(32)), 1, 7)) AS dst FROM lineitem""",
     "cyclic_edges": """
-SELECT DISTINCT user_id AS src, nxt AS dst
-FROM (SELECT user_id, event_type, lead(user_id) OVER (PARTITION BY substr(CAST(ts AS VARCHAR(32)), 1, 13) ORDER BY ts, event_id) AS nxt FROM events) t
+SELECT DISTINCT concat('u', CAST(user_id AS VARCHAR(20)), 'd', period) AS src, concat('u', CAST(nxt AS VARCHAR(20)), 'd', period) AS dst
+FROM (SELECT user_id, event_type, CAST(CAST(floor(CAST(substr(CAST(ts AS VARCHAR(32)), 9, 2) AS INT) / 3) AS INT) AS VARCHAR(4)) AS period,
+  lead(user_id) OVER (PARTITION BY substr(CAST(ts AS VARCHAR(32)), 1, 13) ORDER BY ts, event_id) AS nxt FROM events) t
 WHERE event_type = 'signup' AND nxt IS NOT NULL AND nxt <> user_id""",
     "relation_model": """
 SELECT lower(p_brand) AS db, lower(p_type) AS sch, lower(p_name) AS ident, 'even' AS origin, min(p_partkey) AS model_id

@@ -93,7 +93,7 @@ label(node, component) USING KEY (node) AS (
 
 
 def _ordered_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Orders and the parts they consist of, all of them."""
+    """All orders and the parts, by month, they consist of."""
     edges = table(spark, sf_dir, "part_edges")
     orders = edges.select(F.col("src").alias("node"), F.lit("Asset").alias("kind"))
     parts = edges.select(F.col("dst").alias("node"), F.lit("Connection").alias("kind"))

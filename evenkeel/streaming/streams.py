@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,14 +39,13 @@ def _ordered(batches: Iterator[pd.DataFrame], columns: Sequence[str]) -> pd.Data
 
 
 def _transitions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    ready = state.get[0] if state.exists else False
-    found = []
-    for row in _ordered(batches, ["ts", "id", "ready"]).itertuples():
-        if row.ready and not ready:
-            found.append((key[0], row.id))
-        ready = bool(row.ready)
-    state.update((ready,))
-    yield pd.DataFrame(found, columns=["asset", "evaluation_id"])
+    rows = _ordered(batches, ["ts", "id", "ready"])
+    ready = rows["ready"].fillna(False).to_numpy(bool)
+    before = np.concatenate([[state.get[0] if state.exists else False], ready[:-1]])
+    if len(ready):
+        state.update((bool(ready[-1]),))
+    found = rows["id"].to_numpy()[ready & ~before[: len(ready)]]
+    yield pd.DataFrame({"asset": key[0], "evaluation_id": found})
 
 
 def stream_transitions(evals: DataFrame) -> DataFrame:
@@ -62,19 +62,20 @@ def stream_guardrail(events: DataFrame, limit: int = 3, initial_s: int = 30, cap
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak, suspended = state.get if state.exists else (0, False)
         out = []
-        for row in _ordered(batches, ["ts", "id", "kind", "failed", "ready"]).itertuples():
-            if row.kind == "sync":
-                if not row.failed:
+        rows = _ordered(batches, ["ts", "id", "kind", "failed", "ready"])
+        for number, kind, failed, ready in zip(*(rows[c].tolist() for c in ("id", "kind", "failed", "ready")), strict=True):
+            if kind == "sync":
+                if not failed:
                     streak = 0
                     continue
                 streak += 1
-                out.append((key[0], row.id, "cooldown", streak, int(min(initial_s * 2 ** min(streak - 1, 40), cap_s))))
+                out.append((key[0], number, "cooldown", streak, int(min(initial_s * 2 ** min(streak - 1, 40), cap_s))))
                 if streak >= limit:
                     suspended = True
-                    out.append((key[0], row.id, "suspend", streak, 0))
-            elif row.ready and suspended:
+                    out.append((key[0], number, "suspend", streak, 0))
+            elif ready and suspended:
                 suspended, streak = False, 0
-                out.append((key[0], row.id, "resume", 0, 0))
+                out.append((key[0], number, "resume", 0, 0))
         state.update((streak, suspended))
         yield pd.DataFrame(out, columns=["asset", "id", "kind", "streak", "wait_s"])
 
