@@ -36,8 +36,7 @@ def component_labels(edges: DataFrame, a: str, b: str) -> DataFrame:
     star = materialize(star)
     while True:
         star, old = materialize(_small_star(_large_star(star))), star
-        changed = star.join(old, ["a", "b"], "left_anti")
-        done = changed.isEmpty() and star.count() == old.count()
+        done = star.count() == old.count() and star.join(old, ["a", "b"], "left_anti").isEmpty()
         discard(old)
         if done:
             break
