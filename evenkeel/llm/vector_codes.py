@@ -139,7 +139,8 @@ def vector_codes(df: DataFrame, key: str, vector: str, label: str, parts: int =
     first = [r.v for r in rows.orderBy(F.asc_nulls_last("key"), "v").limit(entries).select("v").collect()]
     dim = len(first[0]) if first else 0
     rows = rows.where(F.size("v") == dim)
-    table = np.array([v for v in first if len(v) == dim], np.int64).reshape(-1, dim)
+    first = [v for v in first if len(v) == dim]
+    table = np.array(first, np.int64).reshape(len(first), dim)
     at = cuts(dim, parts)
     for _ in range(rounds if first else 0):
         table = _learned(rows, table, at)
