@@ -1,4 +1,4 @@
-"""Templates, tags and cells of JSON columns."""
+"""Templates, tags and job commands."""
 
 from __future__ import annotations
 
@@ -36,20 +36,3 @@ def selected_models(command: Column) -> Column:
     named = F.aggregate(F.split(command, r"\s+"), start, step)["found"]
     bare = F.transform(named, lambda w: F.regexp_replace(w, r"^[0-9]*\+|\+[0-9]*$", ""))
     return F.filter(bare, lambda w: (w != "") & ~F.contains(w, F.lit(":")))
-
-
-def json_cell(json: Column, path: str, compare: bool = False) -> Column:
-    """Text of the value at a dotted path: null as ``null``, arrays joined by comma, objects as k=v.
-
-    A key with an empty value shows alone. For comparisons an object with state and reason reads
-    ``state (reason)`` and a null ``-``.
-    """
-    value = F.get_json_object(json, "$." + path)
-    as_array, as_map = F.from_json(value, "array<string>"), F.from_json(value, "map<string,string>")
-    pairs = F.transform(F.map_entries(as_map), lambda e: F.when(F.coalesce(e["value"], F.lit("null")) == "", e["key"]).otherwise(F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("null")))))
-    shown = F.when(F.startswith(value, F.lit("[")), F.array_join(as_array, ",", "null")).when(F.startswith(value, F.lit("{")), F.array_join(F.array_sort(pairs), ",")).otherwise(value)
-    if not compare:
-        return F.coalesce(shown, F.lit("null"))
-    state, reason = F.get_json_object(value, "$.state"), F.get_json_object(value, "$.reason")
-    judged = F.when(reason.isNull() | (reason == ""), state).otherwise(F.concat(state, F.lit(" ("), reason, F.lit(")")))
-    return F.coalesce(F.when(F.startswith(value, F.lit("{")) & state.isNotNull(), judged), shown, F.lit("-"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.functions.text import json_cell
+from evenkeel.functions.json_text import json_cell
 from evenkeel.operators import export as X
 from evenkeel.operators import inspection as I
 from evenkeel.operators import marts as M
@@ -85,22 +85,31 @@ def backfill_missing_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events)
-SELECT event_id, k AS plain, 'null' AS missing, k || ',' || event_type AS list, 'a=' || k || ',b' AS object, 'Drifted (' || event_type || ')' AS judged, '-' AS dash FROM t""")
+WITH t AS (SELECT event_id, event_type AS e, json_extract_string(props, '$.k') AS k, CAST(round(value, 1) AS DECIMAL(12,1)) AS v FROM events)
+SELECT event_id, k AS plain, 'null' AS missing, k || ', ' || e AS list, 'a=' || k || ', b' AS object, k || ', z=null, ' || v || ', ' || e || ', true' AS deep,
+  'below=a=' || k || ', b, kinds=' || e || ', ' || k || ', none=null, share=' || v AS object_in_object, CAST(v AS VARCHAR) AS real,
+  'Drifted (' || e || ')' AS judged, 'Ready' AS judged_without_reason, '["' || k || '","' || e || '"]' AS list_compared,
+  '{"a":' || k || ',"b":""}' AS object_compared, '{"reason":"' || e || '","state":' || k || '}' AS other_state_compared, k AS plain_compared, '-' AS dash FROM t""")
 def json_path_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = F.to_json(
-        F.struct(
-            F.get_json_object("props", "$.k").cast("long").alias("k"),
-            F.array(F.get_json_object("props", "$.k"), F.col("event_type")).alias("list"),
-            F.struct(F.struct(F.get_json_object("props", "$.k").cast("long").alias("a"), F.lit("").alias("b")).alias("object")).alias("deep"),
-            F.struct(F.lit("Drifted").alias("state"), F.col("event_type").alias("reason")).alias("judged"),
-        )
-    )
-    rows = table(spark, sf_dir, "events").select("event_id", nested.alias("j"))
+    """Cells of a document made of each event: plain, nested in lists and objects, and as shown in comparisons."""
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_type")
+    a_and_b = F.struct(F.lit("").alias("b"), k.cast("long").alias("a"))
+    value = F.round("value", 1)
+    mixed = F.concat(F.lit('[["'), k, F.lit('",{"z":null}],['), value.cast("string"), F.lit(',"'), kind, F.lit('"],true]'))
+    below = F.struct(F.lit(None).cast("string").alias("none"), value.alias("share"), F.array(kind, k).alias("kinds"), a_and_b.alias("below"))
+    nested = F.struct(
+        k.cast("long").alias("k"), F.array(k, kind).alias("list"), F.struct(a_and_b.alias("object")).alias("deep"), value.alias("value"), below.alias("below"),
+        F.struct(F.lit("Drifted").alias("state"), kind.alias("reason")).alias("judged"), F.struct(F.lit("Ready").alias("state"), F.lit("").alias("reason")).alias("ready"),
+        F.struct(k.cast("long").alias("state"), kind.alias("reason")).alias("other"),
+    )
+    text = F.to_json(nested, {"ignoreNullFields": "false"})
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.substr(text, F.lit(1), F.length(text) - 1), F.lit(',"mixed" : '), mixed, F.lit("}")).alias("j"))
     cell = lambda path, compare=False: json_cell(F.col("j"), path, compare)
     return rows.select(
-        "event_id", cell("k").alias("plain"), cell("none.there").alias("missing"), cell("list").alias("list"), cell("deep.object").alias("object"), cell("judged", True).alias("judged"), cell("none", True).alias("dash")
-    )
+        "event_id", cell("k").alias("plain"), cell("none.there").alias("missing"), cell("list").alias("list"), cell("deep.object").alias("object"), cell("mixed").alias("deep"),
+        cell("below").alias("object_in_object"), cell("value").alias("real"), cell("judged", True).alias("judged"), cell("ready", True).alias("judged_without_reason"),
+        cell("list", True).alias("list_compared"), cell("deep.object", True).alias("object_compared"), cell("other", True).alias("other_state_compared"), cell("k", True).alias("plain_compared"), cell("none", True).alias("dash"),
+    )
 
 
 SOURCE_SQL = """

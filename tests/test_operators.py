@@ -1,11 +1,13 @@
 """Edge cases of the operators."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from evenkeel.functions.text import expand_template, json_cell, selected_models, tags_to_labels
+from evenkeel.functions.json_text import json_cell, json_text, plain_json, real_text
+from evenkeel.functions.text import expand_template, selected_models, tags_to_labels
 from evenkeel.functions.times import date_key, parse_ts
 from evenkeel.operators import conditions as C
 from evenkeel.operators import export as X
@@ -174,7 +176,56 @@ def test_proposals_take_the_first_drifted_entry(spark):
 def test_json_cell(spark):
     df = spark.createDataFrame([('{"a": {"b": [1, null, "x"]}, "o": {"k": "v", "e": ""}, "s": {"state": "Drifted", "reason": "old"}, "n": null}',)], "j string")
     cell = lambda p, c=False: json_cell(F.col("j"), p, c)
-    assert one(df.select(cell("a.b"), cell("o"), cell("s", True), cell("n"), cell("n", True), cell("a.z"))) == [("1,null,x", "e,k=v", "Drifted (old)", "null", "-", "null")]
+    assert one(df.select(cell("a.b"), cell("o"), cell("s", True), cell("n"), cell("n", True), cell("a.z"))) == [("1, null, x", "e, k=v", "Drifted (old)", "null", "-", "null")]
+
+
+def displayed(v):
+    """What a value reads like, by recursion."""
+    if isinstance(v, (bool, type(None))):
+        return json.dumps(v)
+    if isinstance(v, list):
+        return ", ".join(map(displayed, v))
+    if isinstance(v, dict):
+        return ", ".join(k if x == "" else f"{k}={displayed(x)}" for k, x in sorted(v.items()))
+    return v if isinstance(v, str) else str(v)
+
+
+VALUES = [
+    [], {}, [[], {}], {"z": [], "a": {}}, [["a"], {"k": 1}], {"k": {"b": "", "a": {"c": [1.0, -0.5]}}}, "", "a, b", 'q"u\\o\n', "é", "", "1.5", ["", 1.5],
+    0, -7, 1.5, -2.0, 1234567.25, 2**63, True, ["", {"": ""}], {"a:b": "c:d", "e": ":", "f": '"', "g": '\\"'}, {"state": 5, "reason": "r"}, {"state": "S"}, {"state": "S", "reason": 5},
+    {"state": "S", "reason": ""}, {"state": "1.5", "reason": "1.5"}, {"state": 1.5}, ["x" * 20_000 + '"' * 20_000],
+]
+
+
+def test_json_cells_of_any_depth(spark):
+    rows = [(n, json.dumps({"v": {"w": v}}, ensure_ascii=bool(n % 2))) for n, v in enumerate(VALUES)]
+    found = spark.createDataFrame(rows, "n int, j string").select("n", json_cell(F.col("j"), "v.w").alias("shown"), json_cell(F.col("j"), "v.w", True).alias("compared")).collect()
+    for n, text, compared in found:
+        v = VALUES[n]
+        assert text == displayed(v)
+        if isinstance(v, dict) and isinstance(v.get("state"), str):
+            assert compared == (f"{v['state']} ({v['reason']})" if isinstance(v.get("reason"), str) and v["reason"] else v["state"])
+        elif isinstance(v, (list, dict)):
+            assert compared == json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        else:
+            assert compared == displayed(v)
+
+
+def test_json_paths_and_text_that_is_no_json(spark):
+    df = spark.createDataFrame([('{"a": [{"b": 1}], "c": "s", "d\'e": 1, "f g": null}',), ("[1,",), (None,)], "j string")
+    cell = lambda p, c=False: json_cell(F.col("j"), p, c)
+    assert one(df.select(cell("a.b"), cell("a.0"), cell("c.d"), cell("d'e"), cell("f g"), cell("f g", True), cell("x", True))) == [("null", "null", "null", "1", "null", "-", "-"), *[("null",) * 5 + ("-", "-")] * 2]
+
+
+@pytest.mark.parametrize(
+    ("number", "text"),
+    [("1e3", "1000.0"), ("1.50", "1.5"), ("100", "100.0"), ("1e15", "1000000000000000.0"), ("1.5e16", "1.5e16"), ("1e16", "1e16"), ("123456789.125", "123456789.125"), ("-1e-5", "-0.00001"), ("1.25e-4", "0.000125"), ("1e-7", "1e-7"), ("-1.5E-9", "-1.5e-9"), ("18446744073709551616", "1.8446744073709552e19"), ("-0", "-0.0")],
+)
+def test_real_numbers(spark, number, text):
+    df = spark.createDataFrame([(number,)], "n string")
+    assert df.select(real_text(F.col("n"))).head()[0] == text
+    if number != "100":
+        assert df.select(plain_json(json_text(F.concat(F.lit('{"a": ['), F.col("n"), F.lit("]}")), "a"))).head()[0] == f"[{text}]"
 
 
 def test_tags_to_labels(spark):
