@@ -12,6 +12,7 @@ from evenkeel.plans.fixtures import table
 from evenkeel.plans.registry import query
 from evenkeel.session import scratch_dir, ship_package
 from evenkeel.streaming import streams as S
+from evenkeel.streaming.ordered import keep_state_in_rocksdb
 
 
 #: Bounds what a micro-batch reads.
@@ -21,6 +22,7 @@ FILES_PER_TRIGGER = 16
 def _events(spark: SparkSession, folder: str, files: str = "events.parquet") -> DataFrame:
     """The event table as a stream; the schema is the table's."""
     ship_package(spark)
+    keep_state_in_rocksdb(spark)
     schema = spark.read.parquet(f"{folder}/{files}").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", files.split("/")[-1]).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(folder)
     return source.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -54,24 +56,36 @@ def stream_evaluate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("asset", micros("start").alias("start_us"), "evaluated", "drifted", "rate")
 
 
-@query("""
-WITH n AS (SELECT max(epoch_us(ts)) AS now FROM events), m AS (SELECT asset, max(epoch_us(started_at)) AS newest FROM eval_log GROUP BY asset)
-SELECT asset, newest AS newest_us, now - newest > 86400000000 AS stale FROM m, n""")
+#: How late rows may be. A stream's end leaves the rows of its last hour waiting.
+DELAY = "1 hour"
+
+
+def _applied(name: str, ts: str = "ts") -> str:
+    """SQL: the rows of ``name`` that the watermark, in milliseconds, has passed when the stream ends."""
+    return f"(SELECT * FROM {name} WHERE epoch_us({ts}) <= (SELECT max(epoch_us({ts})) // 1000 * 1000 - 3600000000 FROM {name}))"
+
+
+@query(f"""
+WITH mark AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 AS now FROM evals),
+x AS (SELECT asset, us, lag(us) OVER (PARTITION BY asset ORDER BY us) AS prev, lead(us) OVER (PARTITION BY asset ORDER BY us) AS nxt FROM (SELECT DISTINCT asset, epoch_us(ts) AS us FROM {_applied('evals')}) t)
+SELECT asset, us AS at_us, 'Ready' AS state, us AS newest_us, CAST(NULL AS VARCHAR) AS reason FROM x WHERE prev IS NULL OR us - prev > 86400000000
+UNION ALL SELECT asset, us + 86400000000, 'Drifted', us, 'last updated 86400s ago, max age is 86400s' FROM x, mark WHERE coalesce(nxt, now) - us > 86400000000""")
 def stream_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = _finish(spark, S.stream_freshness(_log(_events(spark, sf_dir))), "update", ("asset",))
-    now = table(spark, sf_dir, "events").agg(F.max(micros("ts")).alias("now"))
-    found = done.select("asset", micros(F.col("newest").cast("timestamp_ntz")).alias("newest_us")).crossJoin(F.broadcast(now))
-    return found.select("asset", "newest_us", (F.col("now") - F.col("newest_us") > 86_400_000_000).alias("stale"))
+    """When each asset's evaluations become fresh and, a day after the last, stale."""
+    return _finish(spark, S.stream_freshness(_evals(_events(spark, sf_dir)), 86_400, DELAY))
+
 
+TRANSITIONS_SQL = f"SELECT evaluation_id, asset FROM (SELECT *, lag(ready, 1, false) OVER (PARTITION BY asset ORDER BY ts, evaluation_id) AS prev FROM {_applied('evals')} u) t WHERE ready AND NOT prev"
 
-@query("SELECT evaluation_id, asset FROM (SELECT *, lag(ready, 1, false) OVER (PARTITION BY asset ORDER BY ts, evaluation_id) AS prev FROM evals) t WHERE ready AND NOT prev")
+
+@query(TRANSITIONS_SQL)
 def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _finish(spark, S.stream_transitions(_evals(_events(spark, sf_dir))))
+    return _finish(spark, S.stream_transitions(_evals(_events(spark, sf_dir)), DELAY))
 
 
-@query("""
+@query(f"""
 WITH RECURSIVE t AS (SELECT event_id AS id, user_id AS asset, event_type IN ('purchase', 'error') AS is_sync, event_type = 'error' AS failed, value < 25 AS ready,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM {_applied('events')} e),
   w AS (SELECT asset, id, n, is_sync, failed, CAST(CASE WHEN is_sync AND failed THEN 1 ELSE 0 END AS BIGINT) AS streak, false AS suspended, false AS resumed FROM t WHERE n = 1
     UNION ALL SELECT t.asset, t.id, t.n, t.is_sync, t.failed,
       CASE WHEN t.is_sync AND t.failed THEN w.streak + 1 WHEN t.is_sync OR (w.suspended AND t.ready) THEN 0 ELSE w.streak END,
@@ -82,9 +96,9 @@ UNION ALL SELECT asset, id, 'suspend', streak, 0 FROM w WHERE is_sync AND failed
 def stream_guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_sync = F.col("event_type").isin("purchase", "error")
     rows = _events(spark, sf_dir).select(
-        F.col("user_id").alias("asset"), "ts", F.col("event_id").alias("id"), F.when(is_sync, "sync").otherwise("eval").alias("kind"), (F.col("event_type") == "error").alias("failed"), (F.col("value") < 25).alias("ready")
+        F.col("user_id").alias("asset"), "ts", F.col("event_id").alias("id"), is_sync.alias("is_sync"), (F.col("event_type") == "error").alias("failed"), (F.col("value") < 25).alias("ready")
     )
-    return _finish(spark, S.stream_guardrail(rows))
+    return _finish(spark, S.stream_guardrail(rows, DELAY))
 
 
 @query("SELECT evaluation_id, condition_name, asset, result FROM eval_log")
@@ -123,15 +137,16 @@ def stream_export_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target).select("evaluation_id", "condition_name", "asset", "result")
 
 
-@query("SELECT evaluation_id, asset FROM (SELECT *, lag(ready, 1, false) OVER (PARTITION BY asset ORDER BY ts, evaluation_id) AS prev FROM evals) t WHERE ready AND NOT prev")
+@query(TRANSITIONS_SQL)
 def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transitions of two drops of events, the stream being stopped and started again between them."""
     ship_package(spark)
+    keep_state_in_rocksdb(spark)
     events = table(spark, sf_dir, "events")
     drops, path, checkpoint = scratch_dir(spark), scratch_dir(spark), scratch_dir(spark)
     middle = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
     for part in (events.where(F.col("ts") < middle), events.where(F.col("ts") >= middle)):
         part.write.mode("append").parquet(drops)
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(drops).withColumn("ts", F.col("ts").cast("timestamp"))
-        S.run_to_end(S.stream_transitions(_evals(stream)), path, checkpoint)
+        S.run_to_end(S.stream_transitions(_evals(stream), DELAY), path, checkpoint)
     return S.read_result(spark, path)

@@ -1,23 +1,20 @@
 """The continuous loop as streaming queries.
 
-Streams are plain DataFrames from ``readStream``. Stateful rules that no built-in operator states
-run per key with ``applyInPandasWithState``; rows of a micro-batch are put in the order of (ts, id)
-first, so an asset's rows of one micro-batch are held in memory: give the source ``maxFilesPerTrigger``
-and files in the order of time. A row that comes in a later batch than younger rows is applied when it
-comes. Sinks are idempotent: a batch that is replayed after a failure adds nothing.
+Streams are plain DataFrames from ``readStream``. Stateful rules that no built-in operator states see each
+asset's rows in the order of event time (see ``ordered``). Sinks are idempotent: a batch that is replayed
+after a failure adds nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evenkeel.operators.export import merge_new
+from evenkeel.streaming.ordered import Found, Rule, State, apply_in_order
 
 
 def stream_eval(log: DataFrame, interval: str, delay: str) -> DataFrame:
@@ -27,60 +24,119 @@ def stream_eval(log: DataFrame, interval: str, delay: str) -> DataFrame:
     return counted.withColumn("rate", F.round(F.col("drifted") / F.col("evaluated"), 6))
 
 
-def stream_freshness(log: DataFrame) -> DataFrame:
-    """(asset, newest): the newest time of each asset so far."""
-    return log.groupBy("asset").agg(F.max("ts").alias("newest"))
+class Freshness(Rule):
+    """Ready at the first row and after a gap, Drifted once nothing newer came for ``max_age_s``."""
 
+    fields: dict[str, str] = {}
+    state = "newest long, drifted boolean"
+    output = "asset long, at_us long, state string, newest_us long, reason string"
+    start = (None, False)
 
-def _ordered(batches: Iterator[pd.DataFrame], columns: Sequence[str]) -> pd.DataFrame:
-    parts = [b for b in batches if len(b)]
-    rows = pd.concat(parts) if parts else pd.DataFrame(columns=list(columns))
-    return rows.sort_values(["ts", "id"], kind="stable")
+    def __init__(self, max_age_s: int):
+        self.max_age_s, self.age = max_age_s, max_age_s * 1_000_000
 
+    def _rows(self, at: list[int], drifted: list[bool], newest: list[int]) -> Found:
+        reason = f"last updated {self.max_age_s}s ago, max age is {self.max_age_s}s"
+        text = lambda there, none: np.array([there if d else none for d in drifted], object)
+        return {"at_us": np.array(at, np.int64), "state": text("Drifted", "Ready"), "newest_us": np.array(newest, np.int64), "reason": text(reason, None)}
 
-def _transitions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = _ordered(batches, ["ts", "id", "ready"])
-    ready = rows["ready"].fillna(False).to_numpy(bool)
-    before = np.concatenate([[state.get[0] if state.exists else False], ready[:-1]])
-    if len(ready):
-        state.update((bool(ready[-1]),))
-    found = rows["id"].to_numpy()[ready & ~before[: len(ready)]]
-    yield pd.DataFrame({"asset": key[0], "evaluation_id": found})
+    def apply(self, state: State, rows: np.ndarray) -> tuple[State, Found]:
+        newest, drifted = state
+        times = rows["us"] if newest is None else np.concatenate([[newest], rows["us"]])
+        gaps = np.flatnonzero(np.diff(times) > self.age)
+        found = [(int(times[0]), False, int(times[0]))] if newest is None else []
+        for n in gaps.tolist():
+            if not (n == 0 and drifted):
+                found.append((int(times[n]) + self.age, True, int(times[n])))
+            found.append((int(times[n + 1]), False, int(times[n + 1])))
+        columns = zip(*found, strict=True) if found else ([], [], [])
+        return (int(times[-1]), drifted and not len(gaps)), self._rows(*map(list, columns))
 
+    def passed(self, state: State, watermark: int) -> tuple[State, Found]:
+        newest, drifted = state
+        if newest is None or drifted or watermark - newest <= self.age:
+            return state, {}
+        return (newest, True), self._rows([newest + self.age], [True], [newest])
 
-def stream_transitions(evals: DataFrame) -> DataFrame:
-    """(asset, evaluation_id) of evaluations (asset, ts, id, ready) that go from Not Ready to Ready."""
-    return evals.groupBy("asset").applyInPandasWithState(_transitions, "asset long, evaluation_id long", "ready boolean", "append", GroupStateTimeout.NoTimeout)
+    def wake(self, state: State) -> int | None:
+        newest, drifted = state
+        return None if newest is None or drifted else newest + self.age + 1
 
 
-def stream_guardrail(events: DataFrame, limit: int = 3, initial_s: int = 30, cap_s: int = 1800) -> DataFrame:
-    """(asset, id, kind, streak, wait_s): cooldown and suspend events of failures, resume events of suspended assets that become Ready.
+def stream_freshness(log: DataFrame, max_age_s: int, delay: str) -> DataFrame:
+    """(asset, at_us, state, newest_us, reason): when each asset (asset, ts, id) becomes Ready and, without a row for longer than ``max_age_s``, Drifted.
 
-    events: asset, ts, id, kind (sync or eval), failed, ready. A success and a resume reset the streak.
+    Time is event time: the watermark's passing shows an asset that has gone silent, no row of it is
+    needed. An age of just ``max_age_s`` is still Ready. The reason is that of the moment of drifting.
     """
+    return apply_in_order(log, "asset", "ts", "id", Freshness(max_age_s), delay)
+
+
+class Transitions(Rule):
+    """Rows at which a key goes from Not Ready to Ready."""
+
+    fields = {"ready": "?"}
+    state = "ready boolean"
+    output = "asset long, evaluation_id long"
+    start = (False,)
+
+    def apply(self, state: State, rows: np.ndarray) -> tuple[State, Found]:
+        ready = rows["ready"]
+        before = np.concatenate([[state[0]], ready[:-1]])
+        return (bool(ready[-1]),), {"evaluation_id": rows["id"][ready & ~before]}
+
+
+def stream_transitions(evals: DataFrame, delay: str) -> DataFrame:
+    """(asset, evaluation_id) of evaluations (asset, ts, id, ready) that go from Not Ready to Ready; null counts as Not Ready."""
+    return apply_in_order(evals, "asset", "ts", "id", Transitions(), delay)
+
+
+class Guardrail(Rule):
+    """Streaks of failures with their cooldown, suspension at the limit, and its end at the next Ready evaluation."""
+
+    fields = {"is_sync": "?", "failed": "?", "ready": "?"}
+    state = "streak long, suspended boolean"
+    output = "asset long, id long, kind string, streak long, wait_s long"
+    start = (0, False)
+
+    def __init__(self, limit: int, initial_s: int, cap_s: int):
+        self.limit, self.initial_s, self.cap_s = limit, initial_s, cap_s
+
+    def _streaks(self, streak: int, failed: np.ndarray, reset: np.ndarray) -> np.ndarray:
+        """The streak at each row, given the one before, failures, and rows that reset it."""
+        failures = np.cumsum(failed) + streak
+        return failures - np.maximum.accumulate(np.where(reset, failures, 0))
+
+    def apply(self, state: State, rows: np.ndarray) -> tuple[State, Found]:
+        streak, suspended = state
+        failed, reset = rows["is_sync"] & rows["failed"], rows["is_sync"] & ~rows["failed"]
+        ready = ~rows["is_sync"] & rows["ready"]
+        streaks, resumes, at = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool), 0
+        while at < len(rows):  # from one end of a suspension to the next
+            here = self._streaks(streak, failed[at:], reset[at:])
+            over = np.ones(len(here), bool) if suspended else np.maximum.accumulate(failed[at:] & (here >= self.limit))
+            ends = np.flatnonzero(ready[at:] & over)
+            stop = int(ends[0]) if len(ends) else len(here)
+            streaks[at : at + stop] = here[:stop]
+            if not len(ends):
+                streak, suspended = int(here[-1]), bool(over[-1])
+                break
+            resumes[at + stop] = True
+            streak, suspended, at = 0, False, at + stop + 1
+        wait = np.minimum(self.initial_s * 2.0 ** np.minimum(streaks - 1, 40), self.cap_s).astype(np.int64)
+        suspends = failed & (streaks >= self.limit)
+        kinds = [("cooldown", failed, streaks, wait), ("suspend", suspends, streaks, wait * 0), ("resume", resumes, streaks * 0, wait * 0)]
+        part = lambda of: np.concatenate([of(*k) for k in kinds])
+        found = {"id": part(lambda _, m, s, w: rows["id"][m]), "kind": part(lambda k, m, s, w: np.full(m.sum(), k, object)), "streak": part(lambda _, m, s, w: s[m]), "wait_s": part(lambda _, m, s, w: w[m])}
+        return (streak, suspended), found
+
+
+def stream_guardrail(events: DataFrame, delay: str, limit: int = 3, initial_s: int = 30, cap_s: int = 1800) -> DataFrame:
+    """(asset, id, kind, streak, wait_s): cooldown and suspend events of failures, resume events of suspended assets that become Ready.
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, suspended = state.get if state.exists else (0, False)
-        out = []
-        rows = _ordered(batches, ["ts", "id", "kind", "failed", "ready"])
-        for number, kind, failed, ready in zip(*(rows[c].tolist() for c in ("id", "kind", "failed", "ready")), strict=True):
-            if kind == "sync":
-                if not failed:
-                    streak = 0
-                    continue
-                streak += 1
-                out.append((key[0], number, "cooldown", streak, int(min(initial_s * 2 ** min(streak - 1, 40), cap_s))))
-                if streak >= limit:
-                    suspended = True
-                    out.append((key[0], number, "suspend", streak, 0))
-            elif ready and suspended:
-                suspended, streak = False, 0
-                out.append((key[0], number, "resume", 0, 0))
-        state.update((streak, suspended))
-        yield pd.DataFrame(out, columns=["asset", "id", "kind", "streak", "wait_s"])
-
-    schema = "asset long, id long, kind string, streak long, wait_s long"
-    return events.groupBy("asset").applyInPandasWithState(run, schema, "streak long, suspended boolean", "append", GroupStateTimeout.NoTimeout)
+    events: asset, ts, id, is_sync (else an evaluation), failed, ready. A success and a resume reset the streak.
+    """
+    return apply_in_order(events, "asset", "ts", "id", Guardrail(limit, initial_s, cap_s), delay)
 
 
 def stream_dedup(df: DataFrame, keys: Sequence[str], ts: str | None = None, delay: str | None = None) -> DataFrame:
