@@ -62,9 +62,9 @@ def asof_join(
 def carry(
     df: DataFrame, by: Sequence[str], ts: str, order: Sequence[str], values: Mapping[str, tuple[str, Column]], current: bool = False, descending: bool = False, chunk: int = CHUNK_US
 ) -> DataFrame:
-    """``df`` with running values of each key's rows: for each name a sum, or the last value that isn't null.
+    """``df`` with running values of each key's rows: for each name a sum, the greatest value, or the last value that isn't null.
 
-    values: name to (sum or last, expression). order begins with ``ts``; a row sees the rows before it,
+    values: name to (sum, max or last, expression). order begins with ``ts``; a row sees the rows before it,
     and itself if ``current``; with ``descending`` those after it, nearest last. Rows whose ``by`` is
     null see only their own chunk.
     """
@@ -72,16 +72,18 @@ def carry(
     rows = df.withColumns({"__chunk": F.floor(micros(ts) / chunk)} | {number[k]: v for k, (_, v) in values.items()})
     asc = [F.desc(c) if descending else F.asc(c) for c in order]
     inside = Window.partitionBy(*by, "__chunk").orderBy(*asc).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
-    running = {"sum": F.sum, "last": lambda c: F.last(c, ignorenulls=True)}
+    running = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
     near = rows.withColumns({f"{number[k]}_near": running[how](number[k]).over(inside) for k, (how, _) in values.items()})
 
     pick = F.min_by if descending else F.max_by
     held = lambda c: pick(c, F.when(F.col(c).isNotNull(), F.struct(*order)))
-    totals = rows.groupBy(*by, "__chunk").agg(*[(F.sum if how == "sum" else held)(number[k]).alias(number[k]) for k, (how, _) in values.items()])
+    total = {"sum": F.sum, "max": F.max, "last": held}
+    totals = rows.groupBy(*by, "__chunk").agg(*[total[how](number[k]).alias(number[k]) for k, (how, _) in values.items()])
     along = Window.partitionBy(*by).orderBy(F.desc("__chunk") if descending else F.asc("__chunk")).rowsBetween(Window.unboundedPreceding, -1)
     far = totals.select(*by, "__chunk", *[running[how](number[k]).over(along).alias(f"{number[k]}_far") for k, (how, _) in values.items()])
 
     both = near.join(far, [*by, "__chunk"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    out = {k: zero(f"{number[k]}_near") + zero(f"{number[k]}_far") if how == "sum" else F.coalesce(f"{number[k]}_near", f"{number[k]}_far") for k, (how, _) in values.items()}
+    joined = {"sum": lambda near, far: zero(near) + zero(far), "max": F.greatest, "last": F.coalesce}
+    out = {k: joined[how](f"{number[k]}_near", f"{number[k]}_far") for k, (how, _) in values.items()}
     return both.select(*[F.col(c) for c in df.columns if c not in out], *[v.alias(k) for k, v in out.items()])

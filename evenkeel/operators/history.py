@@ -8,14 +8,12 @@ exit_code (null for stages that did not run, which count as neither success nor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.times import micros
 from evenkeel.operators.asof import CHUNK_US, asof_join, carry
+from evenkeel.session import materialize
 
 
 def latest_sync(sync_log: DataFrame) -> DataFrame:
@@ -152,42 +150,40 @@ def due(last_evals: DataFrame, intervals: DataFrame, now: Column, k: int | None
     return found if k is None else found.orderBy(F.asc_nulls_first("due_us"), "asset").limit(k)
 
 
-def coalesce_triggers(triggers: DataFrame) -> DataFrame:
-    """Triggers with ``accepted``: one that comes before the last accepted one's end is absorbed.
+def lock_overlaps(runs: DataFrame, ttl_s: int) -> DataFrame:
+    """Runs (asset, execution_id, ts) with held_until_us, the end of the last lock taken before, and ``overlaps``: whether it still holds.
 
-    triggers: asset, execution_id, start_us, duration_s. Each asset's triggers stream through one
-    task in order; only the last end is held, so an asset may have any number of them.
+    A lock lasts ttl_s, or the run's own ``ttl_s`` where it has one. One pass with a running maximum, so a
+    run that overlaps a thousand others is one row.
     """
+    own = F.coalesce("ttl_s", F.lit(ttl_s)) if "ttl_s" in runs.columns else F.lit(ttl_s)
+    end = micros("ts") + own.cast("long") * 1_000_000
+    rows = carry(runs, ["asset"], "ts", ["ts", "execution_id"], {"held_until_us": ("max", end)})
+    return rows.select("asset", "execution_id", "held_until_us", F.coalesce(F.col("held_until_us") >= micros("ts"), F.lit(False)).alias("overlaps"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asset, end = None, None
-        for batch in batches:
-            accepted = []
-            for a, start, length in zip(*(batch.column(c).to_pylist() for c in ("asset", "start_us", "duration_s")), strict=True):
-                if a != asset or end is None:
-                    asset, end = a, start
-                take = start >= end
-                if take:
-                    end = start + length * 1_000_000
-                accepted.append(take)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_())], [*batch.schema.names, "accepted"])
 
-    rows = triggers.select("asset", "execution_id", "start_us", "duration_s").repartition("asset").sortWithinPartitions("asset", "start_us", "execution_id")
-    return rows.mapInArrow(run, "asset long, execution_id long, start_us long, duration_s long, accepted boolean")
+#: Runs of one asset and bucket that are paired in one task of the join.
+BUCKET_ROWS = 5_000
 
 
 def overlaps(runs: DataFrame, ttl_s: int) -> DataFrame:
-    """(asset, earlier, later): runs that start while an earlier run's lock still holds (at most ttl after it).
+    """(asset, earlier, later): pairs of a run and one that starts while its lock still holds (at most ttl after it).
 
-    Time is cut into buckets of the ttl; a run looks into its own bucket and the one before, so the
-    join has an equality on asset and bucket.
+    Time is cut into buckets of the ttl; a run looks into its own bucket and the one before, so the join
+    has an equality on asset and bucket. A bucket of more than ``BUCKET_ROWS`` runs is split into parts of
+    about that size, each of which meets the later runs on its own. ``lock_overlaps`` says which runs
+    overlap without the pairs.
     """
     span = ttl_s * 1_000_000
-    at = runs.select("asset", "execution_id", micros("ts").alias("us"))
-    a = at.select("asset", F.col("execution_id").alias("earlier"), F.col("us").alias("a_us"), F.floor(F.col("us") / span).alias("bucket"))
-    b = at.select("asset", F.col("execution_id").alias("later"), F.col("us").alias("b_us"), F.explode(F.array(F.floor(F.col("us") / span), F.floor(F.col("us") / span) - 1)).alias("bucket"))
+    at = runs.select("asset", "execution_id", micros("ts").alias("us")).withColumn("bucket", F.floor(F.col("us") / span))
+    parts = at.groupBy("asset", "bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("parts"))
+    full = materialize(parts.where("parts > 1"))
+    with_parts = lambda df: df.join(full, ["asset", "bucket"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = with_parts(at.select("asset", F.col("execution_id").alias("earlier"), F.col("us").alias("a_us"), "bucket")).withColumn("part", F.pmod(F.xxhash64("earlier"), "parts").cast("int")).drop("parts")
+    b = at.select("asset", F.col("execution_id").alias("later"), F.col("us").alias("b_us"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"))
+    b = with_parts(b).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     after = (F.col("b_us") > F.col("a_us")) | ((F.col("b_us") == F.col("a_us")) & (F.col("later") > F.col("earlier")))
-    return a.join(b, ["asset", "bucket"]).where(after & (F.col("b_us") - F.col("a_us") <= span)).select("asset", "earlier", "later")
+    return a.join(b, ["asset", "bucket", "part"]).where(after & (F.col("b_us") - F.col("a_us") <= span)).select("asset", "earlier", "later")
 
 
 def link_evaluations(syncs: DataFrame, evals: DataFrame) -> DataFrame:

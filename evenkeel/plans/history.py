@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.times import micros
 from evenkeel.operators import history as H
+from evenkeel.operators.triggers import coalesce_triggers as coalesce
 from evenkeel.plans.fixtures import newest, table
 from evenkeel.plans.registry import query
 from evenkeel.session import ship_package
@@ -152,7 +153,7 @@ SELECT asset, execution_id, accepted FROM w""")
 def coalesce_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     triggers = table(spark, sf_dir, "syncs").select("asset", "execution_id", micros("ts").alias("start_us"), "duration_s")
-    return H.coalesce_triggers(triggers).select("asset", "execution_id", "accepted")
+    return coalesce(triggers).select("asset", "execution_id", "accepted")
 
 
 OVERLAP_SQL = """
@@ -165,6 +166,14 @@ def overlapping_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.overlaps(table(spark, sf_dir, "syncs"), 3600)
 
 
+@query("""
+WITH w AS (SELECT asset, execution_id, epoch_us(ts) AS us, max(epoch_us(ts) + 3600000000) OVER (PARTITION BY asset ORDER BY ts, execution_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held_until_us FROM syncs)
+SELECT asset, execution_id, held_until_us, coalesce(held_until_us >= us, false) AS overlaps FROM w""")
+def lock_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which runs overlap, without the pairs of ``overlapping_runs``."""
+    return H.lock_overlaps(table(spark, sf_dir, "syncs"), 3600)
+
+
 @query("""
 WITH e AS (SELECT asset, ts, evaluation_id FROM evals), b AS (SELECT s.execution_id, s.asset, s.ts, e.evaluation_id AS before_id FROM syncs s ASOF LEFT JOIN e ON s.asset = e.asset AND s.ts >= e.ts)
 SELECT b.execution_id, b.before_id, e.evaluation_id AS after_id FROM b ASOF LEFT JOIN e ON b.asset = e.asset AND b.ts < e.ts""")

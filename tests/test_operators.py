@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from evenkeel.operators import graph as G
 from evenkeel.operators import history as H
 from evenkeel.operators import inspection as I
 from evenkeel.operators import rules as R
+from evenkeel.operators import triggers as TR
 from evenkeel.operators.asof import asof_join, carry
 
 T0 = dt.datetime(2024, 1, 1)
@@ -347,7 +349,40 @@ def test_stages_stop_at_the_first_failure(spark):
 
 def test_triggers(spark):
     df = spark.createDataFrame([(1, i, s * 1_000_000, d) for i, (s, d) in enumerate([(0, 10), (5, 100), (10, 1), (10, 9), (11, 1)])], "asset long, execution_id long, start_us long, duration_s long")
-    assert {r.execution_id: r.accepted for r in H.coalesce_triggers(df).collect()} == {0: True, 1: False, 2: True, 3: False, 4: True}
+    assert {r.execution_id: r.accepted for r in TR.coalesce_triggers(df).collect()} == {0: True, 1: False, 2: True, 3: False, 4: True}
+    assert TR.coalesce_triggers(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 40, 100_000])
+def test_triggers_of_a_busy_asset_over_many_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(TR, "BLOCK", block)
+    rng = random.Random(block)
+    rows = [(asset, i, rng.randrange(n) * 86_400_000_000, rng.choice([None, -5, 0, 1, 86_400, 5 * 86_400, 40 * 86_400])) for asset, n in ((1, 400), (2, 30), (3, 1)) for i in range(n)]
+    odd = [(None, 1, 5, 1), (1, 999, None, 1), (2, 5, rows[405][2], 86_400)]  # no asset, no start, a repeated execution
+    df = spark.createDataFrame([*rows, *odd], "asset long, execution_id long, start_us long, duration_s long").repartition(5)
+    found = sorted(tuple(r) for r in TR.coalesce_triggers(df).where("asset is not null and start_us is not null").select("asset", "execution_id", "start_us", "accepted").collect())
+    expected, until = [], {}
+    for asset, i, start, length in sorted([*rows, odd[2]], key=lambda r: (r[0], r[2], r[1], r[3] is not None, r[3] or 0)):
+        take = start >= until.get(asset, start)
+        if take:
+            until[asset] = start + max(length or 0, 0) * 1_000_000
+        expected.append((asset, i, start, take))
+    assert sorted((a, s, t) for a, _, s, t in found) == sorted((a, s, t) for a, _, s, t in expected)
+    assert [r.accepted for r in TR.coalesce_triggers(df).where("asset is null or start_us is null").collect()] == [False, False]
+
+
+def test_lock_overlaps_with_own_ttl(spark):
+    runs = spark.createDataFrame([(1, 1, at(0), 600), (2, 1, at(5), None), (3, 1, at(7), 60), (4, 1, at(10), 60), (5, 1, at(12), 1), (6, 2, at(1), 60)], "execution_id long, asset long, ts timestamp_ntz, ttl_s long")
+    assert {r.execution_id: r.overlaps for r in H.lock_overlaps(runs, 60).collect()} == {1: False, 2: True, 3: True, 4: True, 5: False, 6: False}
+
+
+def test_split_buckets_give_the_same_pairs(spark, monkeypatch):
+    rng = random.Random(7)
+    times = [(i, i % 2, at(rng.randrange(0, 200))) for i in range(150)]
+    runs = spark.createDataFrame(times, "execution_id long, asset long, ts timestamp_ntz")
+    monkeypatch.setattr(H, "BUCKET_ROWS", 4)
+    near = lambda a, b: a[1] == b[1] and (a[2], a[0]) < (b[2], b[0]) and b[2] - a[2] <= dt.timedelta(hours=1)
+    assert sorted(tuple(r) for r in H.overlaps(runs, 3600).collect()) == sorted((a[1], a[0], b[0]) for a in times for b in times if near(a, b))
 
 
 def test_merge_is_insert_only_and_drops_repeats(spark):
