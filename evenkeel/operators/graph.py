@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.operators.components import component_labels
+from evenkeel.operators.peeling import peeled
 from evenkeel.session import discard, materialize
 
 
@@ -142,48 +143,20 @@ def _ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node"))
 
 
-def _peel(nodes: DataFrame, edges: DataFrame) -> list[DataFrame]:
-    """(node, wave) for each round in which nodes run out of incoming edges; nodes on and below cycles never do.
-
-    Edges are distinct. Every edge knows how many its target has. A round counts the edges from the
-    newest nodes by target and adds them to the counts of targets that wait, so each edge is joined once.
-    """
-    needs = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("need"))
-    steps = materialize(edges.join(needs, "dst"))
-    targets = needs.select(F.col("dst").alias("node"))
-    at_wave = lambda df, n: df.select("node", F.lit(n).cast("long").alias("wave"))
-    rounds = [materialize(at_wave(nodes.select("node").distinct().join(targets, "node", "left_anti"), 0))]
-    waiting = None
-    while not rounds[-1].isEmpty():
-        newest = rounds[-1].select(F.col("node").alias("src"))
-        met = newest.join(steps, "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("seen"), F.max("need").alias("need"))
-        if waiting is not None:
-            met = met.unionByName(waiting).groupBy("node").agg(F.sum("seen").alias("seen"), F.max("need").alias("need"))
-        met = materialize(met)
-        rounds.append(at_wave(met.where("seen = need"), len(rounds)))
-        waiting = met.where("seen < need")
-    discard(steps)
-    return rounds
-
-
 def cycle_residue(edges: DataFrame) -> DataFrame:
     """Nodes left when nodes without incoming edges are removed again and again: cycles and all below them."""
     edges = materialize(edges.select("src", "dst").distinct())
-    nodes = _ends(edges).distinct()
-    return nodes.join(reduce(DataFrame.unionByName, _peel(nodes, edges)), "node", "left_anti")
+    return _ends(edges).distinct().join(peeled(edges)[0], "node", "left_anti")
 
 
-def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def waves(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
     """(node, wave): the longest path from a root, so every upstream has a smaller wave. Edges have no cycle.
 
-    Nodes that only an edge names are there too.
+    Nodes that only an edge names are there too; without ``nodes`` there are no others.
     """
-    edges = materialize(edges.select("src", "dst").distinct())
-    nodes = materialize(nodes.select("node").unionByName(_ends(edges)).distinct())
-    found = reduce(DataFrame.unionByName, _peel(nodes, edges))
-    complete = found.count() == nodes.count()
-    discard(nodes, edges)
-    if not complete:
+    found, total = peeled(materialize(edges.select("src", "dst").distinct()), nodes)
+    found = materialize(found)
+    if found.count() != total:
         raise ValueError("the edges have a cycle")
     return found
 

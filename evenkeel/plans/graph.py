@@ -125,7 +125,8 @@ def cycle_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE w(node, wave) AS (SELECT node, 0 FROM lineage_nodes UNION SELECT e.dst, w.wave + 1 FROM w JOIN lineage_edges e ON e.src = w.node)
 SELECT node, CAST(max(wave) AS BIGINT) AS wave FROM w GROUP BY node""")
 def convergence_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.waves(table(spark, sf_dir, "lineage_nodes"), table(spark, sf_dir, "lineage_edges"))
+    """The lineage's nodes are those that its edges name."""
+    return G.waves(None, table(spark, sf_dir, "lineage_edges"))
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -4,12 +4,14 @@ import datetime as dt
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.functions.json_text import json_cell, json_text, plain_json, real_text
 from evenkeel.functions.text import expand_template, selected_models, tags_to_labels
 from evenkeel.functions.times import date_key, parse_ts
+from evenkeel.operators import components as CO
 from evenkeel.operators import conditions as C
 from evenkeel.operators import export as X
 from evenkeel.operators import graph as G
@@ -279,6 +281,59 @@ def test_peeling_counts_repeated_edges_once(spark):
     assert G.cycle_residue(e.limit(0)).count() == 0
 
 
+def waves_by_hand(names, pairs):
+    above = {n: {a for a, b in pairs if b == n} for n in names}
+    found = {}
+    while ready := [n for n in names if n not in found and above[n] <= found.keys()]:
+        found |= {n: 1 + max((found[a] for a in above[n]), default=-1) for n in ready}
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_waves_of_random_graphs(spark, seed):
+    """Chains, trees, merges and, apart from them, rings with what hangs below."""
+    rng = random.Random(seed)
+    n = 60
+    pairs = {(f"n{rng.randrange(max(0, i - 4), i)}", f"n{i}") for i in range(1, n) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))}
+    e = edges(spark, *pairs)
+    names = [f"n{i}" for i in range(n)]
+    assert {r.node: r.wave for r in G.waves(nodes(spark, names), e).collect()} == waves_by_hand(names, pairs)
+    rings = {(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(3)} | {("r1", "r2"), ("r2", "r1"), ("r2", "s1"), ("s1", "s2"), ("n0", "s3"), ("s2", "s3")}
+    ends = {x for p in pairs | rings for x in p}
+    left = {r.node for r in G.cycle_residue(edges(spark, *pairs, *rings)).collect()}
+    assert left == ends - waves_by_hand(ends, pairs | rings).keys()
+
+
+def test_waves_of_a_chain_and_a_ladder(spark):
+    """A chain of a thousand is hung in ten rounds; a ladder has to be peeled, in more rounds than are kept as tables."""
+    chain = spark.range(1000).select(F.concat(F.lit("c"), "id").alias("src"), F.concat(F.lit("c"), (F.col("id") + 1).cast("string")).alias("dst"))
+    ladder = [(f"{a}{i}", f"{b}{i + 1}") for i in range(10) for a in "xy" for b in "xy"]
+    found = {r.node: r.wave for r in G.waves(nodes(spark, ["c0"]), chain.unionByName(edges(spark, *ladder, ("c500", "x0")))).collect()}
+    assert len(found) == 1001 + 22
+    assert all(found[f"c{i}"] == i for i in range(1001))
+    assert all(found[f"x{i}"] == 501 + i for i in range(11))
+    assert found["y0"] == 0
+    assert all(found[f"y{i}"] == 501 + i for i in range(1, 11))
+
+
+def test_forests_connect_the_same_with_fewer_edges(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(500)] + [(None, "n1"), ("q", "q"), ("lone", "pair")]
+    e = edges(spark, *pairs).coalesce(1)
+    forest = [tuple(r) for r in CO.spanning_forest(e, "src", "dst").collect()]
+    assert len(forest) <= 41
+    assert {(r.node, r.component) for r in CO.component_labels(e.repartition(7), "src", "dst").collect()} == {(x, "lone") for x in ("lone", "pair")} | {(f"n{i}", "n0") for i in range(40)}
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([i + 1])], ["a", "b"]) for i in range(20)]
+    monkeypatch.setattr(CO, "EDGES", 3)
+    whole = [(a, b) for x in CO._forest(iter(batches)) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+    assert whole == [(i, 0) for i in range(1, 21)]
+    monkeypatch.setattr(CO, "NODES", 3)
+    parts = [len(x) for x in CO._forest(iter(batches))]
+    assert len(parts) > 1
+    assert sum(parts) == 20
+    assert list(CO._forest(iter([]))) == []
+
+
 def test_components_of_a_long_chain(spark):
     e = edges(spark, *[(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)], ("z1", "z2"))
     found = {r.node: r.component for r in G.components(nodes(spark, [f"n{i:03d}" for i in range(61)] + ["z2", "alone"]), e).collect()}
