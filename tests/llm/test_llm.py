@@ -208,6 +208,30 @@ def test_line_dedup_of_a_table_of_hot_lines(spark, seed):
     assert all("clause 5" not in found[i] for i in range(len(texts)) if sum("clause 5" in t for t in texts[:i]))
 
 
+def shuffled_common_lines(n, documents=100):
+    """Documents with the same lines in another order each, and a line of their own after each."""
+    rng = random.Random(n)
+    common = [f"common line number {i} of those that all of the documents have, {i}" for i in range(n)]
+    return ["\n".join(x for i, c in enumerate(rng.sample(common, n)) for x in (c, f"own {d} {i}")) for d in range(documents)]
+
+
+@pytest.mark.parametrize("n", [30, 100, 300])
+def test_common_lines_in_any_order_bring_further_partners(spark, n):
+    texts = shuffled_common_lines(n)
+    found = {r.row.doc_id: r.text for r in LD.without_common_lines(frame(spark, texts), "doc_id", "text").collect()}
+    mine, brute = removed_places(texts, [found[i] for i in range(len(texts))]), removed_places(texts, without_lines_of_all_earlier(texts))
+    assert all(not a - b for a, b in zip(mine, brute, strict=True))
+    assert sum(x.total() for x in mine) >= 0.99 * sum(x.total() for x in brute)
+
+
+def test_all_earlier_holders_as_partners(spark):
+    rng = random.Random(4)
+    texts = shuffled_common_lines(30, 40) + ["\n".join(rng.choices(["aa", "bb", "cc", "", "a line that is long enough to count alone, is it"], k=8)) for _ in range(40)]
+    left = {r.key: r.gone for r in LD.removed_lines(frame(spark, texts), "doc_id", "text", groups=None).collect()}
+    found = ["\n".join(x for n, x in enumerate(t.split("\n")) if n not in left.get(i, ())) for i, t in enumerate(texts)]
+    assert found == without_lines_of_all_earlier(texts)
+
+
 # 3
 
 
