@@ -48,7 +48,7 @@ PERCENT = 75
 SHARED, LIKELY = 28, 28
 #: Members compared with each other in one go.
 BLOCK_ROWS = 512
-#: Parts of a class of equal sets; members of a pivot in one part of the join that marks stragglers.
+#: Parts of a class of equal sets; members of a pivot in one part of the join that marks stragglers, a pivot of fewer being one part.
 SALTS, PART_ROWS = 256, 10_000
 
 
@@ -191,11 +191,12 @@ def near_links(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     hubs = sizes.groupBy("pivot").agg(
         F.sum("n").alias("size"), F.sum(F.when(~F.col("is_hub"), F.col("n")).otherwise(0)).alias("out"), F.max(F.when(F.col("is_hub"), F.col("component"))).alias("hub")
     ).where("out > 0 and size > 2")
-    hubs = materialize(hubs)
-    salts = max(32, -(-(hubs.agg(F.max("size")).head()[0] or 0) // PART_ROWS))  # a pivot may have any number of members
-    salt = F.pmod(F.xxhash64("key"), F.lit(salts))
-    hubs = hubs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    seen = with_component.withColumn("salt", salt).join(hubs, ["pivot", "salt"]).withColumn("straggler", F.col("component") != F.col("hub"))
+    hubs = materialize(hubs.withColumn("salts", F.ceil(F.col("size") / PART_ROWS)))
+    large = materialize(hubs.where("salts > 1").select("pivot", "salts"))  # at most one for each PART_ROWS members, so Spark may find it small
+    salt = F.pmod(F.xxhash64("key"), F.coalesce("salts", F.lit(1)))
+    salted = with_component.join(large, "pivot", "left").select("pivot", "key", "component", salt.alias("salt"))
+    hubs = hubs.select("pivot", "size", "out", "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    seen = salted.join(hubs, ["pivot", "salt"]).withColumn("straggler", F.col("component") != F.col("hub"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
     hashed = F.xxhash64("key")
     seen = seen.withColumns({"rows": blocks("out"), "columns": blocks("size")})

@@ -731,7 +731,9 @@ def brute_near(rows):
     return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
-def test_near_dedup(spark, docs):
+@pytest.mark.parametrize("part_rows", [ND.PART_ROWS, 20])
+def test_near_dedup(spark, docs, monkeypatch, part_rows):
+    monkeypatch.setattr(ND, "PART_ROWS", part_rows)
     rng = random.Random(3)
     base = [f"v{rng.randrange(400)}" for _ in range(150)]
     rows = list(docs)
