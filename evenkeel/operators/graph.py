@@ -32,6 +32,20 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return down.join(up, "node", "full").select("node", F.coalesce("upstreams", none).alias("upstreams"), F.coalesce("downstreams", none).alias("downstreams"))
 
 
+def adjacency_chunks(edges: DataFrame, most: int) -> DataFrame:
+    """(node, side, chunk, neighbours): sorted lists of about ``most`` neighbours, so that a hub of any number is many rows.
+
+    side is up or down. A neighbour's chunk follows from its name and the number of neighbours; repeated
+    edges are repeated neighbours.
+    """
+    ends = F.array(F.struct(F.col("dst").alias("node"), F.lit("up").alias("side"), F.col("src").alias("neighbour")), F.struct(F.col("src"), F.lit("down"), F.col("dst")))
+    rows = edges.select(F.inline(ends))
+    chunks = materialize(rows.groupBy("node", "side").agg(F.ceil(F.count(F.lit(1)) / most).alias("chunks")).where("chunks > 1"))
+    number = F.conv(F.substring(F.md5("neighbour"), 1, 8), 16, 10).cast("long")
+    dealt = rows.join(chunks, ["node", "side"], "left").withColumn("chunk", F.pmod(number, F.coalesce("chunks", F.lit(1))))
+    return dealt.groupBy("node", "side", "chunk").agg(F.sort_array(F.collect_list("neighbour")).alias("neighbours"))
+
+
 #: Levels of a closure that are put into one table, so that a deep closure doesn't read ever more of them.
 FOLD = 8
 

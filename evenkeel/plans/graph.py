@@ -32,6 +32,15 @@ def adjacency_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("node", F.array_join("upstreams", ",").alias("upstreams"), F.array_join("downstreams", ",").alias("downstreams"))
 
 
+@query("""
+WITH n AS (SELECT dst AS node, 'up' AS side, src AS neighbour FROM lineage_edges UNION ALL SELECT src, 'down', dst FROM lineage_edges),
+  c AS (SELECT *, (count(*) OVER (PARTITION BY node, side) + 19) // 20 AS chunks FROM n)
+SELECT node, side, CAST(CAST('0x' || substr(md5(neighbour), 1, 8) AS BIGINT) % chunks AS BIGINT) AS chunk, string_agg(neighbour, ',' ORDER BY neighbour) AS neighbours FROM c GROUP BY 1, 2, 3""")
+def adjacency_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists in chunks of about 20, so that nations and suppliers are many rows."""
+    return G.adjacency_chunks(table(spark, sf_dir, "lineage_edges"), 20).withColumn("neighbours", F.array_join("neighbours", ","))
+
+
 def _closure_sql(roots: str, a: str, b: str, depth: int | None = None) -> str:
     limit = f" WHERE level < {depth}" if depth is not None else ""
     return f"""

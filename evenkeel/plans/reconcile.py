@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,36 +13,48 @@ from evenkeel.operators import graph as G
 from evenkeel.operators.conditions import READY, Condition
 from evenkeel.plans.fixtures import table
 from evenkeel.plans.registry import query
-from evenkeel.session import scratch_dir
+from evenkeel.session import scratch_dir, side_by_side
 
 Builder = Callable[[dict[str, DataFrame]], DataFrame]
 
 
-def reconcile(spark: SparkSession, tables: dict[str, DataFrame], rules: dict[str, Sequence[Condition]], upstreams: dict[str, Sequence[str]], builders: dict[str, Builder]) -> DataFrame:
+def judge(tables: dict[str, DataFrame], rules: dict[str, Sequence[Condition]]) -> dict[str, tuple[bool, int]]:
+    """Whether each table's conditions are all Ready, and its rows, from one query over all of them."""
+    ruled = {a: rules[a] for a in tables if rules.get(a)}
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(a).alias("asset"), F.lit(True).alias("ready"), "n") for a, df in sorted(tables.items())]
+    if ruled:
+        states = C.evaluate_assets(ruled, tables)
+        counts.append(states.groupBy("asset").agg(F.bool_and(F.col("state") == READY).alias("ready")).select("asset", "ready", F.lit(0).cast("long").alias("n")))
+    found = reduce(DataFrame.unionByName, counts).groupBy("asset").agg(F.bool_and("ready").alias("ready"), F.sum("n").alias("n"))
+    return {r["asset"]: (r["ready"], r["n"]) for r in found.collect()}
+
+
+def reconcile(spark: SparkSession, tables: dict[str, DataFrame], rules: dict[str, Sequence[Condition]], upstreams: dict[str, Sequence[str]], builders: dict[str, Builder], most: int = 8) -> DataFrame:
     """(asset, wave, before, rebuilt, after, rows_before, rows_after) for each asset.
 
-    Assets go in waves, upstreams first. A drifted asset with a builder is rebuilt if all its
-    upstreams are Ready by then. States and counts of the assets, not rows, come to the driver.
+    Assets go in waves, upstreams first. A wave's assets are evaluated by one query; a drifted one with a
+    builder is rebuilt if all its upstreams are Ready by then, up to ``most`` side by side; what was rebuilt
+    is evaluated again by one query. States and counts of the assets, not rows, come to the driver.
     """
     nodes = spark.createDataFrame([(a,) for a in tables], "node string")
     pairs = [(u, a) for a, us in upstreams.items() for u in us]
     wave_of = {r["node"]: r["wave"] for r in G.waves(nodes, spark.createDataFrame(pairs, "src string, dst string")).collect()}
     tables, state, out = dict(tables), {}, []
 
-    def ready(asset: str) -> bool:
-        judged = C.evaluate(tables[asset], rules.get(asset, ()))
-        return judged.where(F.col("state") != READY).isEmpty()
+    def rebuild(asset: str) -> DataFrame:
+        path = scratch_dir(spark)
+        builders[asset](tables).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
 
-    for asset in sorted(tables, key=lambda a: (wave_of[a], a)):
-        before, rows_before, rebuilt = ready(asset), tables[asset].count(), False
-        after, rows_after = before, rows_before
-        if not before and asset in builders and all(state[u] for u in upstreams.get(asset, ())):
-            path = scratch_dir(spark)
-            builders[asset](tables).write.mode("overwrite").parquet(path)
-            tables[asset], rebuilt = spark.read.parquet(path), True
-            after, rows_after = ready(asset), tables[asset].count()
-        state[asset] = after
-        out.append((asset, wave_of[asset], before, rebuilt, after, rows_before, rows_after))
+    for wave in sorted({wave_of[a] for a in tables}):
+        assets = sorted(a for a in tables if wave_of[a] == wave)
+        before = judge({a: tables[a] for a in assets}, rules)
+        drifted = [a for a in assets if not before[a][0] and a in builders and all(state[u] for u in upstreams.get(a, ()))]
+        rebuilt = dict(zip(drifted, side_by_side(spark, [partial(rebuild, a) for a in drifted], most), strict=True))
+        tables |= rebuilt
+        after = before | (judge(rebuilt, rules) if rebuilt else {})
+        state |= {a: after[a][0] for a in assets}
+        out += [(a, wave, before[a][0], a in rebuilt, after[a][0], before[a][1], after[a][1]) for a in assets]
     return spark.createDataFrame(out, "asset string, wave long, before boolean, rebuilt boolean, after boolean, rows_before long, rows_after long")
 
 

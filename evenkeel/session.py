@@ -7,15 +7,21 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 from pathlib import Path
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+T = TypeVar("T")
 PACKAGE = Path(__file__).resolve().parent
-_scopes: list[list[DataFrame]] = []
+#: Tables of the scopes that are open in this thread or context.
+_scopes: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("evenkeel_scopes", default=())
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -59,8 +65,8 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = scratch_dir(spark)
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     out = scratch_table(spark, path, df.schema)
-    if _scopes:
-        _scopes[-1].append(out)
+    if open_scopes := _scopes.get():
+        open_scopes[-1].append(out)
     return out
 
 
@@ -82,12 +88,33 @@ def discard(*tables: DataFrame) -> None:
 
 @contextmanager
 def scratch_scope() -> Iterator[None]:
-    """Delete on leaving all tables that ``materialize`` wrote inside; only results written elsewhere outlast it."""
-    _scopes.append([])
+    """Delete on leaving all tables that ``materialize`` wrote inside; only results written elsewhere outlast it.
+
+    A scope is that of its thread, and of threads that run in a copy of its context (see ``side_by_side``).
+    """
+    tables: list[DataFrame] = []
+    before = _scopes.set((*_scopes.get(), tables))
     try:
         yield
     finally:
-        discard(*_scopes.pop())
+        _scopes.reset(before)
+        discard(*tables)
+
+
+def side_by_side(spark: SparkSession, tasks: Sequence[Callable[[], T]], most: int = 8) -> list[T]:
+    """What the tasks return, of which up to ``most`` run at a time, each in a thread with the caller's Spark properties and open scopes.
+
+    A task's jobs are in a scheduler pool of its own, which makes a difference if ``spark.scheduler.mode`` is FAIR.
+    """
+
+    def pooled(n: int, task: Callable[[], T]) -> T:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"evenkeel-{n % most}")
+        return task()
+
+    with ThreadPoolExecutor(most) as pool:
+        contexts = [copy_context() for _ in tasks]
+        runs = [pool.submit(inheritable_thread_target(spark)(lambda n=n, task=task: contexts[n].run(pooled, n, task))) for n, task in enumerate(tasks)]
+        return [r.result() for r in runs]
 
 
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
