@@ -38,8 +38,8 @@ def adjacency_chunks(edges: DataFrame, most: int) -> DataFrame:
     side is up or down. A neighbour's chunk follows from its name and the number of neighbours; repeated
     edges are repeated neighbours.
     """
-    ends = F.array(F.struct(F.col("dst").alias("node"), F.lit("up").alias("side"), F.col("src").alias("neighbour")), F.struct(F.col("src"), F.lit("down"), F.col("dst")))
-    rows = edges.select(F.inline(ends))
+    end = lambda node, side, other: F.struct(F.col(node).alias("node"), F.lit(side).alias("side"), F.col(other).alias("neighbour"))
+    rows = edges.select(F.inline(F.array(end("dst", "up", "src"), end("src", "down", "dst"))))
     chunks = materialize(rows.groupBy("node", "side").agg(F.ceil(F.count(F.lit(1)) / most).alias("chunks")).where("chunks > 1"))
     number = F.conv(F.substring(F.md5("neighbour"), 1, 8), 16, 10).cast("long")
     dealt = rows.join(chunks, ["node", "side"], "left").withColumn("chunk", F.pmod(number, F.coalesce("chunks", F.lit(1))))
