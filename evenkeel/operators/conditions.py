@@ -27,7 +27,7 @@ class Condition:
     """aggregates: what to compute over the table, by alias; verdict: state and reason from the aliases.
 
     source, where given, turns the table into the rows that the aggregates are over; such a
-    condition is evaluated in a pass of its own.
+    condition is evaluated in a pass of its own. Several that only count keys share one pass: ``keys``.
     """
 
     name: str
@@ -35,6 +35,7 @@ class Condition:
     aggregates: dict[str, Column]
     verdict: Verdict
     source: Callable[[DataFrame], DataFrame] | None = field(default=None, compare=False)
+    keys: tuple[str, ...] = ()
 
 
 def _drift(ready: Column, reason: Column) -> tuple[Column, Column]:
@@ -101,7 +102,20 @@ def unique(*columns: str, name: str = "unique") -> Condition:
         present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
         return df.where(present).groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
 
-    return Condition(name, "Unique", {"repeated": F.count(F.lit(1))}, lambda get: _none_of(get("repeated"), "repeated keys"), source)
+    return Condition(name, "Unique", {"repeated": F.count(F.lit(1))}, lambda get: _none_of(get("repeated"), "repeated keys"), source, columns)
+
+
+def repeated_keys(df: DataFrame, keys: Sequence[tuple[str, ...]]) -> tuple[DataFrame, list[Column]]:
+    """For each set of columns the keys of ``df`` without a null that occur twice, counted in one pass by grouping sets.
+
+    Returns a table of all repeated keys and, for each set, whether a row of it is a key of that set. Plain
+    conditions stay out of that pass: their sums would be kept, and shuffled, for every key.
+    """
+    columns = sorted({c for k in keys for c in k})
+    groups = df.groupingSets([list(k) for k in dict.fromkeys(map(tuple, map(sorted, keys)))], *columns)
+    counted = groups.agg(F.count(F.lit(1)).alias("__n"), F.grouping_id().alias("__set")).where("__n > 1")
+    number = lambda k: sum(1 << n for n, c in enumerate(reversed(columns)) if c not in k)
+    return counted, [reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k], F.col("__set") == number(k)) for k in keys]
 
 
 def relationships(column: str, parent: DataFrame, parent_column: str, name: str = "relationships") -> Condition:
@@ -120,13 +134,16 @@ def python_condition(predicate: Column, name: str = "python") -> Condition:
 
 
 def evaluate(df: DataFrame, conditions: Sequence[Condition]) -> DataFrame:
-    """(condition, type, state, reason) for each condition of a table; plain ones share one aggregate."""
-    plain = [c for c in conditions if c.source is None]
-    parts = []
-    for group, rows in ((plain, df), *(([c], c.source(df)) for c in conditions if c.source)):
+    """(condition, type, state, reason) for each condition of a table; plain ones share one aggregate, and so do several keys."""
+    plain, keyed = [c for c in conditions if c.source is None], [c for c in conditions if c.keys]
+    alone = [c for c in conditions if c.source and (not c.keys or len(keyed) < 2)]
+    parts, groups = [], [(plain, df, None), *(([c], c.source(df), None) for c in alone)]
+    if len(keyed) > 1:
+        groups.append((keyed, *repeated_keys(df, [c.keys for c in keyed])))
+    for group, rows, own in groups:
         if not group:
             continue
-        named = [(f"c{n}_{alias}", column) for n, c in enumerate(group) for alias, column in c.aggregates.items()]
+        named = [(f"c{n}_{alias}", F.count_if(own[n]) if own else column) for n, c in enumerate(group) for alias, column in c.aggregates.items()]
         one = rows.agg(*[column.alias(alias) for alias, column in named])
         results = []
         for n, c in enumerate(group):

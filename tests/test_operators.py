@@ -58,6 +58,22 @@ def test_conditions_ignore_nulls_and_empty_tables_pass(spark):
     assert C.evaluate(df, []).count() == 0
 
 
+def test_several_keys_share_one_pass(spark, sf):
+    """Grouping sets give the same as one pass each, nulls and repeated sets included, and read the table once."""
+    rng = random.Random(8)
+    rows = [tuple(rng.choice([None, *range(n)]) for n in (40, 6, 9)) for _ in range(60)]
+    df = spark.createDataFrame(rows, "a int, b int, c int")
+    keys = [("a",), ("a", "b"), ("c", "b", "a"), ("b", "a"), ("c",)]
+    rules = [C.unique(*k, name=",".join(k)) for k in keys]
+    apart = {tuple(r) for c in rules for r in C.evaluate(df, [c]).collect()}
+    assert {tuple(r) for r in C.evaluate(df, rules).collect()} == apart
+    assert {r.state for r in C.evaluate(df.limit(0), rules).collect()} == {"Ready"}
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    uniques = [C.unique("l_orderkey", name="o"), C.unique("l_orderkey", "l_linenumber", name="ol"), C.unique("l_partkey", "l_suppkey", name="ps")]
+    plan = C.evaluate(lines, uniques)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+
+
 def test_plain_conditions_share_one_aggregate(spark):
     df = spark.range(10).withColumnRenamed("id", "x")
     plan = C.evaluate(df, [C.not_null("x"), C.row_count(">", 3), C.accepted_values("x", [1])])._jdf.queryExecution().executedPlan().toString()
