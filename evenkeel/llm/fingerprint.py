@@ -6,23 +6,25 @@ hashes of all windows come at once; the least window hashes of each of 64 bins f
 fingerprint is the hash of the whole text followed by the sketch, as text.
 
 A null text is an empty one. Null keys come after all others, and rows of one key in the order of
-their texts' hashes; such rows share a range, keys are meant to be unique. An empty table gives no rows;
+their texts' hashes. An empty table gives no rows;
 a single row is its own next.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm.common import documents, prepared
 from evenkeel.llm.words import mix
+from evenkeel.session import materialize
 
 PRIMES = (2**31 - 1, 2**31 - 19)
 BASES = (911_382_323, 972_663_749)
@@ -120,38 +122,35 @@ def likeness(a: str, b: str) -> float:
 def with_next(df: DataFrame, key: str, text: str, buckets: int | None = None) -> DataFrame:
     """Rows (bucket, last, key, text) such that, ordered, each row's next has the next smaller key.
 
-    Ranges of keys (from approximate quantiles) go to one partition each and are sorted there. After
-    a range's rows comes a copy of the first row of the next range (``last`` is true), and after the
-    smallest key that of the largest, so each row finds its next in its own partition. Null keys
-    come after all others; rows of equal key are ordered by the hash of their text.
+    Spark's range partitioning of the keys alone says where each of about ``buckets`` ranges begins; these
+    places, one for each ``RANGE_ROWS`` rows or so, are a small table. Each range goes to one partition and is
+    sorted there. After a range's rows comes a copy of the first row of the next range (``last`` is true),
+    and after the smallest key that of the largest, so each row finds its next in its own partition. Null
+    keys come after all others; rows of equal key are ordered, and spread over ranges, by the hash of their
+    text.
     """
     spark = df.sparkSession
     n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
     rows = df.select(df[key].cast("long").alias("key"), F.coalesce(df[text], F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000)).head()[0]
-    bounds = np.unique(np.array(cuts or [], np.int64))[::-1]
+    place = {"no_key": F.col("key").isNull(), "negative": F.negative(F.coalesce("key", F.lit(0).cast("long"))), "hash": F.xxhash64("text")}
+    placed = rows.withColumns(place)
+    ranges = placed.select(*place).repartitionByRange(n, *place).withColumn("range", F.spark_partition_id())
+    heads = materialize(ranges.groupBy("range").agg(F.min(F.struct(*place)).alias("head")).select("head.*"))
+    bounds = sorted(map(tuple, heads.collect()))
+    if not bounds:
+        return rows.select(F.lit(0).alias("bucket"), F.lit(False).alias("last"), "key", "text")
 
     @F.pandas_udf("int")
-    def bucket_of(keys: pd.Series) -> pd.Series:
-        at = len(bounds) - np.searchsorted(bounds[::-1], keys.fillna(-(2**63)).to_numpy(np.int64), side="right")
-        return pd.Series(at.astype(np.int32))
-
-    order = F.struct(F.col("key").isNull(), F.negative(F.coalesce("key", F.lit(0).cast("long"))), F.xxhash64("text"))
-    placed = rows.withColumn("order", order).withColumn("bucket", F.when(F.col("key").isNull(), F.lit(len(bounds))).otherwise(bucket_of("key")))
-    heads = placed.groupBy("bucket").agg(F.min("order").alias("order")).orderBy("bucket").collect()  # one for each bucket
-    if not heads:
-        return placed.select("bucket", F.lit(False).alias("last"), "key", "text")
-    wanted = [(heads[i - 1]["bucket"], *h["order"]) for i, h in enumerate(heads)]
-    heads_df = F.broadcast(spark.createDataFrame(wanted, "to int, no_key boolean, negative long, hash long"))
-    keys = [-w[2] for w in wanted if not w[1]]
-    near = rows.where(F.col("key").isin(keys) | F.col("key").isNull()) if any(w[1] for w in wanted) else rows.where(F.col("key").isin(keys))
-    found = near.join(
-        heads_df,
-        (F.col("key").isNull() == F.col("no_key")) & (F.negative(F.coalesce("key", F.lit(0).cast("long"))) == F.col("negative")) & (F.xxhash64("text") == F.col("hash")),
-    ).dropDuplicates(["to"])
-    tail = found.select(F.col("to").alias("bucket"), F.lit(True).alias("last"), "key", "text")
-    both = placed.select("bucket", F.lit(False).alias("last"), "key", "text").unionByName(tail)
-    both = both.repartitionById(len(bounds) + 1, F.col("bucket"))
+    def bucket_of(no_key: pd.Series, negative: pd.Series, hashed: pd.Series) -> pd.Series:
+        found = [bisect.bisect_right(bounds, p) - 1 for p in zip(no_key.tolist(), negative.tolist(), hashed.tolist(), strict=True)]
+        return pd.Series(found, dtype=np.int32)
+
+    order = Window.orderBy(*place)
+    numbered = heads.withColumn("bucket", F.row_number().over(order) - 1)
+    before = numbered.withColumn("to", F.pmod(F.col("bucket") - 1, F.lit(len(bounds)))).drop("bucket")
+    tail = placed.join(F.broadcast(before), list(place)).dropDuplicates(["to"]).select(F.col("to").alias("bucket"), F.lit(True).alias("last"), "key", "text")
+    both = placed.select(bucket_of(*place).alias("bucket"), F.lit(False).alias("last"), "key", "text").unionByName(tail)
+    both = both.repartitionById(len(bounds), F.col("bucket"))
     return both.sortWithinPartitions("bucket", "last", F.desc_nulls_last("key"), F.xxhash64("text"))
 
 

@@ -3,7 +3,9 @@
 import bisect
 import hashlib
 import io
+import math
 import random
+import struct
 import tracemalloc
 import wave
 import zlib
@@ -12,6 +14,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -103,6 +107,20 @@ def test_op1(spark, sf, docs):
     assert all(found[i].size == len(t.encode()) + 1 and found[i].text_crc32 == zlib.crc32(t.encode()) and found[i].grown_shard in (found[i].shard, 16) for i, t in docs)
 
 
+def shard_by_hand(key, shards):
+    """Rendezvous hashing of one key with the hash worked out anew."""
+    def score(shard):
+        h = xxhash.xxh64(struct.pack("<i", shard), seed=xxhash.xxh64(struct.pack("<q", key), seed=42).intdigest()).intdigest()
+        return -math.log(((h >> 11) + 0.5) * 2.0**-53)
+
+    return min(range(shards), key=lambda s: (score(s), s))
+
+
+def test_op1_shards_are_those_of_the_highest_score(spark, sf, docs):
+    found = {r.doc_id: (r.shard, r.grown_shard) for r in queries.QUERIES["op1_sharding"](spark, sf).collect()}
+    assert found == {i: (shard_by_hand(i, 16), shard_by_hand(i, 17)) for i, _ in docs}
+
+
 # 2
 
 
@@ -247,6 +265,22 @@ def test_sampled_pieces_decode_and_repeat(spark, docs):
     assert SP.sampled_encoding(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_op3_is_a_round_trip_of_all_documents(spark, sf, docs):
+    """The ids of the query decode to each whole text, by a decoder of its own, and are those of the text sampled alone."""
+    v = SP.vocabulary(SP.default_model())
+    found = {r.doc_id: r for r in queries.QUERIES["op3_sentencepiece_sampling"](spark, sf).collect()}
+    assert len(found) == len(docs)
+    model = sentencepiece.SentencePieceProcessor(model_file=SP.default_model())
+    for i, t in docs:
+        r = found[i]
+        pieces = [model.id_to_piece(x) for x in r.ids]
+        raw = b"".join(bytes([int(p[3:5], 16)]) if model.is_byte(x) else p.encode() for x, p in zip(r.ids, pieces, strict=True))
+        assert raw.decode("utf-8", "surrogatepass").replace("\u2581", " ")[1:] == t.replace("\u2581", " ")
+        assert (r.n_pieces, r.lossless, r.decoded_crc32) == (len(r.ids), True, zlib.crc32(t.encode()))
+    for i, t in docs[:20]:
+        assert SP.sample_pieces(v, [t], [i], 1, 2.0)[0].tolist() == found[i].ids
+
+
 def test_samples_do_not_depend_on_the_parts(docs, monkeypatch):
     v = SP.vocabulary(SP.default_model())
     texts, keys = [None, "", "a b", *(t for _, t in docs[:20]), LONG], list(range(24))
@@ -653,6 +687,15 @@ def test_next_documents(spark, buckets):
     assert {r.doc_id: row_op8(r) for r in found} == brute_op8(rows)
 
 
+def test_rows_of_one_key_spread_over_ranges(spark):
+    rows = [(5, f"text {i}") for i in range(60)] + [(None, f"no key {i}") for i in range(30)] + [(9, "nine"), (1, "one"), (1, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    some, whole = FP.with_next(df, "doc_id", "text", 12), FP.with_next(df, "doc_id", "text", 1)
+    shares = Counter(r.bucket for r in some.where("not last").collect())
+    assert max(shares.values()) < 30
+    assert Counter(map(tuple, some.mapInArrow(FP._compare, FP.OP8_SCHEMA).collect())) == Counter(map(tuple, whole.mapInArrow(FP._compare, FP.OP8_SCHEMA).collect()))
+
+
 # 9
 
 
