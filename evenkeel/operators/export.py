@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,6 +28,35 @@ def merge_new(target: DataFrame, staging: DataFrame, keys: Sequence[str], order:
     return once.join(target.select(*keys), list(keys), "left_anti").select(*staging.columns)
 
 
+class BucketedTarget:
+    """An export's target, a Parquet table at ``path`` bucketed by its keys, so that a merge shuffles what is staged and never the target.
+
+    The session's catalogue knows the table by a name of its own until ``forget``; its files stay. Appended
+    batches are more files of the same buckets.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int):
+        self.spark, self.path, self.keys, self.buckets = spark, path, list(keys), buckets
+        self.name = f"evenkeel_target_{uuid.uuid4().hex}"
+
+    def append(self, rows: DataFrame) -> None:
+        writer = rows.write.format("parquet").mode("append").option("path", self.path)
+        writer.bucketBy(self.buckets, *self.keys).sortBy(*self.keys).saveAsTable(self.name)
+
+    def new_rows(self, staging: DataFrame, order: str) -> DataFrame:
+        """Staged rows to append, dealt once, as the buckets are; see ``merge_new``."""
+        target = self.spark.table(self.name)
+        return merge_new(target, staging.repartition(self.buckets, *self.keys), self.keys, order).select(*target.columns)
+
+    def merge(self, staging: DataFrame, order: str) -> None:
+        self.append(self.new_rows(staging, order))
+
+    def forget(self) -> DataFrame:
+        """Take the table out of the catalogue; its rows, as files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        return self.spark.read.parquet(self.path)
+
+
 def rewrite_paths(df: DataFrame, mapping: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``df`` with local paths replaced by remote ones where the mapping (local, remote) has them."""
     for c in columns:

@@ -156,13 +156,11 @@ def extract_after_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_insert_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged rows from the watermark on, each twice, into a target that has 60 % of all ids: written and read."""
     rows, watermark, upto = _source(spark, sf_dir)
-    path = scratch_dir(spark)
-    rows.where(F.col("row_id") <= upto).write.parquet(path)
+    target = X.BucketedTarget(spark, scratch_dir(spark), ["evaluation_id", "condition_name"], int(spark.conf.get("spark.sql.shuffle.partitions")))
+    target.append(rows.where(F.col("row_id") <= upto))
     staging = X.extract(rows, "row_id", watermark)[0]
-    staging = staging.unionByName(staging.withColumns({"result": F.lit("changed"), "row_id": F.col("row_id") + 1_000_000_000}))
-    target = spark.read.parquet(path)
-    X.merge_new(target, staging, ["evaluation_id", "condition_name"], "row_id").select(*target.columns).write.mode("append").parquet(path)
-    return spark.read.parquet(path).select("evaluation_id", "condition_name", "result")
+    target.merge(staging.unionByName(staging.withColumns({"result": F.lit("changed"), "row_id": F.col("row_id") + 1_000_000_000})), "row_id")
+    return target.forget().select("evaluation_id", "condition_name", "result")
 
 
 @query(f"""WITH {PATHS_SQL}

@@ -58,6 +58,26 @@ def test_conditions_ignore_nulls_and_empty_tables_pass(spark):
     assert C.evaluate(df, []).count() == 0
 
 
+def test_a_merge_does_not_shuffle_its_target(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        target = X.BucketedTarget(spark, str(tmp_path / "target"), ["k", "c"], 5)
+        target.append(spark.createDataFrame([(i, "a", i) for i in range(50)], "k long, c string, v long"))
+        staged = spark.createDataFrame([(i, c, v) for i in range(40, 60) for c in "ab" for v in (200, 100)], "k long, c string, v long")
+        plan = target.new_rows(staged, "v")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert "Bucketed: true" in plan
+        for _ in range(2):  # the second time there is nothing new
+            target.merge(staged, "v")
+            assert spark.table(target.name).count() == 50 + 10 + 20
+        found = {(r.k, r.c): r.v for r in target.forget().collect()}
+        assert found == {(i, "a"): i for i in range(50)} | {(i, "a"): 100 for i in range(50, 60)} | {(i, "b"): 100 for i in range(40, 60)}
+        assert not spark.catalog.tableExists(target.name)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_several_keys_share_one_pass(spark, sf):
     """Grouping sets give the same as one pass each, nulls and repeated sets included, and read the table once."""
     rng = random.Random(8)
