@@ -15,27 +15,27 @@ from evenkeel.session import discard, scratch_dir, scratch_scope, scratch_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told: those without a text or a letter go, and those with no clear language. Repeated rows stay."""
     return keep_identified(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the blocks of lines that an earlier one has."""
+    """Documents without the blocks of lines that an earlier one has; those of which nothing is left go. Rows with a null key or text stay as they are."""
     return without_repeated_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """Of each group of near copies the document with the least key, all its rows; those without words or with a null key stay."""
     return without_near_copies(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has."""
+    """Documents without the passages that one with a smaller key has; those of which nothing is left go. Null keys count as later than all."""
     return without_repeats(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in the sequences."""
+    """Where each piece of each document stands in the sequences; a null or empty text is a piece of one id. No documents, no rows."""
     return pack(token_pieces(docs))
 
 

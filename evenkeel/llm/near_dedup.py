@@ -21,7 +21,9 @@ share less than 28 of 64 values where 48 are expected (less than one in ten mill
 
 Rows without words or with a null key are linked with nothing; a row with a null key has no
 component and is kept. Rows that share a key count as one document, which is linked by any of its
-texts. An empty table gives no rows; other columns are not read.
+texts. Repeated rows are rows of one key. Of equal sets, and of pivots of equal width, the smaller key
+comes first, which changes no component. Tasks hold the texts of an Arrow batch, or of a tile, whole. An
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ The driver sees one row for each class.
 
 A null text is an empty document: its one piece is the final id. Rows with equal keys, and rows with
 a null key, are documents of their own; who of equally long pieces gets which place follows the order
-of the rows. An empty table gives no rows.
+of the rows. A task tokenises a text whole. An empty table gives no rows; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations

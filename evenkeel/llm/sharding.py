@@ -4,7 +4,8 @@ Every (key, shard) pair has a pseudo-random score that depends on nothing else,
 added takes rows only into itself and a shard that is removed gives up only its own. All of it is
 DataFrame functions; the rows' other columns never move.
 
-Null keys are one key like any other. Equal keys share a shard, however many rows they have; rows
+Only key and text are read; the key's name must not be one of the result's other columns. Null keys are
+one key like any other. Equal keys share a shard, however many rows they have; rows
 alike get slots of their own. A null or empty text has size 1 and the checksum of no bytes. An empty
 table gives no rows.
 """

@@ -17,7 +17,8 @@ so their size follows the block and not the corpus.
 
 A null text has no words. Rows with a null key are nobody's source and count as later than all
 others. Rows with equal keys are never each other's source. A document with fewer than WINDOW words
-keeps them all.
+keeps them all. Repeated rows are documents of one key. A task holds a block's texts whole. An empty
+table gives no rows; other columns go through in a struct, whatever their names.
 """
 
 from __future__ import annotations
