@@ -6,15 +6,16 @@ hashes of all windows come at once; the least window hashes of each of 64 bins f
 fingerprint is the hash of the whole text followed by the sketch, as text.
 
 A null text is an empty one. Null keys come after all others, and rows of one key in the order of
-their texts' hashes. An empty table gives no rows;
-a single row is its own next.
+their texts' hashes; repeated rows each get a row. An empty table gives no rows; a single row is its own
+next. Other columns are not read. A task holds three texts whole (a row's, its edited form and the next) and
+the prefix arrays of one stretch of each, so long texts take a small multiple of their own size.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,52 +32,86 @@ BASES = (911_382_323, 972_663_749)
 WINDOW, BINS, EMPTY = 12, 64, 0xFFFF
 #: Rows in a range of keys, at most about.
 RANGE_ROWS = 50_000
+#: Code points whose prefix arrays are held at once.
+STRETCH = 1 << 16
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _power_arrays(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Powers 0 to n-1 of each base and of its inverse, by doubling; kept while they are small."""
+    """At least n powers of each base and of its inverse, by doubling; kept, as n is bounded by a stretch."""
     if _powers and len(_powers[0][0]) >= n:
         return _powers
-    size = 1 << max(12, int(n - 1).bit_length())
     made = []
     for p, b in zip(PRIMES, BASES, strict=True):
         pair = []
         for base in (b, pow(b, -1, p)):
             a = np.ones(1, np.uint64)
-            while len(a) < size:
+            while len(a) < max(n, 1 << 12):
                 a = np.concatenate([a, a * np.uint64(pow(base, len(a), p)) % np.uint64(p)])
             pair.append(a)
         made.append(tuple(pair))
-    if size <= 1 << 20:
-        _powers[:] = made
+    _powers[:] = made
     return made
 
 
+def _prefixes(text: str) -> list[np.ndarray]:
+    """Prefix array of a stretch for each prime."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    out = []
+    for p, (up, _) in zip(PRIMES, _power_arrays(len(points) + 1), strict=True):
+        sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(points * up[: len(points)] % np.uint64(p), out=sums[1:])
+        out.append(sums % np.uint64(p))
+    return out
+
+
 class PrefixHash:
-    """Prefix arrays of a text; spans are [i, j) in code points."""
-
-    def __init__(self, text: str):
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-        self.n = len(points)
-        self.power = _power_arrays(self.n + 1)
-        self.prefix = []
-        for p, (up, _) in zip(PRIMES, self.power, strict=True):
-            sums = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(points * up[: self.n] % np.uint64(p), out=sums[1:])
-            self.prefix.append(sums % np.uint64(p))
+    """Prefix arrays of a text; spans are [i, j) in code points.
+
+    Kept are the prefix hashes at the borders of stretches and the arrays of the stretch last asked for, so that
+    a long text takes no more memory than its own and a stretch's. ``each``, if given, is called with every stretch.
+    """
+
+    def __init__(self, text: str, each: Callable[[str], object] | None = None):
+        self.text, self.n = text, len(text)
+        self.borders = [(0,) * len(PRIMES)]
+        self.held: tuple[int, list[np.ndarray]] = (-1, [])
+        for part in range(-(-self.n // STRETCH)):
+            ends = [int(h[-1]) for h in self._stretch(part)]
+            self.borders.append(self._moved(part, ends))
+            if each:
+                each(text[part * STRETCH : (part + 1) * STRETCH])
+
+    def _stretch(self, part: int) -> list[np.ndarray]:
+        if self.held[0] != part:
+            self.held = part, _prefixes(self.text[part * STRETCH : (part + 1) * STRETCH])
+        return self.held[1]
+
+    def _moved(self, part: int, local: list[int]) -> tuple[int, ...]:
+        """Prefix hashes from the text's start for those from the start of a stretch."""
+        if not part:
+            return tuple(local)
+        return tuple((x + pow(b, part * STRETCH, p) * y) % p for p, b, x, y in zip(PRIMES, BASES, self.borders[part], local, strict=True))
+
+    def at(self, i: int) -> tuple[int, ...]:
+        """Hash of the first i code points, for each prime."""
+        part, rest = divmod(i, STRETCH)
+        return self._moved(part, [int(h[rest]) for h in self._stretch(part)]) if rest else self.borders[part]
 
     def span(self, i: int, j: int) -> tuple[int, ...]:
         """Hash of a span, the same wherever the span stands."""
-        return tuple((int(h[j]) - int(h[i])) * int(down[i]) % p for p, h, (_, down) in zip(PRIMES, self.prefix, self.power, strict=True))
+        return tuple((y - x) * pow(b, -i, p) % p for p, b, x, y in zip(PRIMES, BASES, self.at(i), self.at(j), strict=True))
 
-    def windows(self, k: int) -> np.ndarray:
-        """64-bit hashes of all windows of k code points."""
-        out = np.zeros(self.n - k + 1, np.uint64)
-        for p, h, (_, down) in zip(PRIMES, self.prefix, self.power, strict=True):
-            q = np.uint64(p)
-            out = (out << np.uint64(32)) | (h[k:] + q - h[:-k]) % q * down[: self.n - k + 1] % q
-        return mix(out)
+    def windows(self, k: int) -> Iterator[np.ndarray]:
+        """64-bit hashes of all windows of k code points (k up to a stretch), stretch by stretch."""
+        for start in range(0, self.n - k + 1, STRETCH):
+            local = self._stretch(0) if self.n <= STRETCH else _prefixes(self.text[start : start + STRETCH + k - 1])
+            many = len(local[0]) - k
+            out = np.zeros(many, np.uint64)
+            for p, h, (_, down) in zip(PRIMES, local, _power_arrays(many), strict=True):
+                q = np.uint64(p)
+                out = (out << np.uint64(32)) | (h[k:] + q - h[:-k]) % q * down[:many] % q
+            yield mix(out)
 
 
 def spans_equal(a: PrefixHash, i: int, b: PrefixHash, j: int, length: int) -> bool:
@@ -99,9 +134,9 @@ def sketch(h: PrefixHash) -> np.ndarray:
     """For each bin 16 bits of the least window hash in it; EMPTY where there is none."""
     if not h.n:
         return np.full(BINS, EMPTY, np.uint16)
-    x = h.windows(min(WINDOW, h.n))
     least = np.full(BINS, 2**64 - 1, np.uint64)
-    np.minimum.at(least, (x & np.uint64(BINS - 1)).astype(np.int64), x >> np.uint64(6))
+    for x in h.windows(min(WINDOW, h.n)):
+        np.minimum.at(least, (x & np.uint64(BINS - 1)).astype(np.int64), x >> np.uint64(6))
     return np.where(least == np.uint64(2**64 - 1), EMPTY, mix(least) % np.uint64(EMPTY)).astype(np.uint16)
 
 
@@ -170,16 +205,16 @@ def _compare(ordered: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in ordered:
         for last, key, text in zip(*(part.column(c).to_pylist() for c in ("last", "key", "text")), strict=True):
             own = PrefixHash(text)
-            now = (key, text, own, fingerprint(own))
+            now = (key, own, fingerprint(own))
             if held is not None:
-                old_key, old_text, old, old_mark = held
+                old_key, old, old_mark = held
                 cut = old.n // 3
-                edited = old_text[: old.n - cut] + text[:cut]
-                new = PrefixHash(edited)
+                edited = old.text[: old.n - cut] + text[:cut]
+                digest = hashlib.sha256()
+                new = PrefixHash(edited, lambda part: digest.update(part.encode("utf-8", "surrogatepass")))
                 mark = fingerprint(new)
-                digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
                 same = longest_common_extension(old, 0, new, 0)
-                rows.append((old_key, old.n, digest, old_mark, mark, likeness(old_mark, mark), likeness(old_mark, now[3]), same))
+                rows.append((old_key, old.n, digest.hexdigest(), old_mark, mark, likeness(old_mark, mark), likeness(old_mark, now[2]), same))
             held = None if last else now
         if len(rows) >= 1000:
             yield batch()

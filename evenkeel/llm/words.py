@@ -7,10 +7,12 @@ words have equal hashes wherever they stand.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
+GAP = re.compile(rb"[\x20\x09-\x0d]")
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _rng = np.random.default_rng(20240607)
@@ -75,25 +77,46 @@ def chunked(texts: list[bytes | None], most: int = CHUNK_BYTES) -> Iterator[tupl
         yield at, run
 
 
+def _cuts(data: bytes) -> Iterator[tuple[int, int]]:
+    """Stretches of some ``CHUNK_BYTES`` that end behind white space, as the data does, so that no word is cut."""
+    at = 0
+    while at < len(data):
+        space = GAP.search(data, min(at + CHUNK_BYTES, len(data) - 1))
+        yield at, space.end()
+        at = space.end()
+
+
 class Words:
-    """Words of a run of texts: start and end in ``data``, 64-bit hash, and each text's range of words."""
+    """Words of a run of texts: start and end in ``data``, 64-bit hash, and each text's range of words.
+
+    Hashes don't depend on the place, so they are taken stretch by stretch: what a long text takes beside itself
+    is three numbers a word.
+    """
 
     def __init__(self, texts: list[bytes], fold: bool = False):
         self.data = b"\n".join(texts) + b"\n"
-        raw = np.frombuffer(self.data, np.uint8)
-        gap = SPACE[raw]
-        edge = np.flatnonzero(np.diff(gap, prepend=True))
-        self.start, self.end = edge[0::2], edge[1::2]
+        values = BYTE_FOLDED if fold else BYTE
+        found = [], [], []
+        for at, end in _cuts(self.data):
+            raw = np.frombuffer(self.data, np.uint8, end - at, at)
+            edge = np.flatnonzero(np.diff(SPACE[raw], prepend=True))
+            first, last = edge[0::2], edge[1::2]
+            for kept, part in zip(found, (first + at, last + at, spans(values[raw], first, last)), strict=True):
+                kept.append(part)
+        self.start, self.end, self.hash = (x[0] if len(x) == 1 else np.concatenate(x) for x in found)
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.base = np.concatenate([[0], np.cumsum(lengths)])
         self.first = np.searchsorted(self.start, self.base)
-        self.hash = spans((BYTE_FOLDED if fold else BYTE)[raw], self.start, self.end)
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each window of k words that lies in one text, by start; and whether it does."""
         n = len(self.hash)
         if n < k:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
-        at = np.arange(n - k + 1)
-        text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        return spans(self.hash, at, at + k), text[: n - k + 1] == text[k - 1 :]
+        hashes = np.empty(n - k + 1, np.uint64)
+        for start in range(0, n - k + 1, CHUNK_BYTES):
+            some = self.hash[start : start + CHUNK_BYTES + k - 1]
+            at = np.arange(len(some) - k + 1)
+            hashes[start : start + len(at)] = spans(some, at, at + k)
+        text = np.repeat(np.arange(len(self.first) - 1, dtype=np.int32), np.diff(self.first))
+        return hashes, text[: n - k + 1] == text[k - 1 :]

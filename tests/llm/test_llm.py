@@ -32,6 +32,7 @@ from evenkeel.llm import sentencepiece_sampling as SP
 from evenkeel.llm import sharding as SH
 from evenkeel.llm import substring_dedup as SD
 from evenkeel.llm import url_filter as UF
+from evenkeel.llm import words as WORDS
 from evenkeel.llm.common import BATCH, prepared
 from tests.oracle import duck, rows_of_frame, rows_of_sql
 
@@ -657,6 +658,44 @@ def test_longest_common_extension(a, b, i, j):
     assert FP.longest_common_extension(FP.PrefixHash(a), i, FP.PrefixHash(b), j) == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab\U0001f600", max_size=60), st.sampled_from([12, 16, 25]))
+def test_fingerprints_do_not_depend_on_the_stretches(text, stretch):
+    whole = FP.PrefixHash(text)
+    mark = FP.fingerprint(whole)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(FP, "STRETCH", stretch)
+        cut = FP.PrefixHash(text)
+        assert FP.fingerprint(cut) == mark
+        spans = [(i, j) for i in range(0, len(text), 5) for j in range(i, len(text) + 1, 3)]
+        found = [cut.span(*x) for x in spans]
+        same = FP.longest_common_extension(cut, 0, FP.PrefixHash(text[:-1] + "c"), 0) if text else 0
+    assert found == [whole.span(*x) for x in spans]
+    assert same == max(0, len(text) - 1)
+
+
+def test_a_text_of_50_mb_is_fingerprinted_in_bounded_memory():
+    text = "longer words of a text é " * 2_000_000
+    schema = pa.schema([("last", pa.bool_()), ("key", pa.int64()), ("text", pa.string())])
+    batches = [pa.record_batch([[False], [2], [text]], schema), pa.record_batch([[True], [1], ["end"]], schema)]
+    tracemalloc.start()
+    rows = [r for b in FP._compare(iter(batches)) for r in b.to_pylist()]
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 500e6
+    assert [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in rows] == [(2, len(text), hashlib.sha256((text[: len(text) - len(text) // 3] + "end").encode()).hexdigest())]
+
+
+def test_words_do_not_depend_on_the_stretches(monkeypatch):
+    texts = [b"", b"One two  three\tfour five six seven", b" x " * 40, b"a" * 100 + b" b c d e f g"]
+    whole = WORDS.Words(texts, fold=True)
+    want = whole.windows(5)
+    monkeypatch.setattr(WORDS, "CHUNK_BYTES", 16)
+    cut = WORDS.Words(texts, fold=True)
+    assert all(np.array_equal(getattr(cut, x), getattr(whole, x)) for x in ("start", "end", "hash", "first"))
+    assert all(np.array_equal(a, b) for a, b in zip(cut.windows(5), want, strict=True))
+
+
 def brute_op8(rows):
     ordered = sorted(rows, key=lambda r: -r[0])
     out = {}
