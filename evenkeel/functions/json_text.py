@@ -25,6 +25,8 @@ MARK = "\ue000"
 STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 TOKEN = rf'{STRING}|[\[\]{{}}:,]|[^\s"\[\]{{}}:,]++'
 TOKENS_SHOWN = rf':""|{TOKEN}'
+#: A token that may be a number, or all up to the next one; whatever fits in neither stands alone, so that nothing is lost.
+PIECE = rf'[-0-9][^\s"\[\]{{}}:,]*+|(?:{STRING}|[\s\[\]{{}}:,]|[^-0-9\s"\[\]{{}}:,][^\s"\[\]{{}}:,]*+)++|"'
 REAL = r"^-?[0-9]+[.eE]|^-0$"
 
 
@@ -49,7 +51,8 @@ def _shortest(java: Column) -> Column:
     plain = F.concat(sign, F.rpad(F.substr(digits, F.lit(1), power + 1), power + 1, "0"), F.lit("."), F.when(rest == "", "0").otherwise(rest))
     small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
     scientific = F.concat(sign, F.substr(digits, F.lit(1), F.lit(1)), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""), F.lit("e"), power.cast("string"))
-    return F.when(power.isNull(), java).when(power.between(0, 15), plain).when(power.between(-5, -1), small).otherwise(scientific)
+    # A cast that fails costs more than all else here, so plain numbers do without.
+    return F.when(~F.contains(java, F.lit("E")) | power.isNull(), java).when(power.between(0, 15), plain).when(power.between(-5, -1), small).otherwise(scientific)
 
 
 def _marked(json: Column) -> Column:
@@ -58,7 +61,7 @@ def _marked(json: Column) -> Column:
     beyond = lambda t: (F.length(t) > 18) & t.rlike("^-?[0-9]+$") & ~F.coalesce(whole(t).between(F.lit(-(2**63)), F.lit(str(2**64 - 1)).cast("decimal(38,0)")), F.lit(False))
     real = lambda t: F.when(t.rlike(REAL) | beyond(t), F.concat(F.lit(f'"{MARK}'), real_text(t), F.lit('"'))).otherwise(t)
     doubled = F.regexp_replace(json, rf'(?<!\\)"(?={MARK}|\\u[eE]000)', f'"{MARK}')
-    return F.when(json.rlike(r"[0-9][.eE]|-0|[0-9]{18}"), _each(doubled, TOKEN, real)).otherwise(doubled)
+    return F.when(json.rlike(r"[0-9][.eE]|-0|[0-9]{18}"), _each(doubled, PIECE, real)).otherwise(doubled)
 
 
 def _unmarked(token: Column) -> Column:
@@ -74,9 +77,21 @@ def _bare(token: Column) -> Column:
     return F.when(F.startswith(token, F.lit('"')), plain).otherwise(token)
 
 
+def parsed(json: Column) -> Column:
+    """A JSON text as a VARIANT with its real numbers as marked texts; null if there is none.
+
+    Where several cells of a text are shown, a column of its own for this reads the text once for all.
+    """
+    return F.try_parse_json(_marked(json))
+
+
 def json_text(json: Column, path: str | None = None) -> Column:
     """The value at a dotted path of keys, the whole one without a path, as marked JSON text with its keys in order; null if there is none."""
-    value = F.try_parse_json(_marked(json))
+    return value_text(parsed(json), path)
+
+
+def value_text(value: Column, path: str | None = None) -> Column:
+    """``json_text`` of a text that is parsed already."""
     if path is not None:
         quoted = lambda part: f"['{part}']" if '"' in part else f'["{part}"]'
         value = F.try_variant_get(value, "$" + "".join(map(quoted, path.split("."))), "variant")
@@ -101,7 +116,12 @@ def json_cell(json: Column, path: str, compare: bool = False) -> Column:
     text, but an object whose state is a text reads ``state (reason)``, or the state alone without a reason
     text, and a missing or null value reads ``-``.
     """
-    text = json_text(json, path)
+    return value_cell(parsed(json), path, compare)
+
+
+def value_cell(value: Column, path: str, compare: bool = False) -> Column:
+    """``json_cell`` of a text that is parsed already."""
+    text = value_text(value, path)
     return F.coalesce(let(text, _compared), F.lit("-")) if compare else F.coalesce(shown(text), F.lit("null"))
 
 

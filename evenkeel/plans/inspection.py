@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.functions.json_text import json_cell
+from evenkeel.functions.json_text import parsed, value_cell
 from evenkeel.operators import export as X
 from evenkeel.operators import inspection as I
 from evenkeel.operators import marts as M
@@ -104,8 +104,10 @@ def json_path_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     text = F.to_json(nested, {"ignoreNullFields": "false"})
     rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.substr(text, F.lit(1), F.length(text) - 1), F.lit(',"mixed" : '), mixed, F.lit("}")).alias("j"))
-    cell = lambda path, compare=False: json_cell(F.col("j"), path, compare)
-    return rows.select(
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a small file with millions of rows is one task's else
+    values = rows.repartition(tasks, "event_id").select("event_id", parsed(F.col("j")).alias("value"))
+    cell = lambda path, compare=False: value_cell(F.col("value"), path, compare)
+    return values.select(
         "event_id", cell("k").alias("plain"), cell("none.there").alias("missing"), cell("list").alias("list"), cell("deep.object").alias("object"), cell("mixed").alias("deep"),
         cell("below").alias("object_in_object"), cell("value").alias("real"), cell("judged", True).alias("judged"), cell("ready", True).alias("judged_without_reason"),
         cell("list", True).alias("list_compared"), cell("deep.object", True).alias("object_compared"), cell("other", True).alias("other_state_compared"), cell("k", True).alias("plain_compared"), cell("none", True).alias("dash"),

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evenkeel.functions.json_text import json_cell, json_text, plain_json, real_text
+from evenkeel.functions.json_text import REAL, json_cell, json_text, parsed, plain_json, real_text, value_cell
 from evenkeel.functions.text import expand_template, selected_models, tags_to_labels
 from evenkeel.functions.times import date_key, parse_ts
 from evenkeel.operators import components as CO
@@ -20,6 +20,7 @@ from evenkeel.operators import inspection as I
 from evenkeel.operators import rules as R
 from evenkeel.operators import triggers as TR
 from evenkeel.operators.asof import asof_join, carry
+from evenkeel.plans import load_all, registry
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -257,6 +258,20 @@ def test_json_paths_and_text_that_is_no_json(spark):
     assert one(df.select(cell("a.b"), cell("a.0"), cell("c.d"), cell("d'e"), cell("f g"), cell("f g", True), cell("x", True))) == [("null", "null", "null", "1", "null", "-", "-"), *[("null",) * 5 + ("-", "-")] * 2]
 
 
+def test_json_with_parts_that_do_not_belong_together_is_no_json(spark):
+    texts = ['{"a": 1.5, "b": 1 2}', '{"a": 1.5, "b": tr ue}', '{"a": 1.5, "b": "c}', '{"a": 1.5, "b": -2e0, "c-1": "-0 1.5"}']
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, j string").select("n", parsed(F.col("j")).alias("v"))
+    assert one(df.select("n", value_cell(F.col("v"), "a"), value_cell(F.col("v"), "b"), value_cell(F.col("v"), "c-1"))) == [*[(n, "null", "null", "null") for n in range(3)], (3, "1.5", "-2.0", "-0 1.5")]
+
+
+def test_json_cells_read_each_text_once(spark, sf):
+    load_all()
+    query = registry.QUERIES["json_path_cell"](spark, sf)
+    plan = query._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(REAL) == 1
+    assert query.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @pytest.mark.parametrize(
     ("number", "text"),
     [("1e3", "1000.0"), ("1.50", "1.5"), ("100", "100.0"), ("1e15", "1000000000000000.0"), ("1.5e16", "1.5e16"), ("1e16", "1e16"), ("123456789.125", "123456789.125"), ("-1e-5", "-0.00001"), ("1.25e-4", "0.000125"), ("1e-7", "1e-7"), ("-1.5E-9", "-1.5e-9"), ("18446744073709551616", "1.8446744073709552e19"), ("-0", "-0.0")],
