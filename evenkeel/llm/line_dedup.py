@@ -10,10 +10,11 @@
    between anchors are aligned likewise, and matches grow outward over equal lines.
 4. Aligned blocks of at least ``BLOCK_LINES`` lines or ``BLOCK_CHARS`` characters go from the later
    document; the earlier one keeps them. Blocks are judged on the input.
-5. Common lines in another order in each document are not all aligned with the same first holders. So
-   lines and pairs that are still there, though they would go if they were aligned, bring further
-   holders: the first in each of twice as many other groups, and so on, for as long as a round takes
-   anything from the document. A round costs alignments in proportion to what is still there.
+5. First holders may have a line in another order, or a block less long. So long lines and pairs that are
+   still there bring further holders: the first in each of ``GROWTH`` times as many other groups, and so
+   on, and all of them once a line has no more holders than there are groups. Of documents with equal
+   lines the first stands for all. So in the end a document has been aligned with all that can take
+   anything more from it: nothing is given up, and what is still there costs all pairs of its holders.
 
 A null text has no lines and stays null. Rows with a null key stay as they are and are nobody's
 source. Rows that share a key are one document for the counts and are aligned separately. Tasks hold the
@@ -37,6 +38,8 @@ from evenkeel.session import materialize
 
 #: Groups of documents in the first round, each of which gives a partner for each line.
 GROUPS = 8
+#: How many times as many groups the next round has.
+GROWTH = 16
 BLOCK_LINES, BLOCK_CHARS = 2, 40
 BLANK = 0
 
@@ -115,25 +118,17 @@ def _align(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[p
 
 
 def _elements(hashes: str, sizes: str) -> Column:
-    """Each distinct line that isn't blank, and each two that follow each other with their distance: hash ``x``, place ``at``, place ``to`` of the second, and ``able``.
+    """Each line that isn't blank, and each two that follow each other with their distance: hash ``x``, place ``at``, place ``to`` of the second, and ``able``.
 
-    An element is able if its alignment alone removes it, being long enough or two lines, and patience can
-    anchor it, being there once.
+    An element is able if a block can consist of it, being long enough or two lines; each block holds such an element.
     """
     line = lambda x, i: F.struct(x.alias("x"), i.alias("at"), i.alias("to"), (F.get(sizes, i) >= BLOCK_CHARS).alias("able"))
     placed = F.filter(F.transform(hashes, line), lambda p: p.x != BLANK)
 
-    def distinct(of: Column) -> Column:
-        first = lambda p, i: (i == 0) | (F.get(of, i - 1)["x"] != p.x)
-        once = lambda p, i: F.coalesce(F.get(of, i + 1)["x"] != p.x, F.lit(True)) & first(p, i)
-        told = F.transform(of, lambda p, i: F.struct(p.x.alias("x"), p.at.alias("at"), p.to.alias("to"), (p.able & once(p, i)).alias("able"), first(p, i).alias("first")))
-        return F.filter(told, lambda p: p["first"])
-
     def both(lines: Column) -> Column:
         n = F.greatest(F.size(lines) - 1, F.lit(0))
         pair = lambda p, q: F.struct(F.xxhash64(p.x, q.x, q.at - p.at).alias("x"), p.at.alias("at"), q.at.alias("to"), F.lit(True).alias("able"))
-        pairs = F.zip_with(F.slice(lines, F.lit(1), n), F.slice(lines, F.lit(2), n), pair)
-        return F.concat(let(F.array_sort(lines), distinct), let(F.array_sort(pairs), distinct))
+        return F.concat(lines, F.zip_with(F.slice(lines, F.lit(1), n), F.slice(lines, F.lit(2), n), pair))
 
     return let(placed, both)
 
@@ -161,7 +156,7 @@ def removed_lines(docs: DataFrame, key: str, text: str, groups: int | None = GRO
     """(key, text_hash, gone): numbers of the lines to remove, for each document that loses any.
 
     groups: first holders that a shared line has in the first round; None aligns each document with all
-    earlier holders of its shared lines, which takes all pairs of a common line.
+    earlier holders of its shared lines at once, which takes all pairs of a common line and removes the same.
     """
     prepared(docs.sparkSession)
     stripped = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
@@ -176,26 +171,34 @@ def removed_lines(docs: DataFrame, key: str, text: str, groups: int | None = GRO
     lines = materialize(lines.select("line", "least", "firsts"))  # a table of its own, so that Spark can split a common line's rows in the join
     earlier = F.filter("firsts", lambda f: f < F.col("key")).alias("firsts")
     shared = materialize(held.join(lines, "line").where("least < key").select("key", "text_hash", "line", "at", "to", "able", earlier))
-    holders = shared.select("line", "key").unionByName(lines.select("line", F.col("least").alias("key")))
+    firsts = lines.select("line", F.col("least").alias("key"))
     if groups is None:
-        every = shared.select("key", "text_hash", "line").join(holders.withColumnRenamed("key", "first").distinct(), "line").where("first < key")
+        holders = shared.select("line", "key").unionByName(firsts).distinct().withColumnRenamed("key", "first")
+        every = shared.select("key", "text_hash", "line").distinct().join(holders, "line").where("first < key")
         return _by_document(_gone(every.select("key", "text_hash", "first").distinct(), lined))
 
     pairs = materialize(shared.select("key", "text_hash", F.explode("firsts").alias("first")).distinct())
     gone = materialize(_gone(pairs, lined))
     elements = materialize(_open(shared.where("able").select("key", "text_hash", "line", "at", "to"), gone))
+    if elements.isEmpty():
+        return _by_document(gone)
+    alike = F.xxhash64("hashes").alias("alike")
+    own = lined.select("key", "text_hash", alike).join(lined.groupBy(alike).agg(F.min("key").alias("key")), ["key", "alike"]).select("key", "text_hash")
+    holders = shared.join(elements.select("line").distinct(), "line", "left_semi").join(own, ["key", "text_hash"], "left_semi").select("line", "key")
+    holders = materialize(holders.unionByName(firsts.join(elements.select("line").distinct(), "line", "left_semi")).distinct())
+    counts = materialize(holders.groupBy("line").agg(F.count(F.lit(1)).alias("n")))
     while not elements.isEmpty():
-        groups *= 2
-        group = F.pmod(F.xxhash64("key", F.lit(groups)), F.lit(groups)).alias("group")
-        further = holders.join(elements.select("line").distinct(), "line", "left_semi").groupBy("line", group).agg(F.min("key").alias("first"))
-        met = elements.select("key", "text_hash", "line").join(materialize(further.select("line", "first")), "line").where("first < key")
+        groups *= GROWTH
+        wanted = counts.join(elements.select("line").distinct(), "line", "left_semi")
+        group = F.when(F.col("n") > groups, F.pmod(F.xxhash64("key", F.lit(groups)), F.lit(groups)))
+        alone = F.when(F.col("n") <= groups, F.col("key"))  # these lines have had all of their holders then
+        further = materialize(holders.join(wanted, "line").groupBy("line", group.alias("group"), alone.alias("alone")).agg(F.min("key").alias("first")).select("line", "first"))
+        met = elements.select("key", "text_hash", "line").distinct().join(further, "line").where("first < key")
         new = materialize(met.select("key", "text_hash", "first").distinct().join(pairs, ["key", "text_hash", "first"], "left_anti"))
         more = materialize(_gone(new, lined).join(gone, ["key", "text_hash", "line"], "left_anti"))
-        if more.isEmpty():
-            break
-        # A document goes on as long as a round takes something from it.
         gone, pairs = gone.unionByName(more), pairs.unionByName(new)
-        elements = materialize(_open(elements, gone).join(more.select("key", "text_hash").distinct(), ["key", "text_hash"], "left_semi"))
+        unfinished = elements.join(counts.where(F.col("n") > groups).select("line"), "line", "left_semi")
+        elements = materialize(_open(unfinished, gone))
     return _by_document(gone)
 
 

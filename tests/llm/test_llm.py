@@ -926,3 +926,12 @@ def test_pipeline(spark, sf, docs):
             assert i not in cut
     packed = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in packed} == set(cut)
+
+
+def test_line_dedup_goes_on_to_the_one_holder_that_takes_the_rest(spark):
+    a, b = "a long line that is a block of its own, number one", "a long line that is a block of its own, number two"
+    rows = [(n, f"{b}\n{a}\nfiller {n}") for n in range(40)] + [(50, f"{a}\nbetween\n{b}"), (60, f"{a}\nof mine\n{b}"), (61, f"{a}\n{a}\nother\n{b}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda groups: {r["key"]: sorted(r["gone"]) for r in LD.removed_lines(docs, "doc_id", "text", groups).collect()}
+    assert found(1) == found(8) == found(None)
+    assert found(1)[60] == [0, 2]
