@@ -161,3 +161,17 @@ def test_a_backlog_goes_bucket_by_bucket(spark, monkeypatch):
     drops.run(rows, lambda df: S.stream_guardrail(df, "5 minutes"))
     found = sorted((r.id, r.kind, r.streak, r.wait_s) for r in drops.result().collect())
     assert found == guarded([(r[3], r[4], bool(r[5]), r[2]) for r in applied(rows, 300)])
+
+
+def test_state_calls_follow_the_slots_and_not_the_keys(spark):
+    """A null key is a key of its own, and one slot holds as many keys as there are."""
+    rows = [(None if n % 50 == 0 else n % 50, T0 + dt.timedelta(minutes=n // 50), n, False, False, n // 50 % 2 == 1) for n in range(200)]
+    drops = Drops(spark)
+    query = lambda df: O.apply_in_order(df.select("asset", "ts", "id", "ready"), "asset", "ts", "id", S.Transitions(), "30 minutes", slots=1)
+    drops.run(rows[100:] + rows[:100], query)
+    drops.run([(1, T0 + dt.timedelta(hours=3), 999, False, False, False)], query)
+    found = sorted((r.asset or 0, r.evaluation_id) for r in drops.result().collect())
+    assert found == sorted((n % 50, n) for n in range(200) if n // 50 % 2 == 1)
+    assert drops.result().where("asset is null").count() == 2
+    states = spark.read.format("statestore").option("stateVarName", "states").load(drops.checkpoint)
+    assert states.count() == 1
