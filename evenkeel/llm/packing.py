@@ -13,8 +13,10 @@
 
 Pieces and gaps are tables; every step is a window over a bounded part of them: a size's rows are
 split into buckets of about ``BUCKET_ROWS`` by hash, a height has at most two rows for each size, a
-sequence at most ``capacity`` pieces. The number of supersteps follows the capacity, not the corpus.
-The driver sees one row for each class.
+sequence at most ``capacity`` pieces. A line of no more than ``BUCKET_ROWS`` rows in all is one such part,
+so that its superstep needs neither counts nor broadcasts: Spark keeps a thread a minute for each shuffle
+and broadcast, and small supersteps follow each other fast. The number of supersteps follows the
+capacity, not the corpus. The driver sees one row for each class.
 
 A null text is an empty document: its one piece is the final id. Rows with equal keys, and rows with
 a null key, are documents of their own; who of equally long pieces gets which place follows the order
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm.common import documents, prepared
@@ -155,12 +157,16 @@ def classes(capacity: int) -> list[int]:
     return sorted({*tops, 1}, reverse=True)
 
 
-def _heights(rows: DataFrame) -> DataFrame:
+def _heights(rows: DataFrame, short: bool = False) -> DataFrame:
     """``rows`` (size, is_piece, id, nth) with ``height``, the number of slots less that of pieces up to each.
 
     The line runs by falling size, slots before pieces. For a piece it is the height before it, so
-    that a piece and the slot it takes have the same.
+    that a piece and the slot it takes have the same. A short line has at most ``BUCKET_ROWS`` rows.
     """
+    if short:
+        line = Window.orderBy(F.desc("size"), "is_piece", "id", "nth").rowsBetween(Window.unboundedPreceding, 0)
+        height = F.sum(F.when(F.col("is_piece"), -1).otherwise(1)).over(line) + F.col("is_piece").cast("long")
+        return rows.withColumn("height", height)
     sizes = rows.groupBy("size", "is_piece").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("buckets"))
     dealt = rows.join(F.broadcast(sizes), ["size", "is_piece"]).withColumn("bucket", F.pmod(F.xxhash64("id", "nth"), "buckets")).drop("buckets")
     totals = dealt.groupBy("size", "is_piece", "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -172,13 +178,25 @@ def _heights(rows: DataFrame) -> DataFrame:
     return placed.withColumn("height", F.when(F.col("is_piece"), F.col("start") - F.col("place") + 1).otherwise(F.col("start") + F.col("place"))).drop("place", "start", "bucket")
 
 
-def superstep(pieces: DataFrame, gaps: DataFrame, top: int, low: int, capacity: int, number: int) -> DataFrame:
+def _slots(top: int) -> Column:
+    """The number of slots for pieces of up to ``top`` that a gap has."""
+    return F.greatest(F.lit(1).cast("long"), F.floor(F.col("room") / top))
+
+
+def _is_short(gaps: DataFrame, n_gaps: int, n_pieces: int, top: int, low: int, capacity: int) -> bool:
+    """Whether a class's line has at most ``BUCKET_ROWS`` rows; counted if the greatest number of gaps doesn't tell."""
+    if n_pieces + n_gaps * max(1, capacity // top) <= BUCKET_ROWS:
+        return True
+    return n_pieces <= BUCKET_ROWS and n_pieces + (gaps.where(F.col("room") >= low).agg(F.sum(_slots(top))).head()[0] or 0) <= BUCKET_ROWS
+
+
+def superstep(pieces: DataFrame, gaps: DataFrame, top: int, low: int, capacity: int, number: int, short: bool = False) -> DataFrame:
     """The pieces (id, length, ...) of one class with sequence_id, offset, and room: that of its sequence before."""
-    slots = F.greatest(F.lit(1).cast("long"), F.floor(F.col("room") / top))
+    slots = _slots(top)
     open_gaps = gaps.where(F.col("room") >= low).select(F.floor(F.col("room") / slots).cast("long").alias("size"), F.lit(False).alias("is_piece"), F.col("sequence_id").alias("id"), F.explode(F.sequence(F.lit(1).cast("long"), slots)).alias("nth"), "room")
     rest = F.struct(*pieces.columns).alias("piece")
     rows = pieces.select(F.col("length").alias("size"), F.lit(True).alias("is_piece"), "id", F.lit(0).cast("long").alias("nth"), F.lit(None).cast("long").alias("room"), rest)
-    line = _heights(open_gaps.withColumn("piece", F.lit(None).cast(rows.schema["piece"].dataType)).unionByName(rows))
+    line = _heights(open_gaps.withColumn("piece", F.lit(None).cast(rows.schema["piece"].dataType)).unionByName(rows), short)
     same = Window.partitionBy("height").orderBy(F.desc("size"), "is_piece")
     line = line.withColumn("slot", F.lag(F.when(~F.col("is_piece"), F.struct("id", "room"))).over(same)).where("is_piece")
     first_new = F.col("slot").isNull()
@@ -205,9 +223,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     number = F.size(F.filter(F.array(*map(F.lit, tops)), lambda x: x >= F.col("length")))
     numbered = pieces.select("*", number.alias("class"), F.monotonically_increasing_id().alias("id"))
     pieces = materialize(numbered.hint("rebalance", "class"), "class")
-    found = pieces.groupBy("class").agg(F.min("length").alias("low"), F.max("length").alias("top")).orderBy("class").collect()  # a row for each class
-    gaps, done = None, []
-    for r in found:
+    found = pieces.groupBy("class").agg(F.min("length").alias("low"), F.max("length").alias("top"), F.count(F.lit(1)).alias("n")).collect()  # a row for each class
+    gaps, done, most = None, [], 0  # most: at least the number of gaps
+    for r in sorted(found, key=lambda r: r["class"]):
         ours = pieces.where(F.col("class") == r["class"]).drop("class")
         if 2 * r["low"] > capacity:  # each has a sequence of its own
             step = ours.select("*", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -215,9 +233,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             done.append(step.select(*columns, "sequence_id", "offset"))
         else:
             now = gaps if gaps is not None else pieces.sparkSession.createDataFrame([], "sequence_id long, room long")
-            placed = materialize(superstep(ours, now, r["top"], r["low"], capacity, (1 << 18) + r["class"]))
+            short = _is_short(now, most, r["n"], r["top"], r["low"], capacity)
+            placed = materialize(superstep(ours, now, r["top"], r["low"], capacity, (1 << 18) + r["class"], short))
             gaps, old = materialize(_gaps_after(gaps, placed, capacity)), gaps
             done.append(placed.select(*columns, "sequence_id", "offset"))
+        most += r["n"]
         if old is not None:
             discard(old)
     if gaps is None:

@@ -611,6 +611,20 @@ def test_packing_is_as_good_as_best_fit_decreasing(spark, capacity, longest):
     assert sequences(found, capacity) <= best_fit_decreasing(lengths, capacity)
 
 
+def test_short_lines_take_no_broadcast_and_give_the_same_heights(spark):
+    rows = [(size, piece, n, 0) for n in range(60) for size, piece in ((n % 7 + 1, False), (n % 5 + 1, True))]
+    df = spark.createDataFrame(rows, "size long, is_piece boolean, id long, nth long")
+    heights = lambda short: sorted(tuple(r) for r in P._heights(df, short).select("size", "is_piece", "id", "nth", "height").collect())
+    assert heights(True) == heights(False)
+    pieces = spark.createDataFrame([(n, 5 + n % 4) for n in range(50)], "id long, length long")
+    gaps = spark.createDataFrame([(n, 9 + n % 9) for n in range(50)], "sequence_id long, room long")
+    assert P._is_short(gaps, 50, 50, 8, 5, 32)
+    plans = [P.superstep(pieces, gaps, 8, 5, 32, 1, short)._jdf.queryExecution().optimizedPlan().toString() for short in (True, False)]
+    assert ["Join" in plan for plan in plans] == [False, True]
+    placed = [sorted(tuple(r) for r in P.superstep(pieces, gaps, 8, 5, 32, 1, short).collect()) for short in (True, False)]
+    assert placed[0] == placed[1]
+
+
 def test_buckets_of_a_size_give_the_same_heights(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(rng.randint(1, 5), rng.random() < 0.5, i, 0) for i in range(300)]
