@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.operators.components import component_labels
 from evenkeel.operators.peeling import peeled
-from evenkeel.session import discard, materialize
+from evenkeel.session import discard, is_scratch, materialize
 
 
 def build_edges(assets: DataFrame) -> DataFrame:
@@ -39,6 +39,7 @@ def adjacency_chunks(edges: DataFrame, most: int) -> DataFrame:
     edges are repeated neighbours.
     """
     end = lambda node, side, other: F.struct(F.col(node).alias("node"), F.lit(side).alias("side"), F.col(other).alias("neighbour"))
+    edges = materialize(edges)
     rows = edges.select(F.inline(F.array(end("dst", "up", "src"), end("src", "down", "dst"))))
     chunks = materialize(rows.groupBy("node", "side").agg(F.ceil(F.count(F.lit(1)) / most).alias("chunks")).where("chunks > 1"))
     number = F.conv(F.substring(F.md5("neighbour"), 1, 8), 16, 10).cast("long")
@@ -54,10 +55,13 @@ def closure(edges: DataFrame, roots: DataFrame, direction: str = "down", depth:
     """(node, level): roots and all nodes reachable from them, with the least number of steps.
 
     direction is down (along edges) or up. Only the newest level is joined with the edges in each round;
-    what it finds is held against the nodes seen so far, in at most ``FOLD`` tables.
+    what it finds is held against the nodes seen so far, in at most ``FOLD`` tables. Edges that
+    ``materialize`` wrote are read as they are, others are written first.
     """
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
-    steps = materialize(edges.select(F.col(a).alias("__from"), F.col(b).alias("node")))
+    written = is_scratch(edges)
+    edges = edges if written else materialize(edges.select("src", "dst"))
+    steps = edges.select(F.col(a).alias("__from"), F.col(b).alias("node"))
     level = 0
     at_level = lambda n: F.lit(n).cast("long").alias("level")
     seen = [materialize(roots.select(F.col(roots.columns[0]).alias("node")).distinct().select("node", at_level(0)))]
@@ -73,7 +77,8 @@ def closure(edges: DataFrame, roots: DataFrame, direction: str = "down", depth:
             folded = materialize(reduce(DataFrame.unionByName, seen))
             discard(*seen[:-1])
             seen = [folded]
-    discard(steps)
+    if not written:
+        discard(edges)
     return reduce(DataFrame.unionByName, seen)
 
 
@@ -126,7 +131,11 @@ def select_one(nodes: DataFrame, edges: DataFrame, selector: str) -> DataFrame:
 
 
 def select(nodes: DataFrame, edges: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
-    """Nodes of any of the selectors, all nodes if there is none, without those of the excluding ones."""
+    """Nodes of any of the selectors, all nodes if there is none, without those of the excluding ones.
+
+    Edges are written once for all selectors.
+    """
+    edges = edges if is_scratch(edges) else materialize(edges.select("src", "dst"))
     return select_nodes(nodes, [[select_one(nodes, edges, s)] for s in include], [[select_one(nodes, edges, s)] for s in exclude])
 
 
@@ -148,7 +157,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def component_sizes(found: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     """(component, assets, edges, too_many): sizes, and whether there are more components than ``most``."""
     assets = found.groupBy("component").agg(F.count(F.lit(1)).alias("assets"))
-    inside = edges.join(found.withColumnRenamed("node", "src"), "src").groupBy("component").agg(F.count(F.lit(1)).alias("edges"))
+    starting = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("edges"))
+    inside = found.join(starting, "node").groupBy("component").agg(F.sum("edges").alias("edges"))
     total = assets.agg((F.count(F.lit(1)) > most).alias("too_many"))
     return assets.join(inside, "component", "left").crossJoin(F.broadcast(total)).select("component", "assets", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"), "too_many")
 

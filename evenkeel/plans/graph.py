@@ -10,6 +10,7 @@ from evenkeel.operators.history import latest
 from evenkeel.operators.history import transitions as ready_transitions
 from evenkeel.plans.fixtures import table
 from evenkeel.plans.registry import query
+from evenkeel.session import materialize
 
 
 def _roots(spark: SparkSession, *names: str) -> DataFrame:
@@ -102,8 +103,8 @@ label(node, component) USING KEY (node) AS (
 
 
 def _ordered_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All orders and the parts, by month, they consist of."""
-    edges = table(spark, sf_dir, "part_edges")
+    """All orders and the parts, by month, they consist of. The edges are written out, as they are read several times."""
+    edges = materialize(table(spark, sf_dir, "part_edges"))
     orders = edges.select(F.col("src").alias("node"), F.lit("Asset").alias("kind"))
     parts = edges.select(F.col("dst").alias("node"), F.lit("Connection").alias("kind"))
     return orders.unionByName(parts).distinct(), edges
@@ -120,7 +121,7 @@ e AS (SELECT component, count(*) AS edges FROM part_edges JOIN label ON src = no
 SELECT a.component, assets, coalesce(edges, 0) AS edges, (SELECT count(*) FROM a) > 100 AS too_many FROM a LEFT JOIN e ON a.component = e.component""")
 def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _ordered_parts(spark, sf_dir)
-    return G.component_sizes(G.components(nodes, edges), edges, 100)
+    return G.component_sizes(materialize(G.components(nodes, edges)), edges, 100)
 
 
 @query("""

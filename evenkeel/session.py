@@ -77,6 +77,11 @@ def scratch_table(spark: SparkSession, path: str, schema: StructType | None = No
     return out
 
 
+def is_scratch(df: DataFrame) -> bool:
+    """Whether ``df`` is a table as ``materialize`` wrote it, so that reading it again computes nothing."""
+    return hasattr(df, "_evenkeel_path")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote, once nothing will read them any more."""
     for df in tables:

@@ -550,3 +550,24 @@ def test_running_values_do_not_depend_on_the_chunks(spark, current, descending):
         seen = sorted(filter(inside, rows), key=lambda r: (r[1], r[2]), reverse=descending)
         want.add((asset, ts, i, v, sum(r[2] for r in seen), next((r[3] for r in reversed(seen) if r[3] is not None), None)))
     assert found == [want] * 3
+
+
+def test_edges_are_written_once_for_all_selectors(spark, monkeypatch):
+    from evenkeel.operators import graph as G
+
+    written, before = [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, *more: (written.append(df.columns), before(df, *more))[1])
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    nodes = spark.createDataFrame([(n, {}) for n in "abcd"], "node string, labels map<string,string>")
+    found = G.select(nodes, edges, ["a+1", "+c", "1+d"], ["b"])
+    assert sorted(r.node for r in found.collect()) == ["a", "c", "d"]
+    assert [c for c in written if "level" not in c] == [["src", "dst"]]
+
+
+@pytest.mark.parametrize("name", ["connected_components", "component_sizes", "adjacency_chunks"])
+def test_edges_that_are_read_again_are_not_computed_again(spark, sf, name):
+    from evenkeel.plans import load_all, registry
+
+    load_all()
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
