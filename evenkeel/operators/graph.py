@@ -163,14 +163,9 @@ def component_sizes(found: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     return assets.join(inside, "component", "left").crossJoin(F.broadcast(total)).select("component", "assets", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"), "too_many")
 
 
-def _ends(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array("src", "dst")).alias("node"))
-
-
 def cycle_residue(edges: DataFrame) -> DataFrame:
     """Nodes left when nodes without incoming edges are removed again and again: cycles and all below them."""
-    edges = materialize(edges.select("src", "dst").distinct())
-    return _ends(edges).distinct().join(peeled(edges)[0], "node", "left_anti")
+    return peeled(materialize(edges.select("src", "dst"))).where("wave is null").select("node")
 
 
 def waves(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -178,11 +173,13 @@ def waves(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
 
     Nodes that only an edge names are there too; without ``nodes`` there are no others.
     """
-    found, total = peeled(materialize(edges.select("src", "dst").distinct()), nodes)
-    found = materialize(found)
-    if found.count() != total:
+    found = materialize(peeled(materialize(edges.select("src", "dst"))))
+    if not found.where("wave is null").isEmpty():
         raise ValueError("the edges have a cycle")
-    return found
+    if nodes is None:
+        return found
+    alone = nodes.select("node").distinct().join(found, "node", "left_anti")
+    return found.unionByName(alone.withColumn("wave", F.lit(0).cast("long")))
 
 
 def gate(assets: DataFrame, edges: DataFrame, readiness: DataFrame) -> DataFrame:

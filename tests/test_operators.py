@@ -571,3 +571,38 @@ def test_edges_that_are_read_again_are_not_computed_again(spark, sf, name):
     load_all()
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan
+
+
+def test_tables_that_grow_with_the_graph_are_not_broadcast(spark, monkeypatch):
+    from evenkeel.operators import peeling as P
+
+    plans, before = [], P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), before(df))[1])
+    monkeypatch.setattr(P, "FEW", 0, raising=False)
+    chain = [(f"c{n}", f"c{n + 1}") for n in range(40)]
+    found = G.cycle_residue(edges(spark, *chain, ("c3", "d"), ("c5", "d"), ("x", "y"), ("y", "x"), ("y", "c40")))
+    assert {r.node for r in found.collect()} == {"x", "y", "c40"}
+    assert len(plans) > 10
+    assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_a_wide_layer_is_set_aside(spark, monkeypatch):
+    from evenkeel.operators import peeling as P
+
+    written, before = [], P.materialize
+    record = lambda df: (table := before(df), written.append(table.count()))[0]
+    for module in (G, P):
+        monkeypatch.setattr(module, "materialize", record)
+    upper = [(f"n{n % 2}", f"c{n}") for n in range(20)]
+    lower = [(f"c{(n + k * k) % 20}", f"o{n}") for n in range(400) for k in range(5)]
+    found = {r.node: r.wave for r in G.waves(None, edges(spark, *upper, *lower)).collect()}
+    assert found == {"n0": 0, "n1": 0} | {c: 1 for _, c in upper} | {o: 2 for _, o in lower}
+    assert sum(written) < 1.5 * len(upper + lower)
+
+
+def test_cycles_above_a_wide_layer(spark):
+    pairs = [("a", "b"), ("b", "a"), *((x, f"s{n}") for n in range(9) for x in "ar"), *(("r", f"t{n}") for n in range(9) for _ in range(2)), ("r", "m"), ("m", "t1")]
+    e = edges(spark, *pairs)
+    assert {r.node for r in G.cycle_residue(e).collect()} == {"a", "b", *(f"s{n}" for n in range(9))}
+    rest = e.where("src not in ('a', 'b')")
+    assert {r.node: r.wave for r in G.waves(nodes(spark, "rz"), rest).collect()} == {"r": 0, "z": 0, "m": 1, **{f"{k}{n}": 1 for k in "st" for n in range(9)}, "t1": 2}
