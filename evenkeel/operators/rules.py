@@ -134,12 +134,20 @@ def min_interval(rules: DataFrame, assets: DataFrame) -> DataFrame:
 KINDS = ("asset", "connection", "sync", "conditions")
 
 
+def _dealt(rules: DataFrame) -> DataFrame:
+    """``rules`` dealt by asset over as many tasks as a shuffle has.
+
+    Groups that are as many as assets become no fewer before a shuffle: there a task would hold those of all the rows it reads.
+    """
+    return rules.repartition(int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions")), "asset")
+
+
 def asset_summaries(assets: DataFrame, rules: DataFrame) -> DataFrame:
     """Each asset (asset, labels, upstreams, auto_sync) with its ``entries``, structs of conditions and sync in order of position."""
     placed = F.sort_array(F.collect_list(F.struct("position", "conditions", "sync")))
-    entries = rules.groupBy("asset").agg(F.transform(placed, lambda e: F.struct(e["conditions"].alias("conditions"), e["sync"].alias("sync"))).alias("entries"))
+    entries = _dealt(rules).groupBy("asset").agg(F.transform(placed, lambda e: F.struct(e["conditions"].alias("conditions"), e["sync"].alias("sync"))).alias("entries"))
     none = F.array().cast("array<struct<conditions:string,sync:string>>")
-    return assets.join(entries, "asset", "left").withColumn("entries", F.coalesce("entries", none))
+    return assets.join(entries.hint("merge"), "asset", "left").withColumn("entries", F.coalesce("entries", none))
 
 
 def catalog(rules: DataFrame, conditions: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
@@ -151,7 +159,7 @@ def catalog(rules: DataFrame, conditions: DataFrame, kinds: Sequence[str] = KIND
     if unknown := set(wanted) - set(KINDS):
         raise ValueError(f"no such kind: {', '.join(sorted(unknown))}")
     entries = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("name")) for k in wanted]))
-    named = rules.select("asset", entries.alias("e")).select("asset", "e.kind", "e.name").where("name is not null")
+    named = _dealt(rules.select(*dict.fromkeys(["asset", *wanted]))).select("asset", entries.alias("e")).select("asset", "e.kind", "e.name").where("name is not null")
     counted = named.groupBy("kind", "name").agg(F.count_distinct("asset").alias("n_assets"))
     groups = conditions.groupBy(F.col("conditions").alias("__group")).agg(F.sort_array(F.collect_set("condition_name")).alias("condition_names"))
     return counted.join(groups, (F.col("kind") == "conditions") & (F.col("name") == F.col("__group")), "left").drop("__group")

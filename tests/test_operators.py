@@ -606,3 +606,17 @@ def test_cycles_above_a_wide_layer(spark):
     assert {r.node for r in G.cycle_residue(e).collect()} == {"a", "b", *(f"s{n}" for n in range(9))}
     rest = e.where("src not in ('a', 'b')")
     assert {r.node: r.wave for r in G.waves(nodes(spark, "rz"), rest).collect()} == {"r": 0, "z": 0, "m": 1, **{f"{k}{n}": 1 for k in "st" for n in range(9)}, "t1": 2}
+
+
+def test_groups_of_an_asset_are_not_held_before_the_shuffle(spark):
+    rules = spark.range(50).select(F.concat(F.lit("a"), F.col("id") % 20).alias("asset"), F.lit("w").alias("connection"), F.lit("s1").alias("sync"), F.lit("g1").alias("conditions"), F.col("id").alias("position"))
+    names = spark.createDataFrame([("g1", "x")], "conditions string, condition_name string")
+    assets = rules.select("asset").distinct()
+    found, summaries = R.catalog(rules, names), R.asset_summaries(assets, rules)
+    for plan in (df._jdf.queryExecution().executedPlan().toString() for df in (found, summaries)):
+        dealt = plan[plan.index("REPARTITION_BY_NUM") :].split("Aggregate")
+        assert "hashpartitioning(kind, name, asset" not in plan.replace("#", "").translate(str.maketrans("", "", "0123456789"))
+        assert "Range" in dealt[0]  # nothing is grouped between reading and dealing
+    assert "Broadcast" not in summaries._jdf.queryExecution().executedPlan().toString()
+    assert {(r.kind, r.name, r.n_assets) for r in found.where("kind <> 'asset'").collect()} == {("connection", "w", 20), ("sync", "s1", 20), ("conditions", "g1", 20)}
+    assert {r.asset: len(r.entries) for r in summaries.collect()} == {f"a{n}": 2 + (n < 10) for n in range(20)}
