@@ -145,10 +145,17 @@ def stream_dedup(df: DataFrame, keys: Sequence[str], ts: str | None = None, dela
 
 
 def stream_link(syncs: DataFrame, evals: DataFrame, within: str, delay: str) -> DataFrame:
-    """Pairs of a sync and the evaluations of its asset at most ``within`` later; both sides have a time ``ts``."""
-    s = syncs.withWatermark("ts", delay).select(F.col("asset").alias("s_asset"), "execution_id", F.col("ts").alias("s_ts"))
-    e = evals.withWatermark("ts", delay).select("asset", "evaluation_id", "ts")
-    near = (F.col("asset") == F.col("s_asset")) & (F.col("ts") > F.col("s_ts")) & (F.col("ts") <= F.col("s_ts") + F.expr(f"INTERVAL {within}"))
+    """Pairs of a sync and the evaluations of its asset at most ``within`` later; both sides have a time ``ts``.
+
+    They meet in time buckets as wide as ``within``: a row is held against those of the asset's bucket, not against
+    all of the asset's that the state has. A sync is in each bucket that its evaluations may be in, mostly two.
+    """
+    width = max(1, syncs.sparkSession.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL {within})").head()[0])
+    bucket = lambda ts: F.floor(F.unix_micros(ts) / width)
+    end = F.col("ts") + F.expr(f"INTERVAL {within}")
+    s = syncs.withWatermark("ts", delay).select(F.col("asset").alias("s_asset"), "execution_id", F.col("ts").alias("s_ts"), F.explode(F.sequence(bucket(F.col("ts")), bucket(end))).alias("s_bucket"))
+    e = evals.withWatermark("ts", delay).select("asset", "evaluation_id", "ts", bucket(F.col("ts")).alias("bucket"))
+    near = (F.col("asset") == F.col("s_asset")) & (F.col("bucket") == F.col("s_bucket")) & (F.col("ts") > F.col("s_ts")) & (F.col("ts") <= F.col("s_ts") + F.expr(f"INTERVAL {within}"))
     return s.join(e, near).select("asset", "execution_id", "evaluation_id")
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
@@ -175,3 +176,20 @@ def test_state_calls_follow_the_slots_and_not_the_keys(spark):
     assert drops.result().where("asset is null").count() == 2
     states = spark.read.format("statestore").option("stateVarName", "states").load(drops.checkpoint)
     assert states.count() == 1
+
+
+def test_links_meet_in_buckets_and_none_is_lost(spark, tmp_path):
+    """Syncs and evaluations at and around the bounds of buckets and of the interval."""
+    hour, base = 3600, round(T0.timestamp()) // 21600 * 21600
+    at = lambda s: dt.datetime.fromtimestamp(base + s, dt.timezone.utc)
+    offsets = [0, 1, 3 * hour, 6 * hour - 1, 6 * hour, 6 * hour + 1, 9 * hour, 12 * hour, 12 * hour + 1, 30 * hour]
+    rows = [(a, at(s), n) for a in (1, 2) for n, s in enumerate(offsets)]
+    ship_package(spark)
+    spark.createDataFrame(rows, "asset long, ts timestamp, n long").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    stream = lambda name: spark.readStream.schema("asset long, ts timestamp, n long").parquet(str(tmp_path / "rows")).withColumnRenamed("n", name)
+    linked = S.stream_link(stream("execution_id"), stream("evaluation_id"), "6 HOURS", "1 hour")
+    assert re.search(r"bucket#\d+L? = s_bucket#\d+", linked._jdf.queryExecution().analyzed().toString())
+    path = scratch_dir(spark)
+    S.run_to_end(linked, path, scratch_dir(spark))
+    found = sorted((r.asset, r.execution_id, r.evaluation_id) for r in S.read_result(spark, path).collect())
+    assert found == [(a, n, m) for a in (1, 2) for n, s in enumerate(offsets) for m, e in enumerate(offsets) if s < e <= s + 6 * hour]
