@@ -117,6 +117,10 @@ def _align(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[p
         yield pd.Series([common_blocks(list(a), list(b), list(s)) for a, b, s in zip(later, earlier, sizes, strict=True)], dtype=object)
 
 
+#: Spark infers a filter from ``explode`` and would call a deterministic function for it too: twice the work, and twice the Python workers at a time.
+_align = _align.asNondeterministic()
+
+
 def _elements(hashes: str, sizes: str) -> Column:
     """Each line that isn't blank, and each two that follow each other with their distance: hash ``x``, place ``at``, place ``to`` of the second, and ``able``.
 

@@ -140,6 +140,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 names = [x.split()[0] for x in PIECES.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        ids_of.clear()  # the worker outlives the task and goes on to other stages
 
     prepared(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, PIECES)

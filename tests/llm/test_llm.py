@@ -243,6 +243,14 @@ def test_common_lines_in_any_order_bring_further_partners(spark, n):
     assert sum(x.total() for x in mine) >= 0.99 * sum(x.total() for x in brute)
 
 
+def test_documents_are_aligned_once(spark):
+    """A second call for a filter that Spark infers would hold two Python workers a task."""
+    lined = spark.createDataFrame([(1, 1, [5, 6, 7], [50, 50, 50]), (2, 2, [5, 6, 8], [50, 50, 50])], "key long, text_hash long, hashes array<long>, sizes array<int>")
+    gone = LD._gone(spark.createDataFrame([(2, 2, 1)], "key long, text_hash long, first long"), lined)
+    assert gone._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(gone.collect()) == [(2, 2, 0), (2, 2, 1)]
+
+
 def test_all_earlier_holders_as_partners(spark):
     rng = random.Random(4)
     texts = shuffled_common_lines(30, 40) + ["\n".join(rng.choices(["aa", "bb", "cc", "", "a line that is long enough to count alone, is it"], k=8)) for _ in range(40)]
@@ -601,6 +609,17 @@ def sequences(rows, capacity):
     return len(used)
 
 
+def test_tasks_leave_no_words_in_their_workers(spark):
+    P.token_pieces(frame(spark, [f"word{i} other{i}" for i in range(500)])).collect()
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, P._words.values()))], pa.int64())], ["n"])
+
+    found = spark.range(0, 64, 1, 64).mapInArrow(held, "n long").collect()
+    assert len(found) == 64 and not any(r.n for r in found)
+
+
 @pytest.mark.parametrize(("capacity", "longest"), [(60, 60), (7, 3), (1, 1)])
 def test_packing_is_as_good_as_best_fit_decreasing(spark, capacity, longest):
     rng = random.Random(capacity)
